@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from .exactdedup import OP7_SQL, op7_exact_dedup
+from .tokencount import op10_token_counts
+from .urlfilter import OP2_SQL, op2_url_filter
 from .wavelet import op1_wavelet
 
-QUERIES = {"op1_wavelet": op1_wavelet}
+QUERIES = {
+    "op1_wavelet": op1_wavelet,
+    "op2_url_filter": op2_url_filter,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op10_token_counts": op10_token_counts,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op7_exact_dedup": OP7_SQL}
