@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .exactdedup import OP7_SQL, op7_exact_dedup
+from .langid import op4_language_id
+from .latticelm import op3_lattice_lm
 from .tokencount import op10_token_counts
 from .urlfilter import OP2_SQL, op2_url_filter
 from .wavelet import op1_wavelet
@@ -10,6 +12,8 @@ from .wavelet import op1_wavelet
 QUERIES = {
     "op1_wavelet": op1_wavelet,
     "op2_url_filter": op2_url_filter,
+    "op3_lattice_lm": op3_lattice_lm,
+    "op4_language_id": op4_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_token_counts": op10_token_counts,
 }
