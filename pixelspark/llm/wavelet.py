@@ -18,6 +18,7 @@ Sections: ``alphabet`` u32 ids in rising order, ``doc_ids`` i64, ``doc_null`` u8
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -37,6 +39,8 @@ from .common import fresh_dir, partitions, staged, table
 MAGIC = b"WVMSHRD1"
 BLOCK_BITS = 1 << 15
 SHARD_TOKENS = 1 << 20
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 1 << 24
 SECTIONS = ("alphabet", "doc_ids", "doc_null", "doc_starts", "zeros")
 
 
@@ -210,15 +214,23 @@ class WaveletShard:
         return self.alphabet[out] if self.n else np.zeros(0, np.uint32)
 
 
+#: A chunk that is empty or begins or ends with white space of any kind.
+_BLANK = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_ODD = f"^$|\\A{_BLANK}|{_BLANK}\\z"
+#: Letters and marks, once more after a line end or not.
+_PLAIN = re.compile("([^\\W\\d_]+)([.,;:!?]+)(?:(\\n)([A-Za-z]+)([.,;:!?]+)?)?\\Z")
+
+
 class ChunkEncoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library, each different chunk once.
+    """Encodes batches of texts with a byte-level BPE of the tokenizers library, each different chunk once.
 
     A chunk ends before a single space between two characters that aren't white space. The pre-tokenizer always
     starts a piece there, as it joins such a space to what follows, so the ids of a text are those of its chunks in
-    turn. Ids of chunks are kept, at most ``most`` of them. A text with other spaces is encoded as a whole.
+    turn. A text with other spaces, or with the string of an added token, is encoded as a whole. Ids of chunks are
+    kept, ``most`` of them, and the ids of a batch are gathered from there in one step.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -227,51 +239,123 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._most, self._kept = most, {}
         self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._opens = np.zeros(self._tokenizer.get_vocab_size(), bool)
-        for token, k in self._tokenizer.get_vocab().items():
-            self._opens[k] = token.startswith("Ġ")
-        specials = self._tokenizer.get_added_tokens_decoder()
-        self._special = tuple(str(x.content) for x in specials.values())
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes new chunks, each after a space, in one call; ids that open with a space part them again."""
-        ids = np.array(self._tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, self.kind)
-        starts = np.flatnonzero(self._opens[ids])
-        if len(starts) != len(chunks):
-            self._kept.update((x, self._whole(" " + x)) for x in chunks)
-            return
-        raw, at = ids.tobytes(), [*(starts * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
-        self._kept.update((x, raw[a:b]) for x, a, b in zip(chunks, at, at[1:], strict=False))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``kind``."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(x in text for x in self._special)
-            split.append(None if odd or not text or any(x in text for x in ("\t ", " \t", "\r ", " \r")) else text.split(" "))
-        if len(self._kept) > self._most:
-            self._kept.clear()
-        kept = self._kept
-        new = [x for x in set(chain.from_iterable(x[1:] for x in split if x)).difference(kept) if x]
-        odd_ones = [x for x in new if x[0].isspace() or x[-1].isspace()]
-        if odd_ones:  # rarer white space beside the space
-            barred = set(odd_ones)
-            split = [None if x and not barred.isdisjoint(x) else x for x in split]
-            new = [x for x in new if x not in barred]
-        for k in range(0, len(new), 4096):
-            self._learn(new[k : k + 4096])
-        out = []
-        for text, chunks in zip(texts, split, strict=True):
-            if chunks is None or chunks[0][-1:].isspace():
-                out.append(self._whole(text) if text else b"")
+        self._special = tuple(str(x.content) for x in self._tokenizer.get_added_tokens_decoder().values())
+        #: Byte-level BPE writes each byte as a character; a chunk of letters is one piece of the pre-tokenizer.
+        self._chars = {b: c for b, c in zip(range(256), _byte_characters(), strict=True)}
+        self._most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self._kept: dict[str, int] = {}
+        self._marks: dict[str, list[int]] = {}
+        self._starts, self._sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._pool, self._entries, self._used = np.zeros(1 << 18, self.kind), 0, 0
+
+    def _add(self, ids: list[list[int]]) -> int:
+        """Puts ids into the pool, one entry each, and returns the first entry's number."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum()))
+        while self._entries + len(ids) > len(self._starts):
+            self._starts, self._sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._sizes))
+        while self._used + len(flat) > len(self._pool):
+            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
+        first = self._entries
+        self._sizes[first : first + len(ids)] = sizes
+        self._starts[first : first + len(ids)] = self._used + np.cumsum(sizes) - sizes
+        self._pool[self._used : self._used + len(flat)] = flat
+        self._entries, self._used = first + len(ids), self._used + len(flat)
+        return first
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> list[int]:
+        """The ids of one piece of the pre-tokenizer."""
+        return [x.id for x in self._tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self._chars))]
+
+    def _short(self, piece: str) -> list[int]:
+        """The same for marks and line ends, of which there are few."""
+        found = self._marks.get(piece)
+        if found is None:
+            found = self._piece(piece)
+            if len(self._marks) < 10_000:
+                self._marks[piece] = found
+        return found
+
+    def _learn(self, chunks: list[str]) -> list[int]:
+        """Encodes new chunks, each after a space, and returns their entries. Letters with marks behind are cut into
+        the pre-tokenizer's pieces here; any other chunk goes through the whole tokenizer."""
+        out: list[list[int] | None] = []
+        for x in chunks:
+            if x.isalpha():
+                out.append(self._piece(" " + x))
+            elif (found := _PLAIN.match(x)) and found[1].isalpha():
+                word, marks, end, word2, marks2 = found.groups()
+                ids = self._piece(" " + word) + self._short(marks)
+                if end:
+                    ids += self._short(end) + (self._piece(word2) + self._short(marks2) if marks2 else self._piece(word2))
+                out.append(ids)
             else:
-                out.append(self._whole(chunks[0]) + b"".join(map(kept.__getitem__, chunks[1:])))
-        return out
+                out.append(None)
+        mixed = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(mixed, self._whole([" " + chunks[k] for k in mixed]), strict=True):
+            out[k] = ids
+        first = self._add(out)
+        self._kept.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        return list(range(first, first + len(chunks)))
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and how many each text has; no text is null."""
+        if self._entries > self._most:
+            self._forget()
+        parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy()
+        offsets, flat = offsets - offsets[0], parts.flatten().dictionary_encode()
+        names, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        odd_name = pc.match_substring_regex(flat.dictionary, _ODD).to_numpy(zero_copy_only=False)
+        for special in self._special:
+            odd_name |= pc.match_substring(flat.dictionary, special).to_numpy(zero_copy_only=False)
+        odd = np.logical_or.reduceat(odd_name[codes], offsets[:-1]) if len(texts) else np.zeros(0, bool)
+        found = list(map(self._kept.get, names))
+        new = [k for k, (x, bad) in enumerate(zip(found, odd_name.tolist(), strict=True)) if x is None and not bad]
+        for k, entry in zip(new, self._learn([names[k] for k in new]), strict=True):
+            found[k] = entry
+        entries = np.array([-1 if x is None else x for x in found], np.int64)[codes]
+        # A text's first chunk has no space before it; of a text encoded as a whole it stands for all chunks.
+        rows = texts.to_pylist()
+        firsts = self._add(self._whole([x if whole else x.partition(" ")[0] for x, whole in zip(rows, odd.tolist(), strict=True)]))
+        entries[np.repeat(odd, np.diff(offsets))] = -1
+        entries[offsets[:-1]] = firsts + np.arange(len(rows))
+        sizes = np.where(entries < 0, 0, self._sizes[entries])
+        before = np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        ids = self._pool[np.repeat(self._starts[entries] - before, sizes) + np.arange(total)]
+        return ids, np.add.reduceat(sizes, offsets[:-1]) if len(rows) else sizes
+
+
+def _byte_characters() -> list[str]:
+    """The printable character of each byte in byte-level BPE: its own where that shows, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
+@lru_cache(2)
+def encoder_for(path: str) -> ChunkEncoder:
+    """One encoder a worker process, with what it has kept, for all its tasks."""
+    return ChunkEncoder(path)
+
+
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about ``most_bytes`` together, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, done + most_bytes, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def _put(uri: str, raw: bytes, attempt: int) -> None:
@@ -299,16 +383,16 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = None, TaskContext.get()
+        encoder, context = encoder_for(tokenizer), TaskContext.get()
         part, attempt, seq = context.partitionId(), context.taskAttemptId(), 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         starts = [0]
 
         def flush() -> pa.RecordBatch:
             nonlocal seq
             name = f"shard-{part:08d}-{seq:06d}.wvm"
-            raw = build_shard(np.frombuffer(b"".join(held), encoder.kind), doc_ids, np.array(starts))
+            raw = build_shard(np.concatenate(held), doc_ids, np.array(starts))
             _put(f"{out}/{name}", raw, attempt)
             row = {"part": [part], "seq": [seq], "name": [name], "n_docs": [len(doc_ids)], "n_tokens": [starts[-1]], "n_bytes": [len(raw)]}
             seq += 1
@@ -318,14 +402,19 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in batches:
-            encoder = encoder or ChunkEncoder(tokenizer)
-            end = np.array([end_id], encoder.kind).tobytes()
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
-                    held += (ids, end)
+            for piece in slices(batch, 1, ENCODE_BYTES):
+                ids, counts = encoder.encode(piece.column(1))
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id)
+                ends += np.arange(1, len(ends) + 1)
+                begin = first = 0
+                for row, (doc_id, end) in enumerate(zip(piece.column(0).to_pylist(), ends.tolist(), strict=True)):
                     doc_ids.append(doc_id)
-                    starts.append(starts[-1] + len(ids) // encoder.kind.itemsize + 1)
+                    starts.append(starts[-1] + end - begin)
+                    begin = end
+                    if starts[-1] >= shard_tokens or row + 1 == len(ends):
+                        held.append(ids[first:end])
+                        first = end
                     if starts[-1] >= shard_tokens:
                         yield flush()
         if doc_ids:
