@@ -12,7 +12,6 @@ word. So counts and scores cover every word, and no frequent word makes a hot ke
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,13 +29,12 @@ HOT_WORDS = 250_000
 TALLY = 400_000
 SMOOTH = 0.1
 MARK = "▁"
-_SPLIT = re.compile("[\\x20\\x09-\\x0D]+")
-_UPPER = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words of the text with A to Z in lower case; none for null."""
-    return [x for x in _SPLIT.split(text.translate(_UPPER)) if x] if text else []
+def words_of(raw: bytes | None) -> list[bytes]:
+    """Words of the UTF-8 text with A to Z in lower case; none for null. bytes.lower() changes A to Z alone, and
+    bytes.split() parts at the space and 0x09 to 0x0D alone."""
+    return raw.lower().split() if raw else []
 
 
 @dataclass
@@ -125,10 +123,10 @@ def vocabulary_of(path: str) -> list[str]:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n_train, n_all) over all ``rows`` (train boolean, text). Tasks tally before the shuffle."""
+    """(word, n_train, n_all) over all ``rows`` (train boolean, text in bytes). Tasks tally before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        tallies: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
         def flush() -> Iterator[pa.RecordBatch]:
             for train, tally in enumerate(tallies):
@@ -136,7 +134,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 tally.clear()
                 for at in range(0, len(words), 50_000):
                     n = pa.array(counts[at : at + 50_000], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.string()), n if train else pa.array([0] * len(n), pa.int64()), n], ["word", "n_train", "n_all"])
+                    yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), n if train else pa.array([0] * len(n), pa.int64()), n], ["word", "n_train", "n_all"])
 
         for batch in batches:
             for train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -145,7 +143,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    tallied = rows.select("train", "text").mapInArrow(run, "word string, n_train long, n_all long")
+    tallied = rows.select("train", "text").mapInArrow(run, "word binary, n_train long, n_all long")
     return tallied.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
 
@@ -158,7 +156,7 @@ def piece_counts(counts: DataFrame, path: str) -> dict[str, int]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         tally: Counter[int] = Counter()
         for batch in batches:
-            words, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words, sizes = [x.decode() for x in batch.column(0).to_pylist()], batch.column(1).to_pylist()
             for at in range(0, len(words), 4096):
                 for ids, n in zip(model.encode(words[at : at + 4096], num_threads=1), sizes[at : at + 4096], strict=True):
                     for k in ids:
@@ -178,7 +176,7 @@ def score_documents(docs: DataFrame, vocabulary: str, *, train: Column | None =
     scores are those of an empty model. Only the named columns are used.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.lit(True) if train is None else F.coalesce(train, F.lit(False))).alias("train"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.lit(True) if train is None else F.coalesce(train, F.lit(False))).alias("train"), F.col(text_col).cast("binary").alias("text"))
     counts = staged(word_counts(rows), "lm-counts")
     sums = counts.agg(F.sum("n_train").alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v")).first()
     ends = rows.where("train").count()
@@ -190,10 +188,10 @@ def score_documents(docs: DataFrame, vocabulary: str, *, train: Column | None =
     def lattice_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.value.word
         for batch in batches:
-            found = pa.array([score(x) for x in batch.column(0).to_pylist()], pa.float64())
+            found = pa.array([score(x.decode()) for x in batch.column(0).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], ["word", "n_train", "n_all", "score"])
 
-    scored = counts.mapInArrow(lattice_scores, "word string, n_train long, n_all long, score double")
+    scored = counts.mapInArrow(lattice_scores, "word binary, n_train long, n_all long, score double")
     scored = staged(scored.withColumn("base", F.log10(F.col("n_train") + SMOOTH) - log_all), "lm-words")
     # The least frequency whose words fit the dictionary, from a histogram over frequencies in steps of 2 %.
     step = F.floor(F.log("n_all") / math.log(1.02)).cast("int")
@@ -209,7 +207,7 @@ def score_documents(docs: DataFrame, vocabulary: str, *, train: Column | None =
     end_score = lattice.end
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"row long, doc_id {id_type}, train boolean, word string, n long, n_tokens long, n_known long, base double, score double"
+    schema = f"row long, doc_id {id_type}, train boolean, word binary, n long, n_tokens long, n_known long, base double, score double"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with what the dictionary gives, and one for each of its other words."""
@@ -235,7 +233,7 @@ def score_documents(docs: DataFrame, vocabulary: str, *, train: Column | None =
                     totals.append((len(words) + 1, n_known, base, score))
                 rows_, size, others = part.column(0), part.num_rows, len(rare)
                 # No word has a space inside, so these keys join nothing and are dealt out evenly.
-                keys = pa.array([f" {x}" for x in rows_.to_pylist()] + rare, pa.string())
+                keys = pa.array([b" %d" % x for x in rows_.to_pylist()] + rare, pa.binary())
                 zeros = [0] * others
                 yield pa.RecordBatch.from_arrays(
                     [
