@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exactdedup import OP7_SQL, op7_exact_dedup
 from .langid import op4_language_id
 from .latticelm import op3_lattice_lm
+from .simhash import op9_simhash
 from .tokencount import op10_token_counts
 from .urlfilter import OP2_SQL, op2_url_filter
 from .wavelet import op1_wavelet
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_lattice_lm": op3_lattice_lm,
     "op4_language_id": op4_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
 }
 
