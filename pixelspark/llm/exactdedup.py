@@ -42,6 +42,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     hashed = marked.select("doc_id", "n_bytes", "prefix", maybe.alias("maybe"), (digest if digest_all else F.when(maybe, digest)).alias("text_sha256"))
     hashed = staged(hashed.withColumn("row", F.monotonically_increasing_id()), "exact-rows")
     groups = hashed.where("maybe").groupBy("n_bytes", "prefix", "text_sha256").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("keep")).where("n > 1")
+    groups = staged(groups, "exact-groups")  # so that both sides of the join are dealt out anew and a large group's rows are split
     return hashed.join(groups, ["n_bytes", "prefix", "text_sha256"], "left").select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
