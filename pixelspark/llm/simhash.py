@@ -164,16 +164,16 @@ def fingerprint(raw: bytes | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print): the fingerprint of each whole text as a signed long."""
+    """(doc_id, text_hash, print): a hash of each whole text, and its fingerprint as a signed long."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "print"])
+            found = np.array([fingerprint(x, words) for x in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "print"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, print long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, print long")
 
 
 def print_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -217,7 +217,7 @@ def print_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, print (signed long) and component_id, the least id reachable over links.
+    """One row a document: doc_id, text_hash, print (signed long) and component_id, the least id reachable over links.
 
     Documents link when their fingerprints differ in ``max_bits`` or less. Texts without words, null ones included,
     have fingerprint zero and link like any other. Repeated rows each keep their row; null ids are never the least
@@ -228,8 +228,20 @@ def near_groups(docs: DataFrame, *, words: int = 5, max_bits: int = MAX_BITS, id
     roots = components(staged(print_links(alike, max_bits), "links"))
     joined = alike.join(roots, alike["print"] == roots["u"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(joined.join(ids, "root").select("print", "component_id"), "print-groups")
-    return marked.join(named, "print").select(F.col("doc_id").alias(id_col), "print", "component_id")
+    named = staged(joined.join(ids, "root").select("print", "component_id", "root"), "print-groups")
+    return marked.join(named, "print").select(F.col("doc_id").alias(id_col), "text_hash", "print", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all their columns, one row of each group: that of the least id, null ids last; of equal ids that of
+    the least text hash, and of repeated rows one."""
+    groups = staged(near_groups(docs, words=words, max_bits=max_bits, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id"), "near-groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
+    kept = first.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    rows = docs.withColumn("__own", F.xxhash64(text_col))
+    found = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
+    apart = groups.groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return (found if apart else found.dropDuplicates([id_col, "__own"])).drop("__own")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
