@@ -15,16 +15,14 @@ from pixelspark.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A document goes if its language can't be told (no letters) or the best language has less than this score.
-LEAST_SCORE = 0.5
 #: Near duplicates are told by shingles of so many words.
 SHINGLE_WORDS = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fits on the labelled documents that come in; drops those of no language or a doubtful one."""
+    """Fits on the labelled documents that come in; drops those whose language can't be told."""
     judged = langid.identify(docs, langid.fit(docs), lang_out="__lang", score_out="__score")
-    return judged.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
+    return judged.where(F.col("__lang") != langid.UNKNOWN).drop("__lang", "__score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

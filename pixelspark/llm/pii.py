@@ -293,7 +293,8 @@ def window_starts(text: str) -> list[int]:
 def _window(codes: np.ndarray, start: int) -> np.ndarray:
     out = np.full(WINDOW, PAD, np.int64)
     a, b = max(start, 0), min(start + WINDOW, len(codes))
-    out[a - start : b - start] = codes[a:b]
+    if a < b:
+        out[a - start : b - start] = codes[a:b]
     return out
 
 
