@@ -18,7 +18,6 @@ Sections: ``alphabet`` u32 ids in rising order, ``doc_ids`` i64, ``doc_null`` u8
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -217,9 +216,6 @@ class WaveletShard:
 #: A chunk that is empty or begins or ends with white space of any kind.
 _BLANK = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _ODD = f"^$|\\A{_BLANK}|{_BLANK}\\z"
-#: Letters and marks, once more after a line end or not.
-_PLAIN = re.compile("([^\\W\\d_]+)([.,;:!?]+)(?:(\\n)([A-Za-z]+)([.,;:!?]+)?)?\\Z")
-
 
 class ChunkEncoder:
     """Encodes batches of texts with a byte-level BPE of the tokenizers library, each different chunk once.
@@ -241,69 +237,52 @@ class ChunkEncoder:
         self._tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._special = tuple(str(x.content) for x in self._tokenizer.get_added_tokens_decoder().values())
-        #: Byte-level BPE writes each byte as a character; a chunk of letters is one piece of the pre-tokenizer.
-        self._chars = {b: c for b, c in zip(range(256), _byte_characters(), strict=True)}
+        self._opens = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        for token, k in self._tokenizer.get_vocab().items():
+            self._opens[k] = token.startswith("Ġ")  # byte-level BPE writes a space so
         self._most = most
         self._forget()
 
     def _forget(self) -> None:
         self._kept: dict[str, int] = {}
-        self._marks: dict[str, list[int]] = {}
         self._starts, self._sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self._pool, self._entries, self._used = np.zeros(1 << 18, self.kind), 0, 0
 
     def _add(self, ids: list[list[int]]) -> int:
         """Puts ids into the pool, one entry each, and returns the first entry's number."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum()))
-        while self._entries + len(ids) > len(self._starts):
+        return self._put(np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum())), sizes)
+
+    def _put(self, flat: np.ndarray, sizes: np.ndarray) -> int:
+        first, entries, used = self._entries, self._entries + len(sizes), self._used + len(flat)
+        while entries > len(self._starts):
             self._starts, self._sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._sizes))
-        while self._used + len(flat) > len(self._pool):
+        while used > len(self._pool):
             self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
-        first = self._entries
-        self._sizes[first : first + len(ids)] = sizes
-        self._starts[first : first + len(ids)] = self._used + np.cumsum(sizes) - sizes
-        self._pool[self._used : self._used + len(flat)] = flat
-        self._entries, self._used = first + len(ids), self._used + len(flat)
+        self._sizes[first:entries] = sizes
+        self._starts[first:entries] = self._used + np.cumsum(sizes) - sizes
+        self._pool[self._used : used] = flat
+        self._entries, self._used = entries, used
         return first
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> list[int]:
-        """The ids of one piece of the pre-tokenizer."""
-        return [x.id for x in self._tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self._chars))]
-
-    def _short(self, piece: str) -> list[int]:
-        """The same for marks and line ends, of which there are few."""
-        found = self._marks.get(piece)
-        if found is None:
-            found = self._piece(piece)
-            if len(self._marks) < 10_000:
-                self._marks[piece] = found
-        return found
-
     def _learn(self, chunks: list[str]) -> list[int]:
-        """Encodes new chunks, each after a space, and returns their entries. Letters with marks behind are cut into
-        the pre-tokenizer's pieces here; any other chunk goes through the whole tokenizer."""
-        out: list[list[int] | None] = []
-        for x in chunks:
-            if x.isalpha():
-                out.append(self._piece(" " + x))
-            elif (found := _PLAIN.match(x)) and found[1].isalpha():
-                word, marks, end, word2, marks2 = found.groups()
-                ids = self._piece(" " + word) + self._short(marks)
-                if end:
-                    ids += self._short(end) + (self._piece(word2) + self._short(marks2) if marks2 else self._piece(word2))
-                out.append(ids)
+        """Encodes new chunks, each after a space, many in one call, and returns their entries. None has a space
+        inside, so the ids that open with a space part them again."""
+        entries: list[int] = []
+        for at in range(0, len(chunks), 4096):
+            part = chunks[at : at + 4096]
+            ids = np.array(self._whole([" " + " ".join(part)])[0], self.kind)
+            starts = np.flatnonzero(self._opens[ids])
+            if len(starts) == len(part):
+                first = self._put(ids, np.diff(np.r_[starts, len(ids)]))
             else:
-                out.append(None)
-        mixed = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(mixed, self._whole([" " + chunks[k] for k in mixed]), strict=True):
-            out[k] = ids
-        first = self._add(out)
-        self._kept.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        return list(range(first, first + len(chunks)))
+                first = self._add(self._whole([" " + x for x in part]))
+            self._kept.update(zip(part, range(first, first + len(part)), strict=True))
+            entries += range(first, first + len(part))
+        return entries
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and how many each text has; no text is null."""
@@ -334,13 +313,6 @@ class ChunkEncoder:
         return ids, np.add.reduceat(sizes, offsets[:-1]) if len(rows) else sizes
 
 
-def _byte_characters() -> list[str]:
-    """The printable character of each byte in byte-level BPE: its own where that shows, else the next from 256 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
-
-
 @lru_cache(2)
 def encoder_for(path: str) -> ChunkEncoder:
     """One encoder a worker process, with what it has kept, for all its tasks."""
