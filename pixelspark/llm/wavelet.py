@@ -1,18 +1,18 @@
 """Token-id output as wavelet-matrix shards.
 
-Each shard is one file: a dictionary of the ids that occur in it, one bit plane per bit of the dictionary code,
-top bit first, and a document directory. A plane is kept in blocks, each compressed on its own where that is
-shorter, with the number of ones before it. Rank therefore costs one block and a pop count, and access, counting
-and occurrence lookup read one block a plane, never the whole file.
+Each shard is one file, compressed to about the entropy of its ids: they get Huffman codes, the first bits of all codes
+are the first bit plane, and each further plane has the next bits in the order that the planes above give, zeros
+before ones. Codes are dealt out so that those that end at a plane are last in its order, and leave the planes below.
+With the number of ones before each block of a plane, rank costs a pop count, and access, counting and occurrence
+lookup touch one block a plane.
 
 Layout (little-endian)::
 
-    magic "WVMSHRD1" | u32 length of the header | header | sections | u32 crc32 of all before
+    magic "WVMSHRD2" | u32 length of the header | header | sections | u32 crc32 of all before
 
-The header is JSON: ``n`` tokens, ``docs``, ``bits``, ``block`` (bits a block) and the place of each section.
-Sections: ``alphabet`` u32 ids in rising order, ``doc_ids`` i64, ``doc_null`` u8, ``doc_starts`` u64 (docs + 1),
-``zeros`` u64 a plane, and for each plane ``rank`` u64 (ones before each block), ``at`` u64 (block offsets) and
-``data``. A block whose stored length equals its plain length is plain, else it is a zstd frame.
+The header is JSON: ``n`` ids, ``docs``, ``block`` (bits a block) and the place of each section. Sections:
+``alphabet`` u32 ids in rising order, ``lengths`` u8 and ``counts`` u64 of each, ``doc_ids`` i64, ``doc_null`` u8,
+``doc_starts`` u64 (docs + 1), and for each plane ``rank`` u64 (ones before each block) and ``bits``.
 """
 
 from __future__ import annotations
@@ -28,61 +28,94 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, partitions, staged, table
 
-MAGIC = b"WVMSHRD1"
-BLOCK_BITS = 1 << 15
+MAGIC = b"WVMSHRD2"
+BLOCK_BITS = 1 << 12
 SHARD_TOKENS = 1 << 20
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 1 << 24
-SECTIONS = ("alphabet", "doc_ids", "doc_null", "doc_starts", "zeros")
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Huffman code lengths; small counts are raised until no code has more than 16 bits (24 for huge alphabets)."""
+    if len(counts) < 2:
+        return np.ones(len(counts), np.uint8)
+    order, floor, most = np.argsort(counts, kind="stable"), 1, 16 if len(counts) <= 1 << 14 else 24
+    while True:
+        weights, n = np.maximum(counts[order], floor).tolist(), len(counts)
+        parent, inner, leaf, node = [0] * (2 * n - 1), [], 0, 0
+        for k in range(n - 1):
+            total = 0
+            for _ in range(2):  # the two lightest of leaves and inner nodes, which both are in order
+                if leaf < n and (node >= len(inner) or weights[leaf] <= inner[node]):
+                    total += weights[leaf]
+                    parent[leaf] = n + k
+                    leaf += 1
+                else:
+                    total += inner[node]
+                    parent[n + node] = n + k
+                    node += 1
+            inner.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            out = np.zeros(n, np.uint8)
+            out[order] = depth[:n]
+            return out
+        floor *= 2
+
+
+def assign_codes(lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The code of each symbol, and for each plane the symbols whose codes end there, in the order of that plane."""
+    codes, ended, open_ = np.zeros(len(lengths), np.int64), [], np.zeros(1, np.int64)
+    for size in range(1, int(lengths.max()) + 1 if len(lengths) else 1):
+        open_ = np.concatenate([open_ << 1, open_ << 1 | 1])
+        own = np.flatnonzero(lengths == size)
+        codes[own] = open_[len(open_) - len(own) :]
+        open_ = open_[: len(open_) - len(own)]
+        ended.append(own)
+    return codes, ended
 
 
 def build_shard(ids: np.ndarray, doc_ids: list[int | None], doc_starts: np.ndarray, block_bits: int = BLOCK_BITS) -> bytes:
     """The file for ``ids``; ``doc_starts`` has one entry a document and the end."""
     ids = np.ascontiguousarray(ids)
-    seen = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
-    seen[ids] = True
-    alphabet = np.flatnonzero(seen).astype("<u4")
-    code = np.zeros(len(seen), np.uint32)
-    code[alphabet] = np.arange(len(alphabet))
-    bits = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 1
-    order = code.astype(np.uint16 if bits <= 16 else np.uint32)[ids]
+    counts = np.bincount(ids)
+    alphabet = np.flatnonzero(counts)
+    counts = counts[alphabet]
+    lengths = code_lengths(counts)
+    codes, ended = assign_codes(lengths)
+    top = 16 if len(ended) <= 16 else 32
+    left = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.uint16 if top == 16 else np.uint32)
+    left[alphabet] = codes << (top - lengths.astype(np.int64))
     sections: dict[str, bytes] = {
-        "alphabet": alphabet.tobytes(),
+        "alphabet": alphabet.astype("<u4").tobytes(),
+        "lengths": lengths.tobytes(),
+        "counts": counts.astype("<u8").tobytes(),
         "doc_ids": np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
         "doc_null": np.array([x is None for x in doc_ids], "u1").tobytes(),
         "doc_starts": np.asarray(doc_starts, "<u8").tobytes(),
     }
-    zeros, planes, squeeze = [], [], zstandard.ZstdCompressor(level=1).compress
-    for k in range(bits - 1, -1, -1):
-        one = ((order >> k) & 1).astype(bool)
-        low = order[~one]
-        zeros.append(len(low))
+    order = left[ids]
+    for plane, own in enumerate(ended):
+        one = (order & (1 << (top - 1 - plane))).astype(bool)
         packed = np.packbits(one, bitorder="little")
-        blocks, ranks, at = [], [0], [0]
-        for b in range(0, len(packed), block_bits // 8):
-            plain = packed[b : b + block_bits // 8]
-            ranks.append(ranks[-1] + int(np.bitwise_count(plain).sum(dtype=np.int64)))
-            raw = plain.tobytes()
-            short = squeeze(raw)
-            blocks.append(short if len(short) < len(raw) else raw)
-            at.append(at[-1] + len(blocks[-1]))
-        planes.append({"rank": np.array(ranks, "<u8").tobytes(), "at": np.array(at, "<u8").tobytes(), "data": b"".join(blocks)})
-        order = np.concatenate([low, order[one]])
-    sections["zeros"] = np.array(zeros, "<u8").tobytes()
-    for i, plane in enumerate(planes):
-        sections |= {f"{name}{i}": part for name, part in plane.items()}
+        ones = np.add.reduceat(np.bitwise_count(packed).astype(np.int64), np.arange(0, len(packed), block_bits // 8))
+        sections[f"rank{plane}"] = np.r_[0, np.cumsum(ones)].astype("<u8").tobytes()
+        sections[f"bits{plane}"] = packed.tobytes()
+        stay = len(order) - int(counts[own].sum())
+        order = order.take(np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])[:stay])  # no branch a bit, as a mask has
     places, place = {}, 0
     for name, part in sections.items():
         places[name] = [place, len(part)]
         place += len(part)
-    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": bits, "block": block_bits, "at": places}).encode()
+    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "block": block_bits, "at": places}).encode()
     out = b"".join([MAGIC, struct.pack("<I", len(header)), header, *sections.values()])
     return out + struct.pack("<I", zlib.crc32(out))
 
@@ -98,68 +131,61 @@ class WaveletShard:
         (size,) = struct.unpack("<I", raw[8:12])
         head = json.loads(raw[12 : 12 + size])
         self._raw, self._base, self._at = memoryview(raw), 12 + size, head["at"]
-        self.n, self.bits, self.block = head["n"], head["bits"], head["block"]
-        self.alphabet = self._part("alphabet", "<u4")
+        self.n, self.block = head["n"], head["block"]
+        self.alphabet, self._lengths, self._counts = self._part("alphabet", "<u4"), self._part("lengths", "u1"), self._part("counts", "<u8").astype(np.int64)
         self.doc_starts = self._part("doc_starts", "<u8").astype(np.int64)
         self.doc_ids = [None if gone else int(x) for x, gone in zip(self._part("doc_ids", "<i8"), self._part("doc_null", "u1"), strict=True)]
-        self.zeros = [int(x) for x in self._part("zeros", "<u8")]
-        self._ranks = [self._part(f"rank{i}", "<u8") for i in range(self.bits)]
-        self._places = [self._part(f"at{i}", "<u8").astype(np.int64) for i in range(self.bits)]
-        self._data = [self._bytes(f"data{i}") for i in range(self.bits)]
-        self._plain = lru_cache(64)(self._block)
-
-    def _bytes(self, name: str) -> memoryview:
-        at, size = self._at[name]
-        return self._raw[self._base + at : self._base + at + size]
+        self._codes, self._ended = assign_codes(self._lengths)
+        self.planes = len(self._ended)
+        #: Ids that reach each plane, and zeros there.
+        self._sizes = [self.n]
+        for own in self._ended:
+            self._sizes.append(self._sizes[-1] - int(self._counts[own].sum()))
+        self._ranks = [self._part(f"rank{k}", "<u8") for k in range(self.planes)]
+        self._bits = [self._part(f"bits{k}", "u1") for k in range(self.planes)]
+        self._zeros = [size - int(rank[-1]) for size, rank in zip(self._sizes, self._ranks, strict=False)]
 
     def _part(self, name: str, kind: str) -> np.ndarray:
-        return np.frombuffer(self._bytes(name), kind)
-
-    def _block(self, plane: int, b: int) -> np.ndarray:
-        part = self._data[plane][self._places[plane][b] : self._places[plane][b + 1]]
-        plain = (min(self.n, (b + 1) * self.block) - b * self.block + 7) // 8
-        return np.frombuffer(part if len(part) == plain else zstandard.ZstdDecompressor().decompress(part, max_output_size=plain), np.uint8)
+        at, size = self._at[name]
+        return np.frombuffer(self._raw[self._base + at : self._base + at + size], kind)
 
     def _bit(self, plane: int, i: int) -> int:
-        b, at = divmod(i, self.block)
-        return int(self._plain(plane, b)[at >> 3] >> (at & 7)) & 1
+        return int(self._bits[plane][i >> 3]) >> (i & 7) & 1
 
     def _ones(self, plane: int, i: int) -> int:
         """Ones of a plane before place ``i``."""
-        b, at = divmod(i, self.block)
-        before = int(self._ranks[plane][b])
-        if at:
-            part = self._plain(plane, b)
-            before += int(np.bitwise_count(part[: at >> 3]).sum(dtype=np.int64))
-            if at & 7:
-                before += (int(part[at >> 3]) & ((1 << (at & 7)) - 1)).bit_count()
-        return before
+        b = i // self.block
+        first = b * self.block >> 3
+        before = int(self._ranks[plane][b]) + int(np.bitwise_count(self._bits[plane][first : i >> 3]).sum(dtype=np.int64))
+        return before + (int(self._bits[plane][i >> 3]) & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else before
 
     def _step(self, plane: int, bit: int, i: int) -> int:
         ones = self._ones(plane, i)
-        return self.zeros[plane] + ones if bit else i - ones
+        return self._zeros[plane] + ones if bit else i - ones
 
-    def _code(self, token: int) -> int | None:
+    def _symbol(self, token: int) -> int | None:
         k = int(np.searchsorted(self.alphabet, token))
         return k if k < len(self.alphabet) and self.alphabet[k] == token else None
 
     def access(self, i: int) -> int:
-        """The token at place ``i``."""
+        """The id at place ``i``."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        code = 0
-        for plane in range(self.bits):
-            bit = self._bit(plane, i)
-            code = code << 1 | bit
-            i = self._step(plane, bit, i)
-        return int(self.alphabet[code])
+        for plane in range(self.planes):
+            i = self._step(plane, self._bit(plane, i), i)
+            if i >= self._sizes[plane + 1]:
+                own = self._ended[plane]
+                k = int(np.searchsorted(np.cumsum(self._counts[own]), i - self._sizes[plane + 1], side="right"))
+                return int(self.alphabet[own[k]])
+        raise AssertionError("a code without an end")
 
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        code = self._code(token)
-        if code is None:
+        k = self._symbol(token)
+        if k is None:
             return 0, 0
-        for plane in range(self.bits):
-            bit = code >> (self.bits - 1 - plane) & 1
+        code, size = int(self._codes[k]), int(self._lengths[k])
+        for plane in range(size):
+            bit = code >> (size - 1 - plane) & 1
             lo, hi = self._step(plane, bit, lo), self._step(plane, bit, hi)
         return lo, hi
 
@@ -174,22 +200,24 @@ class WaveletShard:
 
     def _select_bit(self, plane: int, bit: int, k: int) -> int:
         """The place of the ``k``-th (from 0) such bit of a plane."""
-        ranks = self._ranks[plane].astype(np.int64)
+        size, ranks = self._sizes[plane], self._ranks[plane].astype(np.int64)
         if not bit:
-            ranks = np.minimum(np.arange(len(ranks)) * self.block, self.n) - ranks
+            ranks = np.minimum(np.arange(len(ranks)) * self.block, size) - ranks
         b = int(np.searchsorted(ranks, k, side="right")) - 1
-        flags = np.unpackbits(self._plain(plane, b), bitorder="little")[: min(self.block, self.n - b * self.block)]
-        return b * self.block + int(np.flatnonzero(flags == bit)[k - int(ranks[b])])
+        first, last = b * self.block, min((b + 1) * self.block, size)
+        flags = np.unpackbits(self._bits[plane][first >> 3 : (last + 7) >> 3], bitorder="little")[: last - first]
+        return first + int(np.flatnonzero(flags == bit)[k - int(ranks[b])])
 
     def select(self, token: int, k: int) -> int:
         """The place of the ``k``-th (from 0) occurrence of ``token``."""
         lo, hi = self._range(token, 0, self.n)
         if not 0 <= k < hi - lo:
             raise IndexError(k)
-        code, i = self._code(token), lo + k
-        for plane in range(self.bits - 1, -1, -1):
-            bit = code >> (self.bits - 1 - plane) & 1
-            i = self._select_bit(plane, bit, i - self.zeros[plane] if bit else i)
+        symbol, i = self._symbol(token), lo + k
+        code, size = int(self._codes[symbol]), int(self._lengths[symbol])
+        for plane in range(size - 1, -1, -1):
+            bit = code >> (size - 1 - plane) & 1
+            i = self._select_bit(plane, bit, i - self._zeros[plane] if bit else i)
         return i
 
     def occurrences(self, token: int) -> list[int]:
@@ -201,16 +229,17 @@ class WaveletShard:
 
     def decode(self) -> np.ndarray:
         """All ids, from the bottom plane up."""
-        kind = np.uint16 if self.bits <= 16 else np.uint32
-        out = np.zeros(self.n, kind)
-        for k, plane in enumerate(range(self.bits - 1, -1, -1)):
-            blocks = [self._block(plane, b) for b in range(len(self._places[plane]) - 1)]
-            one = np.unpackbits(np.concatenate(blocks), count=self.n, bitorder="little").view(bool) if blocks else np.zeros(0, bool)
-            above, z = np.empty(self.n, kind), self.zeros[plane]
-            above[~one] = out[:z]
-            above[one] = out[z:] | kind(1 << k)
-            out = above
-        return self.alphabet[out] if self.n else np.zeros(0, np.uint32)
+        kind = np.uint16 if not len(self.alphabet) or self.alphabet[-1] < 1 << 16 else np.uint32
+        alphabet, below = self.alphabet.astype(kind), np.zeros(0, kind)
+        for plane in range(self.planes - 1, -1, -1):
+            own = self._ended[plane]
+            below = np.concatenate([below, np.repeat(alphabet[own], self._counts[own])])
+            one = np.unpackbits(self._bits[plane], count=self._sizes[plane], bitorder="little").view(bool)
+            above, z = np.empty(self._sizes[plane], kind), self._zeros[plane]
+            above[np.flatnonzero(~one)] = below[:z]
+            above[np.flatnonzero(one)] = below[z:]
+            below = above
+        return below
 
 
 #: A chunk that is empty or begins or ends with white space of any kind.
