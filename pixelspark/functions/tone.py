@@ -45,7 +45,7 @@ def clamp(max_value: float = SDR_WHITE) -> Curve:
 
 
 def reinhard() -> Curve:
-    return lambda x: x.cast("float") / (_f(1) + x.cast("float"))
+    return lambda x: (x.cast("float") / (_f(1) + x.cast("float"))).cast("float")
 
 
 def reinhard_extended(white: float = REINHARD_WHITE) -> Curve:
