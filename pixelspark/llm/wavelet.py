@@ -38,7 +38,7 @@ MAGIC = b"WVMSHRD2"
 BLOCK_BITS = 1 << 12
 SHARD_TOKENS = 1 << 20
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 1 << 25
+ENCODE_BYTES = 1 << 24
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -274,7 +274,7 @@ class ChunkEncoder:
 
     def _forget(self) -> None:
         self._kept: dict[str, int] = {}
-        self._starts, self._sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._starts, self._sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self._pool, self._entries, self._used = np.zeros(1 << 18, self.kind), 0, 0
 
     def _add(self, ids: list[list[int]]) -> int:
@@ -329,16 +329,17 @@ class ChunkEncoder:
         new = [k for k, (x, bad) in enumerate(zip(found, odd_name.tolist(), strict=True)) if x is None and not bad]
         for k, entry in zip(new, self._learn([names[k] for k in new]), strict=True):
             found[k] = entry
-        entries = np.array([-1 if x is None else x for x in found], np.int64)[codes]
+        entries = np.array([-1 if x is None else x for x in found], np.int32)[codes]
         # A text's first chunk has no space before it; of a text encoded as a whole it stands for all chunks.
         rows = texts.to_pylist()
         firsts = self._add(self._whole([x if whole else x.partition(" ")[0] for x, whole in zip(rows, odd.tolist(), strict=True)]))
         entries[np.repeat(odd, np.diff(offsets))] = -1
         entries[offsets[:-1]] = firsts + np.arange(len(rows))
         sizes = np.where(entries < 0, 0, self._sizes[entries])
-        before = np.cumsum(sizes) - sizes
-        total = int(sizes.sum())
-        ids = self._pool[np.repeat(self._starts[entries] - before, sizes) + np.arange(total)]
+        before = np.cumsum(sizes, dtype=np.int32) - sizes
+        at = np.repeat(self._starts[entries] - before, sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = self._pool.take(at)
         return ids, np.add.reduceat(sizes, offsets[:-1]) if len(rows) else sizes
 
 
