@@ -7,7 +7,7 @@ like.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,19 +104,33 @@ def _unlift(v: Sequence[Column]) -> list[Column]:
     return [a - b, b, c, d + c]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: chained expressions would otherwise repeat it at every mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _cells(block: Column) -> list[list[Column]]:
+    return [[_long(F.element_at(block, 4 * i + j + 1)) for j in range(4)] for i in range(4)]
+
+
 def fwht4x4(block: Column) -> Column:
     """Of an array of 16 values in rows; columns first."""
-    v = [_long(F.element_at(block, k + 1)) for k in range(16)]
-    columns = [_lift([v[4 * i + j] for i in range(4)]) for j in range(4)]
-    rows = [_lift([columns[j][i] for j in range(4)]) for i in range(4)]
-    return F.array(*[x for row in rows for x in row])
+
+    def columns(b: Column) -> Column:
+        v = _cells(b)
+        done = [_lift([v[i][j] for i in range(4)]) for j in range(4)]
+        return F.array(*[done[j][i] for i in range(4) for j in range(4)])
+
+    return _let(_let(block, columns), lambda b: F.array(*[x for row in _cells(b) for x in _lift(row)]))
 
 
 def iwht4x4(block: Column) -> Column:
-    v = [_long(F.element_at(block, k + 1)) for k in range(16)]
-    rows = [_unlift(v[4 * i : 4 * i + 4]) for i in range(4)]
-    columns = [_unlift([rows[i][j] for i in range(4)]) for j in range(4)]
-    return F.array(*[columns[j][i] for i in range(4) for j in range(4)])
+    def columns(b: Column) -> Column:
+        v = _cells(b)
+        done = [_unlift([v[i][j] for i in range(4)]) for j in range(4)]
+        return F.array(*[done[j][i] for i in range(4) for j in range(4)])
+
+    return _let(_let(block, lambda b: F.array(*[x for row in _cells(b) for x in _unlift(row)])), columns)
 
 
 def cos128(angle: int) -> int:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import colour, images, signal
+from . import colour, containers, images, signal
 
-_PARTS = (colour, signal, images)
+_PARTS = (colour, signal, images, containers)
 
 
 def queries() -> dict:
