@@ -15,8 +15,8 @@ from pixelspark.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Near duplicates are told by shingles of so many words.
-SHINGLE_WORDS = 5
+#: Shingle words of the near-dedup stage: what the contract of its operator says, as three bits are what its codes find.
+SHINGLE_WORDS = 3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
