@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import colour, containers, images, signal
+from . import catalog, colour, containers, images, signal, video
 
-_PARTS = (colour, signal, images, containers)
+_PARTS = (colour, signal, images, containers, video, catalog)
 
 
 def queries() -> dict:
