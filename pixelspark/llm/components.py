@@ -26,9 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
     while (seen := _checksum(now)) != last:
         last = seen
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join deals both its sides out anew and Spark can split a hub's edges.
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         now = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(now.groupBy("u").agg(F.min("v").alias("m")), "least")
         kept = now.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         oriented = kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
         now = staged(oriented.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
