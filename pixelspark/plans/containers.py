@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import integer as n
-from ..operators import codecs
+from ..operators import coders, codecs, lossless
 from ..sources import isobmff, png, riff, tiff
 from . import inputs as i
 
@@ -72,6 +72,10 @@ def _rgb(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(16, 16, 3)
 
 
+def _argb(raw: bytes) -> np.ndarray:
+    return np.concatenate([np.full((16, 16, 1), 255), _rgb(raw)], axis=2)
+
+
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = images(spark, sf_dir)
     raw = F.col("raw")
@@ -81,12 +85,14 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tiff_plain": lambda x: tiff.read_page(tiff.write_pages([_rgb(x)], big_endian=True)).tobytes(),
         "tiff_lzw": lambda x: tiff.read_page(tiff.write_pages([_rgb(x)] * 2, compression="lzw", predictor=True), 1).tobytes(),
         "tiff_packbits": lambda x: tiff.read_page(tiff.write_pages([_rgb(x)], compression="packbits", big=True, strip_bytes=100)).tobytes(),
+        "webp": lambda x: lossless.read_webp(lossless.write_webp(_argb(x), colour=x[0] % 2 == 1))[..., 1:].astype(np.uint8).tobytes(),
+        "range_coder": lambda x: coders.decode_bytes(coders.encode_bytes(x), 768),
         "ljpeg": lambda x: codecs.ljpeg_decode(codecs.ljpeg_encode(_rgb(x), 8)).astype(np.uint8).tobytes(),
     }
     return px.select("img", *[F.md5(_mapped(work, raw)).alias(name) for name, work in back.items()])
 
 
-QUERIES["image_files"] = image_files, f"WITH {_IMAGES} SELECT img, {', '.join(f'raw AS {x}' for x in ('png', 'png_brute', 'tiff_plain', 'tiff_lzw', 'tiff_packbits', 'ljpeg'))} FROM rw"
+QUERIES["image_files"] = image_files, f"WITH {_IMAGES} SELECT img, {', '.join(f'raw AS {x}' for x in ('png', 'png_brute', 'tiff_plain', 'tiff_lzw', 'tiff_packbits', 'webp', 'range_coder', 'ljpeg'))} FROM rw"
 
 
 def png_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
