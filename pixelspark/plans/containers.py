@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import integer as n
 from ..operators import coders, codecs, lossless
-from ..sources import isobmff, png, riff, tiff
+from ..sources import dng, isobmff, png, riff, tiff
+from ..sources import images as files
 from . import inputs as i
 
 QUERIES: dict = {}
@@ -153,3 +154,36 @@ def leb128(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["leb128"] = leb128, f"""WITH {i.INTEGERS}, w AS (SELECT k, u * 9999 AS v, CASE WHEN u * 9999 < 128 THEN 1 WHEN u * 9999 < 16384 THEN 2 WHEN u * 9999 < 2097152 THEN 3 WHEN u * 9999 < 268435456 THEN 4 ELSE 5 END AS n FROM ints)
 SELECT k, string_agg(printf('%02X', CAST((v >> (7 * j) & 127) + CASE WHEN j < n - 1 THEN 128 ELSE 0 END AS INT)), '' ORDER BY j) AS bytes FROM w, range(5) t(j) WHERE j < n GROUP BY k"""
+
+
+def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TIFF files to each format and back to RGB: sniffed format, sides and the pixels' MD5."""
+    source = images(spark, sf_dir).select(F.col("img").cast("string").alias("path"), _mapped(lambda raw: tiff.write_pages([_rgb(raw)], compression="packbits"), F.col("raw")).alias("content"))
+    rows = files.decode_files(source, channels=3, mode="failfast")
+    out = None
+    for form in ("webp", "tiff", "png"):
+        there = files.encode_images(rows, form)
+        back = files.decode_files(there, channels=3, mode="failfast").withColumnRenamed("path", "p2")
+        own = there.select("path", files.sniff(F.col("content")).alias("format")).join(back, F.col("path") == F.col("p2"))
+        own = own.select(F.col("path").cast("long").alias("img"), "format", "width", "height", "model", F.md5("data").alias("pixels"))
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+QUERIES["convert_images"] = conversions, f"WITH {_IMAGES} SELECT img, format, 16 AS width, 16 AS height, 'rgb' AS model, raw AS pixels FROM rw, (SELECT unnest(['webp', 'tiff', 'png']) AS format)"
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve-bit mosaics as DNG files by each compression, and their samples' MD5 when read back."""
+
+    def write(raw: bytes) -> bytes:
+        x = np.frombuffer(raw, np.uint8).reshape(16, 48)[:, :16].astype(np.int64) * 16
+        return dng.write(dng.Raw(x[:, :, None], 12, model="unit"), compression=("none", "deflate", "ljpeg")[raw[0] % 3], big_endian=raw[1] % 2 == 1)
+
+    source = images(spark, sf_dir).select(F.col("img").cast("string").alias("path"), _mapped(write, F.col("raw")).alias("content"))
+    found = dng.read_raws(source, mode="failfast")
+    return found.select(F.col("path").cast("long").alias("img"), "width", "rows", "bits", "white", "model", F.md5("samples").alias("samples"))
+
+
+QUERIES["raw_files"] = raw_files, f"""WITH {i.PIXELS}, b AS (SELECT img, y * 48 + x * 3 + k AS p, CASE k WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM px, range(3) t(k))
+SELECT img, 16 AS width, 16 AS rows, 12 AS bits, CAST(4095 AS BIGINT) AS white, 'unit' AS model, md5(unhex(string_agg(printf('%02X%02X', v * 16 % 256, v * 16 // 256), '' ORDER BY p))) AS samples FROM b WHERE p % 48 < 16 GROUP BY img"""
