@@ -133,6 +133,64 @@ def iwht4x4(block: Column) -> Column:
     return _let(_let(block, lambda b: F.array(*[x for row in _cells(b) for x in _unlift(row)])), columns)
 
 
+# VP8's 4 x 4 transforms (RFC 6386): fixed-point rotations by an eighth of a half turn, in two passes.
+
+_SIN, _COS = 35468, 20091  # sqrt(2) sin(pi/8) and sqrt(2) cos(pi/8) - 1, times 65536
+
+
+def _scaled(v: Column, k: int) -> Column:
+    return F.shiftright(v * k, 16)
+
+
+def _turn(v: Sequence[Column]) -> list[Column]:
+    low, high = v[0] + v[2], v[0] - v[2]
+    c = _scaled(v[1], _SIN) - (v[3] + _scaled(v[3], _COS))
+    d = v[1] + _scaled(v[1], _COS) + _scaled(v[3], _SIN)
+    return [low + d, high + c, high - c, low - d]
+
+
+def _hadamard(v: Sequence[Column]) -> list[Column]:
+    a, b, c, d = v[0] + v[3], v[1] + v[2], v[1] - v[2], v[0] - v[3]
+    return [a + b, c + d, a - b, d - c]
+
+
+def _columns_then_rows(block: Column, one: Callable[[Sequence[Column]], list[Column]], bias: int) -> Column:
+    def columns(b: Column) -> Column:
+        v = _cells(b)
+        done = [one([v[i][j] for i in range(4)]) for j in range(4)]
+        return F.array(*[done[j][i] for i in range(4) for j in range(4)])
+
+    return _let(_let(block, columns), lambda b: F.array(*[F.shiftright(x + bias, 3) for row in _cells(b) for x in one(row)]))
+
+
+def vp8_idct4x4(block: Column) -> Column:
+    return _columns_then_rows(block, _turn, 4)
+
+
+def vp8_iwht4x4(block: Column) -> Column:
+    return _columns_then_rows(block, _hadamard, 3)
+
+
+def vp8_fdct4x4(block: Column) -> Column:
+    """Rows first; the roundings are those that its inverse undoes best."""
+
+    def rows(b: Column) -> Column:
+        out = []
+        for v in _cells(b):
+            a, m, c, d = (x * 8 for x in (v[0] + v[3], v[1] + v[2], v[1] - v[2], v[0] - v[3]))
+            out += [a + m, F.shiftright(c * 2217 + d * 5352 + 14500, 12), a - m, F.shiftright(d * 2217 - c * 5352 + 7500, 12)]
+        return F.array(*out)
+
+    def columns(b: Column) -> Column:
+        v, done = _cells(b), []
+        for j in range(4):
+            a, m, c, d = v[0][j] + v[3][j], v[1][j] + v[2][j], v[1][j] - v[2][j], v[0][j] - v[3][j]
+            done.append([F.shiftright(a + m + 7, 4), F.shiftright(c * 2217 + d * 5352 + 12000, 16) + F.when(d != 0, 1).otherwise(0), F.shiftright(a - m + 7, 4), F.shiftright(d * 2217 - c * 5352 + 51000, 16)])
+        return F.array(*[done[j][i] for i in range(4) for j in range(4)])
+
+    return _let(_let(block, rows), columns)
+
+
 def cos128(angle: int) -> int:
     """4096 times the cosine of ``angle`` 128ths of a half turn, rounded."""
     return int(math.floor(4096 * math.cos(math.pi * (angle % 256) / 128) + 0.5)) if angle % 256 not in (64, 192) else 0

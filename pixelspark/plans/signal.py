@@ -105,3 +105,30 @@ o AS (SELECT vec_id, v, c, CASE WHEN c = 0 THEN (t * 2896 + 8388608) >> 24 ELSE
 
 
 QUERIES["integer_dct"] = dct, _dct_sql()
+
+
+def vp8_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forward transform's coefficients, and the largest error of a sample after the inverse; the inverse Hadamard."""
+    rows = i.blocks(spark, sf_dir).withColumn("t", n.vp8_fdct4x4(F.col("v"))).withColumn("back", n.vp8_idct4x4(F.col("t"))).withColumn("h", n.vp8_iwht4x4(F.col("v")))
+    error = F.array_max(F.zip_with("v", "back", lambda a, b: F.abs(a - b)))
+    return rows.select("vec_id", *_each(F.col("t")), *[F.element_at("h", k + 1).cast("long").alias(f"h{k:02d}") for k in range(16)], (error <= 1).alias("near"))
+
+
+def _vp8_sql() -> str:
+    fwd1, fwd2, had1, had2 = [], [], [], []
+    for r in range(4):
+        w, x, y, z = (f"v[{4 * r + c + 1}]" for c in range(4))
+        c, d = f"(({x} - {y}) * 8)", f"(({w} - {z}) * 8)"
+        fwd1 += [f"({w} + {z} + {x} + {y}) * 8 AS f{r}0", f"({c} * 2217 + {d} * 5352 + 14500) >> 12 AS f{r}1", f"({w} + {z} - {x} - {y}) * 8 AS f{r}2", f"({d} * 2217 - {c} * 5352 + 7500) >> 12 AS f{r}3"]
+    for c in range(4):
+        w, x, y, z = (f"f{r}{c}" for r in range(4))
+        fwd2 += [f"({w} + {z} + {x} + {y} + 7) >> 4 AS v{c:02d}", f"((({x} - {y}) * 2217 + ({w} - {z}) * 5352 + 12000) >> 16) + CAST({w} <> {z} AS INT) AS v{4 + c:02d}", f"({w} + {z} - {x} - {y} + 7) >> 4 AS v{8 + c:02d}", f"(({w} - {z}) * 2217 - ({x} - {y}) * 5352 + 51000) >> 16 AS v{12 + c:02d}"]
+        w, x, y, z = (f"v[{4 * r + c + 1}]" for r in range(4))
+        had1 += [f"{w} + {z} + {x} + {y} AS g0{c}", f"{x} - {y} + {w} - {z} AS g1{c}", f"{w} + {z} - {x} - {y} AS g2{c}", f"{w} - {z} - {x} + {y} AS g3{c}"]
+    for r in range(4):
+        w, x, y, z = (f"g{r}{c}" for c in range(4))
+        had2 += [f"({w} + {z} + {x} + {y} + 3) >> 3 AS h{4 * r:02d}", f"({x} - {y} + {w} - {z} + 3) >> 3 AS h{4 * r + 1:02d}", f"({w} + {z} - {x} - {y} + 3) >> 3 AS h{4 * r + 2:02d}", f"({w} - {z} - {x} + {y} + 3) >> 3 AS h{4 * r + 3:02d}"]
+    return f"WITH {i.BLOCKS}, m AS (SELECT vec_id, {', '.join(fwd1 + had1)} FROM bl) SELECT vec_id, {', '.join(fwd2 + had2)}, true AS near FROM m"
+
+
+QUERIES["vp8_transforms"] = vp8_transforms, _vp8_sql()
