@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import pieces, table
 
 EDIT_RATE = 0.1
 TARGET_RECALL = 0.98
@@ -307,7 +307,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 
         def run(batches: Iterator[pa.RecordBatch], held: object = held) -> Iterator[pa.RecordBatch]:
             search = Search(held.value)
-            for batch in batches:
+            for batch in pieces(batches, 1024):
                 texts = [normal(x) for x in batch.column(1).to_pylist()]
                 leaks = [(first + d, *leak) for first, part in _chunks(texts) for d, own in enumerate(search.find(part)) for leak in own]
                 of = pa.array([x[0] for x in leaks], pa.int64())
@@ -332,7 +332,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
         def run(batches: Iterator[pa.RecordBatch], held: object = held, place: int = place) -> Iterator[pa.RecordBatch]:
             search = Search(held.value)
-            for batch in batches:
+            for batch in pieces(batches, 1024):
                 raws = (x if isinstance(x, bytes) or x is None else x.encode() for x in batch.column(place).to_pylist())
                 texts = [normal(x) for x in raws]
                 yield batch.filter(pa.array([not own for _, part in _chunks(texts) for own in search.find(part)], pa.bool_()))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, table
+from .common import crc_fold, pieces, table
 
 #: The model is fitted on a sample bounded by these: documents a language (in the mean, drawn by a hash of the id),
 #: and different (language, word) pairs, the most frequent first.
@@ -144,7 +144,7 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter[tuple[str, str]] = Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tally.update((lang, x) for x in words_of(text))
         yield pa.RecordBatch.from_pydict({"lang": [a for a, _ in tally], "word": [b for _, b in tally], "n": list(tally.values())}, pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = None
-        for batch in batches:
+        for batch in pieces(batches):
             predictor = predictor or Predictor(held.value)
             found = [predictor.predict(x) for x in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names)

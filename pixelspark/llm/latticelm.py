@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, staged, table
+from .common import crc_fold, pieces, staged, table
 
 #: The workers' dictionary has at most so many words.
 HOT_WORDS = 250_000
@@ -136,7 +136,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                     n = pa.array(counts[at : at + 50_000], pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), n if train else pa.array([0] * len(n), pa.int64()), n], ["word", "n_train", "n_all"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tallies[bool(train)].update(words_of(text))
                 if len(tallies[0]) + len(tallies[1]) > TALLY:

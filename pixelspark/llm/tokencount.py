@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 #: A text longer than this many characters is split where that can't change its tokens.
 PIECE_CHARS = 4096
@@ -101,11 +101,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 4096, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
-        for batch in batches:
+        for part in pieces(batches, 512):
             count = count or load_counter(tokenizer)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count(part.column(2).to_pylist()), pa.int64())], ["__id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count(part.column(2).to_pylist()), pa.int64())], ["__id", "n_bytes", "n_tokens"])
 
     counted = rows.mapInArrow(run, f"__id {name}, n_bytes long, n_tokens long")
     return counted.select(F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
