@@ -467,3 +467,60 @@ def read_webp(raw: bytes) -> np.ndarray:
         if code == "VP8L":
             return decode(payload)
     raise ValueError("WebP: no lossless stream")
+
+
+# --- alpha planes beside lossy images ---------------------------------------------------------------------------------
+
+
+def _alpha_guess(plane: np.ndarray, kind: int) -> np.ndarray:
+    """Predictions of the four filters (none, left, above, gradient) from the plane itself."""
+    left, up, corner = (np.zeros_like(plane) for _ in range(3))
+    left[:, 1:], up[1:], corner[1:, 1:] = plane[:, :-1], plane[:-1], plane[:-1, :-1]
+    if kind == 0:
+        return np.zeros_like(plane)
+    guess = {1: left, 2: up, 3: np.clip(left + up - corner, 0, 255)}[kind].copy()
+    guess[1:, 0] = up[1:, 0] if kind != 2 else guess[1:, 0]
+    guess[0, 1:] = left[0, 1:]
+    guess[0, 0] = 0
+    return guess
+
+
+def write_alpha(plane: np.ndarray) -> bytes:
+    """An ALPH payload: the filter of least residual, or a lossless stream where that is shorter."""
+    plane = plane.astype(np.int64)
+    rests = [(plane - _alpha_guess(plane, k)) % 256 for k in range(4)]
+    kind = int(np.argmin([np.minimum(x, 256 - x).sum() for x in rests]))
+    plain = bytes([kind << 2]) + rests[kind].astype(np.uint8).tobytes()
+    image = np.zeros((*plane.shape, 4), np.int64)
+    image[..., 0], image[..., 2] = 255, plane
+    packed = b"\x01" + encode(image)[5:]  # without signature and sides, which are 40 bits
+    return packed if len(packed) < len(plain) else plain
+
+
+def read_alpha(payload: bytes, rows: int, width: int) -> np.ndarray:
+    if not payload:
+        raise ValueError("ALPH: empty")
+    kind, how = payload[0] >> 2 & 3, payload[0] & 3
+    if how == 0:
+        if len(payload) != 1 + rows * width:
+            raise ValueError("ALPH: wrong size")
+        rest = np.frombuffer(payload, np.uint8, offset=1).reshape(rows, width).astype(np.int64)
+    elif how == 1:
+        head = _bytes(_field(SIGNATURE, 8) + _field(width - 1, 14) + _field(rows - 1, 14) + _field(0, 4))
+        rest = decode(head + payload[1:])[..., 2]
+    else:
+        raise ValueError("ALPH: reserved method")
+    if not kind:
+        return rest.astype(np.uint8)
+    out = rest.copy()
+    for y in range(rows):
+        for x in range(width):
+            left, up = (int(out[y, x - 1]) if x else None), (int(out[y - 1, x]) if y else None)
+            if left is None and up is None:
+                continue
+            if left is None or up is None:
+                guess = up if left is None else left
+            else:
+                guess = left if kind == 1 else up if kind == 2 else min(max(left + up - int(out[y - 1, x - 1]), 0), 255)
+            out[y, x] = (out[y, x] + guess) & 255
+    return out.astype(np.uint8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -52,7 +53,65 @@ def filtered(samples: np.ndarray, bpp: int, strategy: str = "min_sum_abs") -> by
     return np.column_stack([best.astype(np.uint8), picked]).tobytes()
 
 
-def encode(samples: np.ndarray, colour: str, *, depth: int = 8, strategy: str = "min_sum_abs", level: int = 6, palette: bytes = b"", alphas: bytes = b"", texts: dict[str, str] | None = None, gamma: float | None = None) -> bytes:
+# Ancillary chunks, each (kind, data). Those of _BEFORE stand before the palette, the rest after it.
+
+_BEFORE = (b"cHRM", b"gAMA", b"iCCP", b"sBIT", b"sRGB")
+
+
+def gamma(value: float) -> tuple[bytes, bytes]:
+    return b"gAMA", struct.pack(">I", round(value * 100_000))
+
+
+def srgb(intent: int = 0) -> tuple[bytes, bytes]:
+    return b"sRGB", bytes([intent])
+
+
+def chromaticities(white: tuple[float, float], *primaries: tuple[float, float]) -> tuple[bytes, bytes]:
+    return b"cHRM", struct.pack(">8I", *(round(v * 100_000) for xy in (white, *primaries) for v in xy))
+
+
+def significant_bits(*bits: int) -> tuple[bytes, bytes]:
+    return b"sBIT", bytes(bits)
+
+
+def background(*samples: int, indexed: bool = False) -> tuple[bytes, bytes]:
+    return b"bKGD", bytes(samples) if indexed else struct.pack(f">{len(samples)}H", *samples)
+
+
+def physical(x: int, y: int, metres: bool = True) -> tuple[bytes, bytes]:
+    return b"pHYs", struct.pack(">IIB", x, y, metres)
+
+
+def time(year: int, month: int, day: int, hour: int = 0, minute: int = 0, second: int = 0) -> tuple[bytes, bytes]:
+    return b"tIME", struct.pack(">HBBBBB", year, month, day, hour, minute, second)
+
+
+def text(keyword: str, value: str, *, compressed: bool = False) -> tuple[bytes, bytes]:
+    """Latin-1 text as tEXt or zTXt, anything else as iTXt."""
+    key = keyword.encode("latin-1")
+    if not 1 <= len(key) <= 79:
+        raise ValueError("PNG: a keyword has 1 to 79 bytes")
+    try:
+        plain = value.encode("latin-1")
+    except UnicodeEncodeError:
+        body = value.encode()
+        return b"iTXt", key + b"\0" + bytes([compressed, 0]) + b"\0\0" + (zlib.compress(body) if compressed else body)
+    return (b"zTXt", key + b"\0\0" + zlib.compress(plain)) if compressed else (b"tEXt", key + b"\0" + plain)
+
+
+def icc_profile(name: str, profile: bytes) -> tuple[bytes, bytes]:
+    return b"iCCP", name.encode("latin-1") + b"\0\0" + zlib.compress(profile)
+
+
+def exif(data: bytes) -> tuple[bytes, bytes]:
+    return b"eXIf", data
+
+
+def xmp(packet: str) -> tuple[bytes, bytes]:
+    return b"iTXt", b"XML:com.adobe.xmp\0\0\0\0\0" + packet.encode()
+
+
+def encode(samples: np.ndarray, colour: str, *, depth: int = 8, strategy: str = "min_sum_abs", level: int = 6, palette: bytes = b"", alphas: bytes = b"", extra: Sequence[tuple[bytes, bytes]] = ()) -> bytes:
     """``samples``: (rows, columns, samples a pixel). ``brute_force`` tries every filter and keeps the smallest."""
     code, parts, depths = COLOURS[colour]
     if depth not in depths or samples.shape[2] != parts:
@@ -69,13 +128,12 @@ def encode(samples: np.ndarray, colour: str, *, depth: int = 8, strategy: str =
     tried = ["min_sum_abs", "0", "1", "2", "3", "4"] if strategy == "brute_force" else [strategy]
     body = min((zlib.compress(filtered(flat, bpp, x), level) for x in tried), key=len)
     out = [SIGNATURE, chunk(b"IHDR", struct.pack(">IIBBBBB", width, rows, depth, code, 0, 0, 0))]
-    if gamma is not None:
-        out.append(chunk(b"gAMA", struct.pack(">I", round(gamma * 100_000))))
+    out += [chunk(k, v) for k, v in extra if k in _BEFORE]
     if palette:
         out.append(chunk(b"PLTE", palette))
     if alphas:
         out.append(chunk(b"tRNS", alphas))
-    out += [chunk(b"tEXt", k.encode("latin-1") + b"\0" + v.encode("latin-1")) for k, v in (texts or {}).items()]
+    out += [chunk(k, v) for k, v in extra if k not in _BEFORE]
     out += [chunk(b"IDAT", body[k : k + MOST_IDAT]) for k in range(0, len(body), MOST_IDAT)]
     return b"".join([*out, chunk(b"IEND", b"")])
 

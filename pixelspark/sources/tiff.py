@@ -1,7 +1,8 @@
 """TIFF: directories of typed tags as rows, strips as splits, and a baseline reader and writer.
 
-Classic and BigTIFF, both byte orders. Samples are 8 bits, gray or RGB or RGBA, in strips, plain or compressed by
-PackBits or LZW, with or without horizontal differencing; bilevel strips may be Modified Huffman or Group 4.
+Classic and BigTIFF, both byte orders. Samples are 8 bits, gray, RGB, RGBA, CMYK or indices of a palette, in strips or
+tiles, plain or compressed by PackBits, LZW or DEFLATE, with or without horizontal differencing; bilevel strips may be
+Modified Huffman or Group 4.
 """
 
 from __future__ import annotations
@@ -120,73 +121,127 @@ def _read_page(raw: bytes, page: int) -> np.ndarray:
     if width * rows * spp > MOST_IMAGE or bits not in (1, 8):
         raise ValueError("TIFF: unsupported size or depth")
     stored = (width * spp * bits + 7) // 8
-    out = []
-    offsets, counts = tags[273][1], tags[279][1]
-    if len(offsets) != -(-rows // per_strip) or len(counts) != len(offsets):
-        raise ValueError("TIFF: wrong number of strips")
+    if 322 in tags:
+        if bits != 8:
+            raise ValueError("TIFF: tiles have 8 bits a sample")
+        samples = _tiles(raw, tags, rows, width, spp, scheme, predictor)
+    else:
+        out = []
+        offsets, counts = tags[273][1], tags[279][1]
+        if len(offsets) != -(-rows // per_strip) or len(counts) != len(offsets):
+            raise ValueError("TIFF: wrong number of strips")
+        for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
+            own = min(per_strip, rows - k * per_strip)
+            out.append(_plain(raw[at : at + n], own, stored, width, bits, scheme))
+        whole = b"".join(out)
+        if bits == 1:
+            return codecs.unpack_rows(whole, rows, width, 1)[:, :, None].astype(np.uint8)
+        samples = np.frombuffer(whole, np.uint8).reshape(rows, width, spp)
+        samples = np.cumsum(samples, axis=1, dtype=np.uint64).astype(np.uint8) if predictor == 2 else samples
+    if one(262) == 3:
+        table = np.array(tags[320][1]).reshape(3, -1).T >> 8
+        return table[samples[..., 0]].astype(np.uint8)
+    return samples
+
+
+def _plain(part: bytes, rows: int, stored: int, width: int, bits: int, scheme: str | None) -> bytes:
+    """The bytes of a strip or tile."""
+    if scheme == "none":
+        plain = part[: rows * stored]
+    elif scheme in ("packbits", "lzw"):
+        plain = (codecs.packbits_decode if scheme == "packbits" else codecs.lzw_decode)(part, rows * stored)
+    elif scheme in ("mh", "g4") and bits == 1:
+        plain = (codecs.mh_decode if scheme == "mh" else codecs.g4_decode)(part, rows, width)
+    elif scheme == "deflate":
+        plain = codecs.inflate(part)
+    else:
+        raise ValueError("TIFF: unsupported compression")
+    if len(plain) != rows * stored:
+        raise ValueError("TIFF: a strip is truncated")
+    return plain
+
+
+def _tiles(raw: bytes, tags: dict, rows: int, width: int, spp: int, scheme: str | None, predictor: int) -> np.ndarray:
+    wide, tall = tags[322][1][0], tags[323][1][0]
+    across, down = -(-width // wide), -(-rows // tall)
+    offsets, counts = tags[324][1], tags[325][1]
+    if len(offsets) != across * down or len(counts) != len(offsets) or wide * tall * spp > MOST_IMAGE:
+        raise ValueError("TIFF: wrong number of tiles")
+    out = np.zeros((down * tall, across * wide, spp), np.uint8)
     for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
-        part, own = raw[at : at + n], min(per_strip, rows - k * per_strip)
-        if scheme == "none":
-            plain = part[: own * stored]
-        elif scheme in ("packbits", "lzw"):
-            plain = (codecs.packbits_decode if scheme == "packbits" else codecs.lzw_decode)(part, own * stored)
-        elif scheme in ("mh", "g4") and bits == 1:
-            plain = (codecs.mh_decode if scheme == "mh" else codecs.g4_decode)(part, own, width)
-        elif scheme == "deflate":
-            plain = codecs.inflate(part)
-        else:
-            raise ValueError("TIFF: unsupported compression")
-        if len(plain) != own * stored:
-            raise ValueError("TIFF: a strip is truncated")
-        out.append(plain)
-    whole = b"".join(out)
-    if bits == 1:
-        return codecs.unpack_rows(whole, rows, width, 1)[:, :, None].astype(np.uint8)
-    samples = np.frombuffer(whole, np.uint8).reshape(rows, width, spp)
-    return np.cumsum(samples, axis=1, dtype=np.uint64).astype(np.uint8) if predictor == 2 else samples
-
-
-def write_pages(pages: list[np.ndarray], *, compression: str = "none", predictor: bool = False, big_endian: bool = False, big: bool = False, strip_bytes: int = 8192) -> bytes:
-    """Pages of 8-bit samples (rows, columns, 1, 3 or 4 samples), or of bits with ``mh`` or ``g4``, as one file."""
+        y, x = divmod(k, across)
+        tile = np.frombuffer(_plain(raw[at : at + n], tall, wide * spp, wide, 8, scheme), np.uint8).reshape(tall, wide, spp)
+        out[y * tall : (y + 1) * tall, x * wide : (x + 1) * wide] = np.cumsum(tile, axis=1, dtype=np.uint64).astype(np.uint8) if predictor == 2 else tile
+    return out[:rows, :width]
+
+
+def write_pages(
+    pages: list[np.ndarray], *, compression: str = "none", predictor: bool = False, big_endian: bool = False, big: bool = False, strip_bytes: int = 8192, tile: tuple[int, int] | None = None, palette: np.ndarray | None = None, cmyk: bool = False
+) -> bytes:
+    """Pages of 8-bit samples (rows, columns, 1, 3 or 4 samples), or of bits with ``mh`` or ``g4``, as one file, in
+    strips or in tiles of (rows, columns), multiples of 16. ``palette``: RGB rows that gray pages index."""
     order, word = (">" if big_endian else "<"), ("Q" if big else "I")
     code = {v: k for k, v in reversed(COMPRESSIONS.items())}[compression]
+    bits = 1 if compression in ("mh", "g4") else 8
+    if tile and (tile[0] % 16 or tile[1] % 16 or bits == 1):
+        raise ValueError("TIFF: tiles are multiples of 16, of 8-bit samples")
     out = bytearray(b"MM" if big_endian else b"II")
     out += struct.pack(order + ("HHHQ" if big else "HI"), *((43, 8, 0, 0) if big else (42, 0)))
     link = len(out) - struct.calcsize(word)
     for k, page in enumerate(pages):
         rows, width, spp = page.shape
-        bits = 1 if compression in ("mh", "g4") else 8
         stored = (width * spp * bits + 7) // 8
         per_strip = max(1, strip_bytes // stored)
+        if tile:
+            tall, wide = tile
+            padded = np.zeros((-(-rows // tall) * tall, -(-width // wide) * wide, spp), np.uint8)
+            padded[:rows, :width] = page
+            parts = [padded[y : y + tall, x : x + wide] for y in range(0, rows, tall) for x in range(0, width, wide)]
+        else:
+            parts = [page[y : y + per_strip] for y in range(0, rows, per_strip)]
         offsets, counts = [], []
-        for y in range(0, rows, per_strip):
-            part = page[y : y + per_strip]
-            if predictor and bits == 8:
-                part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], axis=1)
-            plain = codecs.pack_rows(part[:, :, 0], 1) if bits == 1 else part.tobytes()
-            if compression == "packbits":
-                data = b"".join(codecs.packbits_encode(plain[a : a + stored]) for a in range(0, len(plain), stored))
-            else:
-                data = {"none": lambda: plain, "lzw": lambda: codecs.lzw_encode(plain), "deflate": lambda: codecs.deflate(plain), "mh": lambda: codecs.mh_encode(plain, width), "g4": lambda: codecs.g4_encode(plain, width)}[compression]()  # noqa: B023
+        for part in parts:
+            data = _block(part, compression, predictor, bits)
             out += b"\0" * (len(out) & 1)
             offsets.append(len(out))
             counts.append(len(data))
             out += data
-        photometric = 0 if bits == 1 else 1 if spp == 1 else 2
+        photometric = 0 if bits == 1 else 3 if palette is not None else 1 if spp == 1 else 5 if cmyk else 2
         tags: list[tuple[int, int, list]] = [
             (254, 4, [2 if len(pages) > 1 else 0]), (256, 4, [width]), (257, 4, [rows]), (258, 3, [bits] * spp), (259, 3, [code]), (262, 3, [photometric]),
-            (273, 4, offsets), (277, 3, [spp]), (278, 4, [per_strip]), (279, 4, counts), (282, 5, [(72, 1)]), (283, 5, [(72, 1)]), (296, 3, [2]),
+            (277, 3, [spp]), (282, 5, [(72, 1)]), (283, 5, [(72, 1)]), (296, 3, [2]),
         ]
+        if tile:
+            tags += [(322, 4, [wide]), (323, 4, [tall]), (324, 4, offsets), (325, 4, counts)]
+        else:
+            tags += [(273, 4, offsets), (278, 4, [per_strip]), (279, 4, counts)]
         if len(pages) > 1:
             tags.append((297, 3, [k, len(pages)]))
         if predictor and bits == 8:
             tags.append((317, 3, [2]))
-        if spp == 4:
+        if palette is not None:
+            table = np.zeros((256, 3), np.int64)
+            table[: len(palette)] = palette
+            tags.append((320, 3, (table * 257).T.reshape(-1).tolist()))
+        if spp == 4 and not cmyk:
             tags.append((338, 3, [2]))
         link = write_directory(out, tags, order, big, link)
     return bytes(out)
 
 
+def _block(part: np.ndarray, compression: str, predictor: bool, bits: int) -> bytes:
+    """A strip or tile as it stands in the file."""
+    width = part.shape[1]
+    if predictor and bits == 8:
+        part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], axis=1)
+    plain = codecs.pack_rows(part[:, :, 0], 1) if bits == 1 else part.tobytes()
+    stored = len(plain) // max(len(part), 1)
+    if compression == "packbits":
+        return b"".join(codecs.packbits_encode(plain[a : a + stored]) for a in range(0, len(plain), stored))
+    work = {"none": lambda x: x, "lzw": codecs.lzw_encode, "deflate": codecs.deflate, "mh": lambda x: codecs.mh_encode(x, width), "g4": lambda x: codecs.g4_encode(x, width)}
+    return work[compression](plain)
+
+
 def write_directory(out: bytearray, tags: list[tuple[int, int, list]], order: str, big: bool, link: int) -> int:
     """Appends a directory, sorted by tag, with its long values before it; returns where the next one's offset goes."""
     word, inline = ("Q", 8) if big else ("I", 4)

@@ -54,3 +54,16 @@ def test_malformed_streams_raise():
             pass
     with pytest.raises(ValueError):
         w.encode(np.zeros((0, 3, 4)))
+
+
+def test_alpha_planes():
+    rng = np.random.default_rng(4)
+    ramp = np.add.outer(np.arange(12), 3 * np.arange(19)) % 256
+    for plane in (ramp, rng.integers(0, 256, (12, 19)), np.full((12, 19), 7), ramp[:1], ramp[:, :1], np.cumsum(rng.integers(0, 3, (12, 19)), axis=0)):
+        assert (w.read_alpha(w.write_alpha(plane), *plane.shape) == plane).all()
+        for kind in range(4):
+            rest = ((plane - w._alpha_guess(plane.astype(np.int64), kind)) % 256).astype(np.uint8)
+            assert (w.read_alpha(bytes([kind << 2]) + rest.tobytes(), *plane.shape) == plane).all()
+    for bad in (b"", b"\0abc", b"\x02abc"):
+        with pytest.raises(ValueError):
+            w.read_alpha(bad, 12, 19)

@@ -71,7 +71,7 @@ def test_png_round_trips(colour, depth, parts):
 
 def test_spark_reads_our_png(spark, tmp_path):
     samples = image(5, 4, 3)
-    (tmp_path / "a.png").write_bytes(png.encode(samples, "rgb", texts={"Title": "x"}, gamma=0.45455))
+    (tmp_path / "a.png").write_bytes(png.encode(samples, "rgb", extra=[png.text("Title", "x"), png.gamma(0.45455), png.srgb(), png.physical(2835, 2835), png.time(2020, 1, 2)]))
     row = spark.read.format("image").load(f"file://{tmp_path}/a.png").select("image.*").first()
     got = np.frombuffer(bytes(row.data), np.uint8).reshape(row.height, row.width, 3)[:, :, ::-1]
     assert (got == samples).all()
@@ -132,3 +132,27 @@ def test_stream_of_files(spark, tmp_path):
     assert got == [2, 3, 4, 9]
     batch = work(spark.read.format("binaryFile").load(f"file://{source}"))
     assert sorted(r.width for r in batch.collect()) == got
+
+
+def test_png_ancillary_chunks():
+    extra = [png.text("A", "é"), png.text("B", "x" * 50, compressed=True), png.text("C", "Ж"), png.gamma(0.5), png.chromaticities((0.3127, 0.329), (0.64, 0.33), (0.3, 0.6), (0.15, 0.06)), png.significant_bits(8, 8, 8), png.background(1, 2, 3), png.icc_profile("p", b"profile"), png.exif(b"II*"), png.xmp("<x/>")]
+    raw = png.encode(image(2, 2, 3), "rgb", extra=extra)
+    _, chunks = png.decode(raw)
+    assert chunks["gAMA"] == (50_000).to_bytes(4, "big") and chunks["tEXt"] == b"A\0\xe9" and len(chunks["cHRM"]) == 32 and chunks["bKGD"] == bytes([0, 1, 0, 2, 0, 3])
+    assert raw.index(b"iCCP") < raw.index(b"tEXt") < raw.index(b"IDAT") and b"XML:com.adobe.xmp" in chunks["iTXt"]
+    with pytest.raises(ValueError):
+        png.text("", "x")
+
+
+def test_tiles_palettes_and_inks():
+    for parts, size in ((1, (33, 50)), (3, (16, 16)), (4, (40, 17))):
+        page = image(*size, parts)
+        for compression in ("none", "lzw", "packbits"):
+            assert (tiff.read_page(tiff.write_pages([page], compression=compression, tile=(16, 32), predictor=compression == "lzw")) == page).all()
+    table, indices = image(1, 200, 3)[0], image(9, 9, 1) % 200
+    assert (tiff.read_page(tiff.write_pages([indices], palette=table)) == table[indices[..., 0]]).all()
+    inks = image(6, 5, 4)
+    raw = tiff.write_pages([inks], cmyk=True)
+    assert (tiff.read_page(raw) == inks).all() and dict(tiff.Reader(raw).directories())["0"][262][1] == [5]
+    with pytest.raises(ValueError):
+        tiff.write_pages([inks], tile=(10, 16))
