@@ -38,7 +38,7 @@ MAGIC = b"WVMSHRD2"
 BLOCK_BITS = 1 << 12
 SHARD_TOKENS = 1 << 20
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 1 << 24
+ENCODE_BYTES = 3 << 23
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -255,7 +255,7 @@ class ChunkEncoder:
     kept, ``most`` of them, and the ids of a batch are gathered from there in one step.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 1_300_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
