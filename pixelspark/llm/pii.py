@@ -36,7 +36,10 @@ EPOCHS = 14
 _TAGS = 1 + 2 * len(KINDS)
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: From the first digit of a run alone: what fails there fails from its other digits too, and a long run is read once.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANCHOR = re.compile("[0-9@]")
@@ -66,12 +69,26 @@ def _is_phone(text: str) -> bool:
     return 9 <= len(_digits(text)) <= 15
 
 
+def _emails(text: str) -> Iterator[Span]:
+    """What the pattern matches, found from each ``@`` to both sides, so that long runs of letters are read once."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            end = found.end()
+            yield start, end, "email"
+        at = text.find("@", max(at + 1, end))
+
+
 def base_spans(text: str, check: bool = True) -> list[Span]:
     """Spans of the patterns, leftmost and non-overlapping for each kind, by start, then kind. Without ``check`` a
     card needs no check digit."""
     found: list[Span] = []
     if "@" in text:
-        found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
+        found += _emails(text)
     if _DIGIT.search(text):
         found += [(*m.span(), "ip") for m in _IP.finditer(text) if _is_ip(m[0])]
         found += [(*m.span(), "card") for m in _CARD.finditer(text) if _is_card(m[0], check)]
@@ -87,7 +104,7 @@ def _formed(text: str, kind: str) -> bool:
         return _IP.fullmatch(text) is not None and _is_ip(text)
     if kind == "card":
         return re.fullmatch(r"[0-9](?:[  .-]?[0-9])+", text) is not None and _is_card(text)
-    return re.fullmatch(r"\+?(?:\([0-9]{2,5}\)|[0-9]+)(?:[ .-]*\(?[0-9]+\)?)+", text) is not None and _is_phone(text) and ("+" in text or "(" in text)
+    return re.fullmatch(r"\+?[0-9(][0-9 ().-]*[0-9]", text) is not None and _is_phone(text) and ("+" in text or "(" in text)
 
 
 _CLASSES = "@.-+() \n_%:/\"',;#*$!?|="

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -24,9 +26,18 @@ TEXTS = [
 ]
 
 
-def test_patterns(spark):
-    for text in TEXTS:
-        assert pii.base_spans(text) == brute(text)
+def test_patterns():
+    rng = random.Random(1)
+    made = ["".join(rng.choice("ab1.2@@_%+- ()é") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    made += ["".join(rng.choice("0123.. -+()") for _ in range(rng.randint(10, 60))) for _ in range(3000)]
+    for text in TEXTS + made + ["a@b.cd_x@e.fg", "a@b.cd@e.fg", "1.2.3.4.5.6.7.8", "4111111111111111" * 3]:
+        assert pii.base_spans(text) == brute(text), text
+
+
+def test_long_runs_take_linear_time():
+    began = time.perf_counter()
+    assert len(pii.base_spans("x" * 300_000 + " a@b.c " + "1" * 300_000)) == 1
+    assert time.perf_counter() - began < 5
 
 
 def test_gradients_match_differences():
