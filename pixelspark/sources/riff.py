@@ -54,6 +54,27 @@ def parse_extended(payload: Column) -> Column:
     return F.when(F.length(payload) >= 10, found)
 
 
+def _little(payload: Column, at: int, size: int) -> Column:
+    """An unsigned integer of ``size`` bytes from place ``at`` (1 is the first)."""
+    return sum((F.conv(F.hex(F.substring(payload, at + k, 1)), 16, 10).cast("long") * (1 << (8 * k)) for k in range(size)), F.lit(0).cast("long"))
+
+
+def parse_lossless(payload: Column) -> Column:
+    """Sides, alpha hint and version of a lossless stream's header; null without its signature."""
+    word = _little(payload, 2, 4)
+    part = lambda at, size: F.shiftright(word, at).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+    found = F.struct((part(0, 14) + 1).cast("int").alias("width"), (part(14, 14) + 1).cast("int").alias("height"), (part(28, 1) == 1).alias("alpha"), part(29, 3).cast("int").alias("version"))
+    return F.when((F.length(payload) >= 5) & (F.substring(payload, 1, 1) == F.lit(b"\x2f")), found)
+
+
+def parse_lossy(payload: Column) -> Column:
+    """Frame tag, sides and scales of a lossy key frame; null for other frames or without the start code."""
+    tag, w, h = _little(payload, 1, 3), _little(payload, 7, 2), _little(payload, 9, 2)
+    bits = lambda v, at, size: F.shiftright(v, at).bitwiseAND(F.lit((1 << size) - 1).cast("long")).cast("int")
+    found = F.struct(bits(w, 0, 14).alias("width"), bits(h, 0, 14).alias("height"), bits(w, 14, 2).alias("x_scale"), bits(h, 14, 2).alias("y_scale"), bits(tag, 1, 3).alias("version"), (bits(tag, 4, 1) == 1).alias("shown"), bits(tag, 5, 19).alias("first_size"))
+    return F.when((F.length(payload) >= 10) & (bits(tag, 0, 1) == 0) & (F.substring(payload, 4, 3) == F.lit(b"\x9d\x01\x2a")), found)
+
+
 def read_chunks(files: DataFrame, *, mode: str = "permissive") -> DataFrame:
     """``files`` (path, content, as ``binaryFile`` reads them) to (path, idx, fourcc, size, payload, error); a file
     that is no WebP gives one row with its error, or fails the job with ``mode="failfast"``."""

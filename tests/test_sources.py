@@ -156,3 +156,14 @@ def test_tiles_palettes_and_inks():
     assert (tiff.read_page(raw) == inks).all() and dict(tiff.Reader(raw).directories())["0"][262][1] == [5]
     with pytest.raises(ValueError):
         tiff.write_pages([inks], tile=(10, 16))
+
+
+def test_stream_headers_as_columns(spark):
+    from pixelspark.operators import lossless
+
+    stream = lossless.encode(np.full((7, 300, 4), 9))
+    frame = (0 | 2 << 1 | 1 << 4 | 777 << 5).to_bytes(3, "little") + b"\x9d\x01\x2a" + (640 | 1 << 14).to_bytes(2, "little") + (480).to_bytes(2, "little")
+    rows = spark.createDataFrame([(1, stream, frame), (2, b"", b""), (3, b"\x2e1234", frame[:3] + b"abc" + frame[6:]), (4, None, None)], "k int, a binary, b binary")
+    got = {r.k: r for r in rows.select("k", riff.parse_lossless(F.col("a")).alias("a"), riff.parse_lossy(F.col("b")).alias("b")).collect()}
+    assert tuple(got[1].a) == (300, 7, True, 0) and tuple(got[1].b) == (640, 480, 1, 0, 2, True, 777)
+    assert all(got[k].a is None and got[k].b is None for k in (2, 3, 4))
