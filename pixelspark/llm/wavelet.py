@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, partitions, staged, table
+from .common import fresh_dir, partitions, release_memory, staged, table
 
 MAGIC = b"WVMSHRD2"
 BLOCK_BITS = 1 << 12
 SHARD_TOKENS = 1 << 20
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 3 << 23
+ENCODE_BYTES = 1 << 24
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -255,7 +255,7 @@ class ChunkEncoder:
     kept, ``most`` of them, and the ids of a batch are gathered from there in one step.
     """
 
-    def __init__(self, path: str, most: int = 1_300_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -421,6 +421,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
                         yield flush()
         if doc_ids:
             yield flush()
+        release_memory()
 
     return staged(rows.mapInArrow(run, MANIFEST), "wavelet-manifest")
 
