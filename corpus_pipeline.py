@@ -10,13 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelspark.llm import decontaminate, langid, mixing, simhash, wavelet
+from pixelspark.llm import decontaminate, langid, mixing, similar, wavelet
 from pixelspark.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Shingle words of the near-dedup stage: what the contract of its operator says, as three bits are what its codes find.
-SHINGLE_WORDS = 3
+#: Shingle words and least Jaccard similarity of the near-dedup stage.
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each group of near copies."""
-    return simhash.keep_one(docs, words=SHINGLE_WORDS)
+    return similar.keep_one(docs, words=SHINGLE_WORDS, similarity=SIMILARITY)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

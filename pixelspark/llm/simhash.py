@@ -142,20 +142,24 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, roles: np.ndarray, max_bi
     return forest(np.concatenate(us), np.concatenate(vs)) if us and sum(map(len, us)) else (np.zeros(0, np.uint64),) * 2
 
 
-def fingerprint(raw: bytes | None, words: int) -> int:
-    """Majority over the XXH64 of all shingles, repeats included; zero for no words."""
+def shingle_hashes(raw: bytes | None, words: int) -> list[int]:
+    """The XXH64 of all shingles, repeats included; none for no words."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     tokens = (raw or b"").lower().split()  # bytes: A to Z alone, the space and 0x09 to 0x0D alone
     if len(tokens) <= words:
-        hashes = [digest(b" ".join(tokens), SEED)] if tokens else []
-    else:
-        joined = b" ".join(tokens)
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-        ends = np.cumsum(sizes) - 1
-        starts = (ends - sizes + 1).tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=False)]
+        return [digest(b" ".join(tokens), SEED)] if tokens else []
+    joined = b" ".join(tokens)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+    ends = np.cumsum(sizes) - 1
+    starts = (ends - sizes + 1).tolist()
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=False)]
+
+
+def fingerprint(raw: bytes | None, words: int) -> int:
+    """Majority over the XXH64 of all shingles, repeats included; zero for no words."""
+    hashes = shingle_hashes(raw, words)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
@@ -235,7 +239,12 @@ def near_groups(docs: DataFrame, *, words: int = 5, max_bits: int = MAX_BITS, id
 def keep_one(docs: DataFrame, *, words: int = 5, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all their columns, one row of each group: that of the least id, null ids last; of equal ids that of
     the least text hash, and of repeated rows one."""
-    groups = staged(near_groups(docs, words=words, max_bits=max_bits, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id"), "near-groups")
+    return keep_first(docs, near_groups(docs, words=words, max_bits=max_bits, id_col=id_col, text_col=text_col), id_col=id_col, text_col=text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``keep_one`` keeps of ``groups`` (id, text_hash, root)."""
+    groups = staged(groups.select(F.col(id_col).alias("id"), "text_hash", "root"), "near-groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
     kept = first.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     rows = docs.withColumn("__own", F.xxhash64(text_col))
