@@ -69,7 +69,15 @@ QUERIES["color_oklab"] = oklab, _no_minus_zero(f"WITH {i.RGB}, {_LAB} SELECT k,
 
 
 def gamut_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = i.linear_rgb(spark, sf_dir).where("n <= 3")
+    """The first three line items of an order, as its SQL has it."""
+    return _clamped(i.linear_rgb(spark, sf_dir).where("n <= 3"))
+
+
+def gamut_clamp_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clamped(i.linear_rgb(spark, sf_dir))
+
+
+def _clamped(rows: DataFrame) -> DataFrame:
     lab = c.linear_rgb_to_oklab([F.col(x) for x in "rgb"], F.col("gamut"))
     rows = rows.select("k", "n", *[x.alias(name) for x, name in zip(lab, ("l", "ca", "cb"), strict=True)])
     own = [F.col(x) for x in ("l", "ca", "cb")]
@@ -89,6 +97,7 @@ _CLAMP = f"""WITH RECURSIVE {i.RGB}, {_LAB}, st AS (
 SELECT k, n, inside, round(CASE WHEN inside THEN l ELSE l + 0.5 * (0.5 - l) * hi END, 4) AS l, round(CASE WHEN inside THEN ca ELSE ca * (1 - hi) END, 4) AS ca,
  round(CASE WHEN inside THEN cb ELSE cb * (1 - hi) END, 4) AS cb FROM st WHERE step = 16"""
 QUERIES["color_gamut_clamp"] = gamut_clamp, _no_minus_zero(_CLAMP, "l", "ca", "cb")
+QUERIES["color_gamut_clamp_whole"] = gamut_clamp_whole, _no_minus_zero(_CLAMP.replace(" WHERE n <= 3", ""), "l", "ca", "cb")
 
 
 def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,10 +177,19 @@ QUERIES["subtract_green"] = green, f"WITH {i.PIXELS} SELECT img, p, (r - g + 256
 
 
 def argb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return i.pixels(spark, sf_dir).where("img % 8 = 0").select("img", "p", F.lit(255).alias("a"), "r", "g", "b")
+    return i.pixels(spark, sf_dir).select("img", "p", F.lit(255).alias("a"), "r", "g", "b")
+
+
+def some_argb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image in eight, as the SQL of the queries without ``_whole`` has it."""
+    return argb(spark, sf_dir).where("img % 8 = 0")
 
 
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.best_modes(b.predictor_costs(some_argb(spark, sf_dir), W, 8))
+
+
+def modes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.best_modes(b.predictor_costs(argb(spark, sf_dir), W, 8))
 
 
@@ -204,10 +213,18 @@ s AS (SELECT img, bx, by, m, sum({costs}) AS cost FROM d GROUP BY ALL) SELECT im
 
 
 QUERIES["predictor_modes"] = modes, _quoted(_modes_sql())
+QUERIES["predictor_modes_whole"] = modes_whole, _quoted(_modes_sql().replace(" WHERE img % 8 = 0", ""))
 
 
 def colour_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = argb(spark, sf_dir)
+    return _there_and_back(some_argb(spark, sf_dir))
+
+
+def colour_transform_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _there_and_back(argb(spark, sf_dir))
+
+
+def _there_and_back(px: DataFrame) -> DataFrame:
     elements = b.color_elements(px, W, 8)
     there = b.apply_color(px, elements, W, 8)
     back = b.apply_color(there, elements, W, 8, inverse=True)
@@ -220,6 +237,8 @@ e AS (SELECT img, x // 8 AS bx, y // 8 AS by, sum(sr * sg) AS rg, sum(sg * sg) A
 c AS (SELECT img, bx, by, CAST(CASE WHEN gg = 0 THEN 0 ELSE greatest(least(rg * 32 // gg, 127), -128) END AS BIGINT) AS g2r, CAST(CASE WHEN gg = 0 THEN 0 ELSE greatest(least(bg * 32 // gg, 127), -128) END AS BIGINT) AS g2b, CAST(CASE WHEN rr = 0 THEN 0 ELSE greatest(least(br * 32 // rr, 127), -128) END AS BIGINT) AS r2b FROM e)
 SELECT s.img, p, CAST((((r - ((g2r * sg) >> 5)) % 256) + 256) % 256 AS INT) AS tr, CAST((((b - ((g2b * sg) >> 5) - ((r2b * sr) >> 5)) % 256) + 256) % 256 AS INT) AS tb, r, g, b FROM s JOIN c ON s.img = c.img AND bx = x // 8 AND by = y // 8""")
 
+QUERIES["colour_transform_whole"] = colour_transform_whole, QUERIES["colour_transform"][1].replace(" WHERE img % 8 = 0", "")
+
 
 def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.block_stats(i.pixels(spark, sf_dir).select("img", "p", F.col("b").alias("v")), W, 4)
