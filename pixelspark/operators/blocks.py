@@ -56,6 +56,17 @@ def bundle_indices(indices: DataFrame, width: int, bits: int) -> DataFrame:
     return keyed.groupBy("img", "y", "byte").agg(F.sum("part").cast("int").alias("v"))
 
 
+def bundle_palettes(indices: DataFrame, palettes: DataFrame, width: int) -> DataFrame:
+    """Indices packed like ``bundle_indices``, of 1, 2, 4 or 8 bits by the size of each image's palette; images without
+    a palette are left out: (img, bits, y, byte, v)."""
+    n = F.col("n")
+    sizes = palettes.groupBy("img").agg(F.count("*").alias("n")).select("img", F.when(n <= 2, 1).when(n <= 4, 2).when(n <= 16, 4).otherwise(8).alias("bits"))
+    x, per = F.col("p") % width, div(F.lit(8), F.col("bits"))
+    shifted = F.col("idx").cast("long") * F.pow(F.lit(2), F.col("bits") * (x % per)).cast("long")
+    keyed = indices.join(sizes, "img").select("img", "bits", div(F.col("p"), width).alias("y"), div(x, per).alias("byte"), shifted.alias("part"))
+    return keyed.groupBy("img", "bits", "y", "byte").agg(F.sum("part").cast("int").alias("v"))
+
+
 def pack_samples(samples: DataFrame, width: int, bits: int) -> DataFrame:
     """Samples of ``bits`` bits packed from the highest bit, each row padded to a byte: (img, y, byte, v)."""
     per = 8 // bits

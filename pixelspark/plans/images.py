@@ -138,6 +138,15 @@ def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["palette"] = palettes, f"WITH {_PALETTE} SELECT img, idx, colour, pixels FROM pl"
 
 
+def palettes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The palettes of up to 256 colours, which every image of 256 pixels has."""
+    return b.palette(coloured(spark, sf_dir))
+
+
+_PALETTE_WHOLE = _PALETTE.replace("k <= 16", "k <= 256")
+QUERIES["palette_whole"] = palettes_whole, f"WITH {_PALETTE_WHOLE} SELECT img, idx, colour, pixels FROM pl"
+
+
 def bundled(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = coloured(spark, sf_dir)
     known = b.palette(px, 16)
@@ -148,6 +157,17 @@ QUERIES["palette_bundles"] = bundled, f"""WITH {_PALETTE} SELECT img, y, byte, C
 FROM (SELECT cl.img, p // 16 AS y, p % 16 // 2 AS byte, p % 16 AS x, coalesce(idx, 0) AS idx FROM cl LEFT JOIN pl ON pl.img = cl.img AND pl.colour = cl.colour WHERE cl.img IN (SELECT img FROM pl)) GROUP BY ALL"""
 
 
+def bundled_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = coloured(spark, sf_dir)
+    known = b.palette(px)
+    return b.bundle_palettes(b.to_indices(px, known), known, W)
+
+
+QUERIES["palette_bundles_whole"] = bundled_whole, f"""WITH {_PALETTE_WHOLE}, sz AS (SELECT DISTINCT img, CASE WHEN k <= 2 THEN 1 WHEN k <= 4 THEN 2 WHEN k <= 16 THEN 4 ELSE 8 END AS bits FROM pl),
+ix AS (SELECT cl.img, bits, p // 16 AS y, p % 16 AS x, 8 // bits AS per, idx FROM cl JOIN pl ON pl.img = cl.img AND pl.colour = cl.colour JOIN sz ON sz.img = cl.img)
+SELECT img, bits, y, x // per AS byte, CAST(sum(idx << (bits * (x % per))) AS INT) AS v FROM ix GROUP BY ALL"""
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.pack_samples(i.pixels(spark, sf_dir).select("img", "p", (F.col("r") % 4).alias("v")), W, 2)
 

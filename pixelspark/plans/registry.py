@@ -7,7 +7,7 @@ from . import catalog, colour, containers, images, signal, video
 _PARTS = (colour, signal, images, containers, video, catalog)
 #: Places and indices that are INT here, where the ranges of SQL are BIGINT.
 _INT = {
-    "color_ycbcr": "p", "mulaw": "i", "tiff_predictor": "p", "run_lengths": "start", "changing_elements": "x b1", "rgb_from_420": "x y", "palette": "idx",
+    "color_ycbcr": "p", "mulaw": "i", "tiff_predictor": "p", "run_lengths": "start", "changing_elements": "x b1", "rgb_from_420": "x y", "palette": "idx", "palette_whole": "idx",
     "subtract_green": "p", "colour_transform": "p", "colour_transform_whole": "p", "coefficient_scan": "place col", "colour_cache": "p", "modal_groups": "grp",
 }
 

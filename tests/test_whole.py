@@ -1,3 +1,4 @@
+from pixelspark.operators import blocks as b
 from pixelspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -9,3 +10,25 @@ def test_every_image_and_line_item(spark):
     assert queries["predictor_modes_whole"](spark, SF).count() == images * 4
     assert queries["colour_transform_whole"](spark, SF).count() == images * 256
     assert queries["color_gamut_clamp_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_every_image_has_its_palette_and_bundles(spark):
+    queries = registry.queries()
+    sizes = {r.img: r["count"] for r in queries["palette_whole"](spark, SF).groupBy("img").count().collect()}
+    assert len(sizes) == spark.read.parquet(f"{SF}/part.parquet").count() and max(sizes.values()) > 16
+    rows = {r.img: (r.bits, r["count"]) for r in queries["palette_bundles_whole"](spark, SF).groupBy("img", "bits").count().collect()}
+    bits = {k: next(w for w in (1, 2, 4, 8) if n <= 1 << w) for k, n in sizes.items()}
+    assert rows == {k: (w, 256 * w // 8) for k, w in bits.items()}
+
+
+def test_bundles_of_each_width(spark):
+    images = [(k, p, p % n) for k, n in enumerate((2, 4, 16, 17)) for p in range(20)]
+    px = spark.createDataFrame(images, "img int, p int, colour int")
+    known = b.palette(px)
+    found = {(r.img, r.y, r.byte): r.v for r in b.bundle_palettes(b.to_indices(px, known), known, 20).collect()}
+    want = {}
+    for k, p, idx in images:
+        w = (1, 2, 4, 8)[k]
+        at = (k, 0, p * w // 8)
+        want[at] = want.get(at, 0) | idx << p * w % 8
+    assert found == want
