@@ -296,6 +296,18 @@ QUERIES["adler32"] = checksums, f"""WITH {i.BYTES}, s AS (SELECT id, i, v, 1 + s
 SELECT id, count(*) AS n, CAST(sum(a) % 65521 * 65536 + max(a) % 65521 AS BIGINT) AS adler FROM s GROUP BY id"""
 
 
+def checksums_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document's text; that of an empty one is 1."""
+    ids = i.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"))
+    found = ids.join(b.adler32(i.document_bytes(spark, sf_dir)), "id", "left")
+    return found.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("adler", F.lit(1)).alias("adler"))
+
+
+QUERIES["adler32_whole"] = checksums_whole, f"""WITH {i.DOCUMENT_BYTES}, s AS (SELECT id, i, v, 1 + sum(v) OVER (PARTITION BY id ORDER BY i) AS a FROM byt),
+d AS (SELECT id, count(*) AS n, CAST(sum(a) % 65521 * 65536 + max(a) % 65521 AS BIGINT) AS adler FROM s GROUP BY id)
+SELECT doc_id AS id, coalesce(n, 0) AS n, coalesce(adler, 1) AS adler FROM documents LEFT JOIN d ON d.id = doc_id WHERE text IS NOT NULL"""
+
+
 def crcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws("|", "c_name", "c_mktsegment")
     return i.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.crc32(text.cast("binary")).alias("crc"))
@@ -306,6 +318,14 @@ QUERIES["crc32"] = crcs, """SELECT c_custkey AS id, CAST(xor(list_reduce(list_pr
 FROM (SELECT c_custkey, c_name || '|' || c_mktsegment AS t FROM customer)"""
 
 
+def crcs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return i.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+
+
+QUERIES["crc32_whole"] = crcs_whole, """SELECT doc_id AS id, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+ lambda c, v: list_reduce(list_prepend(xor(c, v), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda k, z: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END)), 4294967295) AS BIGINT) AS crc FROM documents"""
+
+
 def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.histogram(i.text_bytes(spark, sf_dir))
 
@@ -313,6 +333,13 @@ def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["byte_histogram"] = histograms, f"WITH {i.BYTES} SELECT id, v, count(*) AS n FROM byt GROUP BY id, v"
 
 
+def histograms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.histogram(i.document_bytes(spark, sf_dir))
+
+
+QUERIES["byte_histogram_whole"] = histograms_whole, f"WITH {i.DOCUMENT_BYTES} SELECT id, v, count(*) AS n FROM byt GROUP BY id, v"
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = spark.range(9).select(F.pow(2, F.col("id") % 3 + 2).cast("int").alias("w"), F.pow(2, div(F.col("id"), 3) + 2).cast("int").alias("h"))
     return b.default_scan(sizes)

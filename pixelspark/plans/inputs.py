@@ -95,6 +95,19 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCKS = "bl AS (SELECT vec_id, list_transform(embedding[1:16], lambda e: CAST(CASE WHEN e >= 0 THEN floor(CAST(e AS DOUBLE) * 128 + 0.5) ELSE ceil(CAST(e AS DOUBLE) * 128 - 0.5) END AS BIGINT)) AS v FROM embeddings)"
 
 
+def all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sixteen-value blocks of a vector, valued like ``blocks``: vec_id, block, v ARRAY<INT>; zeros fill the last one up."""
+    value = lambda e: F.when(e >= 0, F.floor(e.cast("double") * 128 + 0.5)).otherwise(F.ceil(e.cast("double") * 128 - 0.5)).cast("int")
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", F.transform("embedding", value).alias("e"))
+    each = rows.select("vec_id", "e", F.explode(F.sequence(F.lit(0), div(F.size("e") - 1, 16).cast("int"))).alias("block"))
+    cut = F.slice("e", F.col("block") * 16 + 1, F.lit(16))
+    return each.select("vec_id", "block", F.concat(cut, F.array_repeat(F.lit(0), F.lit(16) - F.size(cut))).alias("v"))
+
+
+ALL_BLOCKS = """bl AS (SELECT vec_id, block, list_transform(range(1, 17), lambda j: coalesce(e[block * 16 + j], 0)) AS v
+ FROM (SELECT vec_id, list_transform(embedding, lambda e: CAST(CASE WHEN e >= 0 THEN floor(CAST(e AS DOUBLE) * 128 + 0.5) ELSE ceil(CAST(e AS DOUBLE) * 128 - 0.5) END AS BIGINT)) AS e, CAST(unnest(range((len(embedding) + 15) // 16)) AS INT) AS block FROM embeddings))"""
+
+
 def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of each customer's name and segment: id, i, v. Short, so that SQL can check every byte."""
     text = F.concat_ws("|", "c_name", "c_mktsegment").cast("binary")
@@ -104,3 +117,14 @@ def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BYTES = "byt AS (SELECT id, i - 1 AS i, ascii(t[i]) AS v FROM (SELECT c_custkey AS id, c_name || '|' || c_mktsegment AS t FROM customer), range(1, 200) r(i) WHERE i <= length(t))"
+
+
+def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each document's whole text: id, i, v."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit("(..)")).alias("h"))
+    each = rows.select("id", F.posexplode("h").alias("i", "two"))
+    return each.select("id", "i", F.conv("two", 16, 10).cast("int").alias("v"))
+
+
+DOCUMENT_BYTES = """byt AS (SELECT id, i - 1 AS i, CAST('0x' || two AS INT) AS v
+ FROM (SELECT id, unnest(h) AS two, generate_subscripts(h, 1) AS i FROM (SELECT doc_id AS id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents)))"""

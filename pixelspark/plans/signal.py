@@ -67,10 +67,23 @@ def _each(block: Column, size: int = 16) -> list[Column]:
     return [F.element_at(block, k + 1).cast("long").alias(f"v{k:02d}") for k in range(size)]
 
 
+def _whole(sql: str) -> str:
+    """The SQL of a query of the first blocks, over all blocks."""
+    return sql.replace(i.BLOCKS, "{blocks}").replace("vec_id", "vec_id, block").replace("{blocks}", i.ALL_BLOCKS)
+
+
 def wht(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = i.blocks(spark, sf_dir).withColumn("t", n.fwht4x4(F.col("v"))).withColumn("back", n.iwht4x4(F.col("t")))
+    return _wht(i.blocks(spark, sf_dir), "vec_id")
+
+
+def wht_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wht(i.all_blocks(spark, sf_dir), "vec_id", "block")
+
+
+def _wht(blocks: DataFrame, *keys: str) -> DataFrame:
+    rows = blocks.withColumn("t", n.fwht4x4(F.col("v"))).withColumn("back", n.iwht4x4(F.col("t")))
     same = F.col("back") == F.transform("v", lambda x: x.cast("long"))
-    return rows.select("vec_id", *_each(F.col("t")), same.alias("same"))
+    return rows.select(*keys, *_each(F.col("t")), same.alias("same"))
 
 
 def _lift(a: str, b: str, c: str, d: str) -> list[str]:
@@ -87,11 +100,19 @@ def _wht_sql() -> str:
 
 
 QUERIES["walsh_hadamard"] = wht, _wht_sql()
+QUERIES["walsh_hadamard_whole"] = wht_whole, _whole(_wht_sql())
 
 
 def dct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = i.blocks(spark, sf_dir)
-    return rows.select("vec_id", *_each(n.forward_dct(F.col("v"), 4)), *[F.element_at(n.forward_identity(F.col("v"), k), 2).cast("long").alias(f"id{k}") for k in (2, 3, 4, 5)], *[F.element_at(n.inverse_identity(F.col("v"), k), 3).cast("long").alias(f"inv{k}") for k in (2, 3, 4, 5)])
+    return _dct(i.blocks(spark, sf_dir), "vec_id")
+
+
+def dct_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dct(i.all_blocks(spark, sf_dir), "vec_id", "block")
+
+
+def _dct(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, *_each(n.forward_dct(F.col("v"), 4)), *[F.element_at(n.forward_identity(F.col("v"), k), 2).cast("long").alias(f"id{k}") for k in (2, 3, 4, 5)], *[F.element_at(n.inverse_identity(F.col("v"), k), 3).cast("long").alias(f"inv{k}") for k in (2, 3, 4, 5)])
 
 
 def _dct_sql() -> str:
@@ -105,13 +126,22 @@ o AS (SELECT vec_id, v, c, CASE WHEN c = 0 THEN (t * 2896 + 8388608) >> 24 ELSE
 
 
 QUERIES["integer_dct"] = dct, _dct_sql()
+QUERIES["integer_dct_whole"] = dct_whole, _whole(_dct_sql())
 
 
 def vp8_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forward transform's coefficients, and the largest error of a sample after the inverse; the inverse Hadamard."""
-    rows = i.blocks(spark, sf_dir).withColumn("t", n.vp8_fdct4x4(F.col("v"))).withColumn("back", n.vp8_idct4x4(F.col("t"))).withColumn("h", n.vp8_iwht4x4(F.col("v")))
+    return _vp8(i.blocks(spark, sf_dir), "vec_id")
+
+
+def vp8_transforms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vp8(i.all_blocks(spark, sf_dir), "vec_id", "block")
+
+
+def _vp8(blocks: DataFrame, *keys: str) -> DataFrame:
+    rows = blocks.withColumn("t", n.vp8_fdct4x4(F.col("v"))).withColumn("back", n.vp8_idct4x4(F.col("t"))).withColumn("h", n.vp8_iwht4x4(F.col("v")))
     error = F.array_max(F.zip_with("v", "back", lambda a, b: F.abs(a - b)))
-    return rows.select("vec_id", *_each(F.col("t")), *[F.element_at("h", k + 1).cast("long").alias(f"h{k:02d}") for k in range(16)], (error <= 1).alias("near"))
+    return rows.select(*keys, *_each(F.col("t")), *[F.element_at("h", k + 1).cast("long").alias(f"h{k:02d}") for k in range(16)], (error <= 1).alias("near"))
 
 
 def _vp8_sql() -> str:
@@ -132,3 +162,4 @@ def _vp8_sql() -> str:
 
 
 QUERIES["vp8_transforms"] = vp8_transforms, _vp8_sql()
+QUERIES["vp8_transforms_whole"] = vp8_transforms_whole, _whole(_vp8_sql())

@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 from pixelspark.operators import blocks as b
 from pixelspark.plans import registry
 
@@ -32,3 +35,18 @@ def test_bundles_of_each_width(spark):
         at = (k, 0, p * w // 8)
         want[at] = want.get(at, 0) | idx << p * w % 8
     assert found == want
+
+
+def test_every_block_of_a_vector(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    values = vectors.selectExpr("sum(size(embedding))").first()[0]
+    for name in ("walsh_hadamard_whole", "integer_dct_whole", "vp8_transforms_whole"):
+        assert registry.queries()[name](spark, SF).select("vec_id", "block").distinct().count() * 16 == values
+
+
+def test_every_byte_of_a_document(spark):
+    queries = registry.queries()
+    texts = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.id: (r.n, r.adler) for r in queries["adler32_whole"](spark, SF).collect()} == {k: (len(x), zlib.adler32(x)) for k, x in texts.items()}
+    assert {r.id: r.crc for r in queries["crc32_whole"](spark, SF).collect()} == {k: zlib.crc32(x) for k, x in texts.items()}
+    assert {(r.id, r.v): r.n for r in queries["byte_histogram_whole"](spark, SF).collect()} == {(k, v): n for k, x in texts.items() for v, n in Counter(x).items()}
