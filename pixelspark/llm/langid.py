@@ -34,9 +34,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case; text without a letter has none."""
-    words = _WORD.findall(text.lower())
-    return [x for x in words if any(map(str.isalpha, x))] if len(words) <= 16 else words
+    """Runs of letters in lower case; those of numeric signs alone, which the pattern also matches, are left out."""
+    return [x for x in _WORD.findall(text.lower()) if x[0].isalpha() or any(map(str.isalpha, x))]
 
 
 @dataclass
