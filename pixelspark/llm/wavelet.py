@@ -38,7 +38,7 @@ MAGIC = b"WVMSHRD2"
 BLOCK_BITS = 1 << 12
 SHARD_TOKENS = 1 << 20
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 1 << 24
+ENCODE_BYTES = 1 << 22
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -246,16 +246,62 @@ class WaveletShard:
 _BLANK = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _ODD = f"^$|\\A{_BLANK}|{_BLANK}\\z"
 
+#: Masks of the lowest bytes of a word.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+class ChunkTable:
+    """An open-addressing table in arrays, from chunks of up to 15 bytes to entry numbers.
+
+    A key is the chunk's bytes themselves and its length, in two words, so two chunks are never taken for each other.
+    """
+
+    def __init__(self, bits: int) -> None:
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._entry = np.zeros((1 << bits, 2), np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys[:, 0] ^ (keys[:, 1] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> self._shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 where there is none."""
+        slots, out, left = self._slots(keys), np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        while len(left):
+            entries = self._entry[slots]
+            hit = (self._keys[slots] == keys[left]).all(axis=1) & (entries >= 0)
+            out[left[hit]] = entries[hit]
+            on = ~hit & (entries >= 0)
+            left, slots = left[on], slots[on] + 1 & self._mask
+        return out
+
+    def put(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        """Different keys, none of them in the table."""
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = self._entry[slots] < 0
+            self._entry[slots[free]] = entries[left[free]]
+            won = free & (self._entry[slots] == entries[left])
+            self._keys[slots[won]] = keys[left[won]]
+            left, slots = left[~won], slots[~won] + 1 & self._mask
+
+
 class ChunkEncoder:
     """Encodes batches of texts with a byte-level BPE of the tokenizers library, each different chunk once.
 
     A chunk ends before a single space between two characters that aren't white space. The pre-tokenizer always
     starts a piece there, as it joins such a space to what follows, so the ids of a text are those of its chunks in
-    turn. A text with other spaces, or with the string of an added token, is encoded as a whole. Ids of chunks are
-    kept, ``most`` of them, and the ids of a batch are gathered from there in one step.
+    turn. A text with other spaces, or with the string of an added token, is encoded as a whole, and so are all texts
+    where the tokenizer isn't of that kind. Ids of chunks of up to 15 bytes are kept, ``most`` of them, and the ids of
+    a batch are gathered from there in one step.
     """
 
-    def __init__(self, path: str, most: int = 1_300_000) -> None:
+    #: Table bits; the table takes 20 bytes a slot.
+    BITS = 22
+    #: The entry of odd chunks, whose texts are encoded as a whole.
+    ODD = 0
+
+    def __init__(self, path: str, most: int = 2_500_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -266,16 +312,20 @@ class ChunkEncoder:
         self._tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._special = tuple(str(x.content) for x in self._tokenizer.get_added_tokens_decoder().values())
-        self._opens = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        before = kind.get("pre_tokenizer") or {}
+        self._parts = before.get("type") == "ByteLevel" and bool(before.get("use_regex", True)) and not kind.get("normalizer") and not any(" " in x for x in self._special)
+        self._opens = np.zeros(max(self._tokenizer.get_vocab().values(), default=0) + 1, bool)
         for token, k in self._tokenizer.get_vocab().items():
             self._opens[k] = token.startswith("Ġ")  # byte-level BPE writes a space so
-        self._most = most
+        self._most = min(most, (1 << self.BITS) * 3 // 4)
         self._forget()
 
     def _forget(self) -> None:
-        self._kept: dict[str, int] = {}
+        self._kept = ChunkTable(self.BITS)
         self._starts, self._sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self._pool, self._entries, self._used = np.zeros(1 << 18, self.kind), 0, 0
+        self._pool, self._entries, self._used = np.zeros(1 << 18, self.kind), 1, 0
 
     def _add(self, ids: list[list[int]]) -> int:
         """Puts ids into the pool, one entry each, and returns the first entry's number."""
@@ -297,50 +347,90 @@ class ChunkEncoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> list[int]:
-        """Encodes new chunks, each after a space, many in one call, and returns their entries. None has a space
-        inside, so the ids that open with a space part them again."""
-        entries: list[int] = []
-        for at in range(0, len(chunks), 4096):
-            part = chunks[at : at + 4096]
+    def _learn(self, chunks: list[str]) -> np.ndarray:
+        """Encodes chunks, each after a space, many in one call, and returns their entries. None has a space inside,
+        so the ids that open with a space part them again."""
+        named, entries = pa.array(chunks, pa.string()), np.full(len(chunks), self.ODD, np.int32)
+        odd = pc.match_substring_regex(named, _ODD).to_numpy(zero_copy_only=False)
+        for special in self._special:
+            odd |= pc.match_substring(named, special).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~odd)
+        for at in range(0, len(plain), 4096):
+            which = plain[at : at + 4096]
+            part = [chunks[k] for k in which]
             ids = np.array(self._whole([" " + " ".join(part)])[0], self.kind)
             starts = np.flatnonzero(self._opens[ids])
             if len(starts) == len(part):
                 first = self._put(ids, np.diff(np.r_[starts, len(ids)]))
             else:
                 first = self._add(self._whole([" " + x for x in part]))
-            self._kept.update(zip(part, range(first, first + len(part)), strict=True))
-            entries += range(first, first + len(part))
+            entries[which] = np.arange(first, first + len(part))
+        return entries
+
+    def _entries_of(self, raw: bytes, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The entries of chunks of ``raw``, of which ``words`` has the eight bytes from each place on."""
+        entries = np.full(len(starts), -1, np.int32)
+        short = np.flatnonzero(sizes < 16)
+        at, size = starts[short], sizes[short]
+        keys = np.empty((len(short), 2), np.uint64)
+        keys[:, 0] = words[at] & _LOW[np.minimum(size, 8)]
+        keys[:, 1] = words[at + 8] & _LOW[np.maximum(size - 8, 0)] | size.astype(np.uint64) << np.uint64(56)
+        entries[short] = self._kept.find(keys)
+        new = np.flatnonzero(entries[short] < 0)
+        if len(new):
+            order = new[np.lexsort((keys[new, 0], keys[new, 1]))]
+            apart = np.r_[True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1)]
+            of = order[apart]
+            learned = self._learn([raw[a : a + n].decode() for a, n in zip(at[of].tolist(), size[of].tolist(), strict=True)])
+            # Entries are numbers of their own but for the odd ones, which are put one after another for that.
+            plain = learned != self.ODD
+            self._kept.put(keys[of][plain], learned[plain])
+            entries[short[order]] = learned[np.cumsum(apart) - 1]
+        long = np.flatnonzero(sizes >= 16)
+        entries[long] = self._learn([raw[a : a + n].decode() for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)])
         return entries
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and how many each text has; no text is null."""
+        if not len(texts):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        if not self._parts:
+            found = self._whole(texts.to_pylist())
+            return np.fromiter(chain.from_iterable(found), self.kind), np.array([len(x) for x in found])
         if self._entries > self._most:
             self._forget()
-        parts = pc.split_pattern(texts, " ")
-        offsets = parts.offsets.to_numpy()
-        offsets, flat = offsets - offsets[0], parts.flatten().dictionary_encode()
-        names, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-        odd_name = pc.match_substring_regex(flat.dictionary, _ODD).to_numpy(zero_copy_only=False)
-        for special in self._special:
-            odd_name |= pc.match_substring(flat.dictionary, special).to_numpy(zero_copy_only=False)
-        odd = np.logical_or.reduceat(odd_name[codes], offsets[:-1]) if len(texts) else np.zeros(0, bool)
-        found = list(map(self._kept.get, names))
-        new = [k for k, (x, bad) in enumerate(zip(found, odd_name.tolist(), strict=True)) if x is None and not bad]
-        for k, entry in zip(new, self._learn([names[k] for k in new]), strict=True):
-            found[k] = entry
-        entries = np.array([-1 if x is None else x for x in found], np.int32)[codes]
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = b"" if texts.buffers()[2] is None else texts.buffers()[2][offsets[0] : offsets[-1]].to_pybytes()
+        offsets = offsets - offsets[0]
+        padded = np.frombuffer(raw + bytes(24), np.uint8)
+        words = np.ndarray(len(raw) + 16, "<u8", padded, strides=(1,))
+        spaces = np.flatnonzero(padded[: len(raw)] == 32)
+        counts = np.diff(np.searchsorted(spaces, offsets)) + 1
+        heads = np.cumsum(counts) - counts
+        tails = np.ones(int(counts.sum()), bool)
+        tails[heads] = False
+        starts, ends = np.empty(len(tails), np.int64), np.empty(len(tails), np.int64)
+        starts[heads], starts[tails] = offsets[:-1], spaces + 1
+        ends[heads + counts - 1] = offsets[1:]
+        last = np.zeros(len(tails), bool)
+        last[heads + counts - 1] = True
+        ends[~last] = spaces
+        entries = self._entries_of(raw, words, starts, ends - starts)
+        odd = np.logical_or.reduceat(entries == self.ODD, heads)
         # A text's first chunk has no space before it; of a text encoded as a whole it stands for all chunks.
-        rows = texts.to_pylist()
-        firsts = self._add(self._whole([x if whole else x.partition(" ")[0] for x, whole in zip(rows, odd.tolist(), strict=True)]))
-        entries[np.repeat(odd, np.diff(offsets))] = -1
-        entries[offsets[:-1]] = firsts + np.arange(len(rows))
-        sizes = np.where(entries < 0, 0, self._sizes[entries])
+        kept = self._entries, self._used
+        stops = np.where(odd, offsets[1:], ends[heads])
+        firsts = self._add(self._whole([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), stops.tolist(), strict=True)]))
+        entries[np.repeat(odd, counts)] = self.ODD
+        entries[heads] = firsts + np.arange(len(texts))
+        sizes = self._sizes[entries]
         before = np.cumsum(sizes, dtype=np.int32) - sizes
         at = np.repeat(self._starts[entries] - before, sizes)
         at += np.arange(len(at), dtype=np.int32)
         ids = self._pool.take(at)
-        return ids, np.add.reduceat(sizes, offsets[:-1]) if len(rows) else sizes
+        self._entries, self._used = kept  # what no other text asks for goes
+        return ids, np.add.reduceat(sizes, heads)
 
 
 @lru_cache(2)
@@ -423,7 +513,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
             yield flush()
         release_memory()
 
-    return staged(rows.mapInArrow(run, MANIFEST), "wavelet-manifest")
+    # By way of a shuffle, so that a row or two of each task don't make a file each.
+    return staged(rows.mapInArrow(run, MANIFEST).repartition("part"), "wavelet-manifest")
 
 
 def read_shards(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
