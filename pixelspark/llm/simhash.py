@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import FILED, LOOKS, links
 from .common import partitions, pieces, staged, table
-from .components import components, forest
+from .components import components
 
 MAX_BITS = 3
 SEED = 42
@@ -32,8 +33,8 @@ SEED = 42
 GENERATOR = 0b101011100011
 #: Segments: first bit and number of bits.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-#: Pairs of a bucket that are compared at once.
-BLOCK_PAIRS = 1 << 21
+#: Fingerprints whose keys are made at once.
+SPREAD_ROWS = 2048
 
 
 @cache
@@ -86,7 +87,7 @@ def _cross(rows: np.ndarray, keys: np.ndarray, more_rows: np.ndarray, more: np.n
 
 
 def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of fingerprints (uint64): the row of each key, the key, and whether the row is filed (1) or looks up (0)."""
+    """Keys of fingerprints (uint64): the row of each key, the key, and whether the row is filed or looks up."""
     parts = [((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in SEGMENTS]
     index = [golay_index(x) for x in parts]
     sets = [_ragged(*_fuzzy(x, bits)) for x, (_, bits) in zip(parts, SEGMENTS, strict=True)]
@@ -101,47 +102,10 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for kind, (mine, (row, key)) in enumerate(zip(filed, looked, strict=True)):
         of += (rows, row)
         keys += (mine | kind << 40, key | kind << 40)
-        roles += (np.ones(len(rows), np.int8), np.zeros(len(row), np.int8))
+        roles += (np.full(len(rows), FILED, np.int8), np.full(len(row), LOOKS, np.int8))
     return np.concatenate(of), np.concatenate(keys), np.concatenate(roles)
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, roles: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among whole buckets, sorted by key, as a spanning forest. Pairs are compared in blocks of bounded size."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-    sizes = np.diff(np.r_[starts, len(keys)])
-    filed = np.add.reduceat(roles.astype(np.int64), starts) if len(starts) else sizes
-    live = np.flatnonzero((filed > 0) & (filed < sizes) & (sizes > 2 - (filed < sizes)))
-    us, vs, held = [], [], 0
-
-    def compare(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal held, us, vs
-        near = (np.bitwise_count(a ^ b) <= max_bits) & (a != b)
-        us.append(a[near])
-        vs.append(b[near])
-        held += int(near.sum())
-        if held > BLOCK_PAIRS:
-            u, v = forest(np.concatenate(us), np.concatenate(vs))
-            us, vs, held = [u], [v], 0
-
-    pending_a, pending_b, pending = [], [], 0
-    for g in live.tolist():
-        part = slice(starts[g], starts[g] + sizes[g])
-        own, role = prints[part], roles[part] == 1
-        a, b = own[~role], own[role]
-        step = max(1, BLOCK_PAIRS // len(b))
-        for at in range(0, len(a), step):
-            x = a[at : at + step]
-            pending_a.append(np.repeat(x, len(b)))
-            pending_b.append(np.tile(b, len(x)))
-            pending += len(x) * len(b)
-            if pending >= BLOCK_PAIRS:
-                compare(np.concatenate(pending_a), np.concatenate(pending_b))
-                pending_a, pending_b, pending = [], [], 0
-    if pending:
-        compare(np.concatenate(pending_a), np.concatenate(pending_b))
-    return forest(np.concatenate(us), np.concatenate(vs)) if us and sum(map(len, us)) else (np.zeros(0, np.uint64),) * 2
-
-
 def shingle_hashes(raw: bytes | None, words: int) -> list[int]:
     """The XXH64 of all shingles, repeats included; none for no words."""
     import xxhash
@@ -187,37 +151,15 @@ def print_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError(f"the code finds at most {MAX_BITS} differing bits")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at in range(0, len(values), 2048):
-                part = values[at : at + 2048]
-                rows, keys, roles = fuzzy_keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows]), pa.array(roles)], ["key", "print", "role"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def done(parts: list[tuple[np.ndarray, ...]], last: bool) -> tuple[pa.RecordBatch, list[tuple[np.ndarray, ...]]]:
-            keys, prints_, roles = (np.concatenate(x) for x in zip(*parts, strict=True))
-            end = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
-            u, v = bucket_links(keys[:end], prints_[:end].view(np.uint64), roles[:end], max_bits)
-            links = pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-            return links, [] if last else [(keys[end:], prints_[end:], roles[end:])]
-
-        size = 0
-        for batch in batches:
-            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
-            size += batch.num_rows
-            if size >= 200_000 and held[-1][0][-1] != held[0][0][0]:
-                links, held = done(held, False)
-                size = len(held[0][0])
-                yield links
-        if held:
-            yield done(held, True)[0]
-
-    keyed = prints.select("print").mapInArrow(spread, "key long, print long, role byte")
-    dealt = keyed.repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(link, "u long, v long")
+        for batch in pieces(batches, SPREAD_ROWS):
+            part = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows, keys, roles = fuzzy_keys(part.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(roles), pa.array(part[rows])], ["key", "role", "w0"])
+
+    # A print has 188 keys, so tasks are dealt by prints and not by the few bytes of their file.
+    dealt = prints.select("print").repartition(partitions(prints.sparkSession), "print")
+    found = links(dealt.mapInArrow(spread, "key long, role byte, w0 long"), 1, max_bits)
+    return found.select(F.col("u0").alias("u"), F.col("v0").alias("v"))
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,14 +185,15 @@ def keep_one(docs: DataFrame, *, words: int = 5, max_bits: int = MAX_BITS, id_co
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``keep_one`` keeps of ``groups`` (id, text_hash, root)."""
+    """The rows of ``docs`` that ``keep_one`` keeps of ``groups`` (id, text_hash, root). Rows travel as one struct, so
+    their columns may have any names."""
     groups = staged(groups.select(F.col(id_col).alias("id"), "text_hash", "root"), "near-groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
-    kept = first.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    rows = docs.withColumn("__own", F.xxhash64(text_col))
-    found = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
+    kept = first.select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("own"))
+    found = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("own") == F.col("kept_hash")), "left_semi")
     apart = groups.groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    return (found if apart else found.dropDuplicates([id_col, "__own"])).drop("__own")
+    return (found if apart else found.dropDuplicates(["id", "own"])).select(*[F.col("row").getField(x).alias(x) for x in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from pixelspark.llm import buckets
 from pixelspark.llm import components as c
 from pixelspark.llm import simhash as s
 
@@ -60,7 +61,7 @@ def test_pairs_at_three_bits_share_a_key():
                 b ^= 1 << k
             _, keys_a, roles_a = s.fuzzy_keys(np.array([a], np.uint64))
             _, keys_b, roles_b = s.fuzzy_keys(np.array([b], np.uint64))
-            assert set(keys_a[roles_a == 0].tolist()) & set(keys_b[roles_b == 1].tolist())
+            assert set(keys_a[roles_a == buckets.LOOKS].tolist()) & set(keys_b[roles_b == buckets.FILED].tolist())
 
 
 def test_fingerprints(rows):
@@ -87,10 +88,31 @@ def test_links_lose_none(spark):
     assert got == want
 
 
-def test_buckets_of_many_pairs_stay_small(monkeypatch):
-    monkeypatch.setattr(s, "BLOCK_PAIRS", 100)
-    prints = np.arange(64, dtype=np.uint64)
-    u, v = s.bucket_links(np.zeros(128, np.int64), np.r_[prints, prints], np.r_[np.ones(64, np.int8), np.zeros(64, np.int8)], 3)
+def test_large_buckets_are_split_and_lose_no_link(spark, monkeypatch):
+    """Blocks of a few rows; hot keys with many blocks, beside keys of one row."""
+    rng = random.Random(9)
+    prints = [rng.getrandbits(63) for _ in range(40)]
+    prints += [x ^ 1 << rng.randrange(63) for x in prints for _ in range(12)]
+    rows = [(0, buckets.BOTH, x, x ^ 5) for x in prints] + [(k % 7, buckets.BOTH, x, x ^ 5) for k, x in enumerate(prints)] + [(100 + k, buckets.BOTH, x, x ^ 5) for k, x in enumerate(prints)]
+    frame = spark.createDataFrame(rows, "key long, role byte, w0 long, w1 long").repartition(3)
+    want = classes(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 1])
+    assert len(set(want.values())) < 60
+    for most in (40, 10**6):
+        # The workers get the module by its name, so the limit goes through the function's own globals.
+        monkeypatch.setattr(buckets, "MOST_ROWS", most)
+        keyed = buckets.links(frame, 2, 2)
+        assert ("InArrow" in keyed._jdf.queryExecution().toString()) == (most == 40)
+        assert classes(prints, [(r.u0, r.v0) for r in keyed.collect()]) == want
+
+
+def test_streamed_blocks(monkeypatch):
+    """Roles: rows that only look up don't meet each other."""
+    keys = np.zeros(3, np.int64)
+    prints = np.array([[1], [1 ^ 2], [1 ^ 4]], np.uint64)
+    u, v = buckets.bucket_links(keys, np.array([buckets.LOOKS, buckets.LOOKS, buckets.FILED], np.int8), prints, 1)
+    assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == [(0, 2)]
+    many = np.arange(64, dtype=np.uint64)[:, None]
+    u, v = buckets.bucket_links(np.zeros(64, np.int64), np.full(64, buckets.BOTH, np.int8), many, 1)
     assert len(u) == 63 and len({*classes(range(64), list(zip(u.tolist(), v.tolist(), strict=True))).values()}) == 1
 
 
