@@ -23,16 +23,10 @@ def test_stages_one_by_one(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {10_000, 10_001}
 
-    from test_simhash import classes, fingerprint
+    from test_similar import kept as apart_of
 
-    rows = kept.collect()
-    prints = [fingerprint(r.text, p.SHINGLE_WORDS) for r in rows]
-    of = classes(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
     apart = near(spark, kept, SF).cache()
-    least = {}
-    for i, r in of.items():
-        least[r] = min(least.get(r, 10**9), rows[i].doc_id)
-    assert sorted(r.doc_id for r in apart.collect()) == sorted(least.values())
+    assert sorted(r.doc_id for r in apart.collect()) == apart_of([(r.doc_id, r.text) for r in kept.collect()])
 
     items = [decontaminate.normal(r.text.encode()) for r in table(spark, SF, "benchmark").collect()]
     clean = leaks(spark, apart, SF).cache()

@@ -64,3 +64,82 @@ def test_exactly_at_the_limit():
     a = np.arange(9, dtype=np.uint64)
     assert s.linked([a, a[:8], a[:6]], 0.8).tolist() == [0, 0, 2]
     assert s.linked([a[:4], a[:5]], 0.8).tolist() == [0, 0]
+
+
+def pair(rng, n, share):
+    """Two sets of which ``share`` of the union is common."""
+    both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    own = (n - round(n * share)) // 2
+    return np.unique(both[: n - own]), np.unique(both[own:])
+
+
+def test_keys_meet_at_the_limit():
+    rng = np.random.default_rng(5)
+    for n in (10, 40, 150, 600):
+        pairs = [pair(rng, n, 0.8) for _ in range(400)]
+        assert min(len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in pairs) >= 0.8
+        one, two = (s.bit_counts([x[k] for x in pairs]) for k in (0, 1))
+        meet = [len(np.intersect1d(a, b)) > 0 for a, b in zip(s.segment_keys(s.near_codes(one)), s.segment_keys(s.near_codes(two)), strict=True)]
+        near = np.bitwise_count(s.check_words(one) ^ s.check_words(two)).sum(axis=1) <= s.MOST_BITS
+        assert (np.array(meet) & near).mean() >= 0.99
+
+
+def test_counts_of_long_and_short_sets(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 255, 256, 1, 3000, 510, 2)]
+    want = s.bit_counts(sets)
+    monkeypatch.setattr(s, "BLOCK", 300)
+    assert (s.bit_counts(sets) == want).all()
+    for x, got in zip(sets, want, strict=True):
+        first = np.sort(got[:64])
+        ones = np.array([int(((x >> np.uint64(k)) & np.uint64(1)).sum()) for k in range(64)])
+        assert (first == np.sort(2 * ones - len(x))).all()
+
+
+def test_large_groups_are_split_and_lose_no_link(spark, monkeypatch):
+    """Groups of a hub and its copies, a chain, and two classes that no link joins, in blocks of a few sets."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(3):
+        base = [rng.getrandbits(62) for _ in range(60)]
+        for k in range(40):
+            own = list(base)
+            for at in rng.sample(range(60), 3):
+                own[at] = rng.getrandbits(62)
+            rows.append((g, own))
+    chain = [rng.getrandbits(62) for _ in range(60)]
+    for k in range(50):
+        chain = chain[4:] + [rng.getrandbits(62) for _ in range(4)]
+        rows.append((7, chain))
+    for half in range(2):
+        base = [rng.getrandbits(62) for _ in range(60)]
+        rows += [(9, base[k:] + [rng.getrandbits(62) for _ in range(k)]) for k in range(6)]
+    sets = [np.unique(np.array(x, np.uint64)) for _, x in rows]
+    frame = spark.createDataFrame([(g, s.set_hash(x), x.tobytes()) for (g, _), x in zip(rows, sets, strict=True)], "group long, node long, shingles binary").repartition(3)
+    of = {s.set_hash(x): s.set_hash(x) for x in sets}
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if rows[i][0] == rows[j][0] and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8:
+            of[find(s.set_hash(sets[i]))] = find(s.set_hash(sets[j]))
+    want = {}
+    for x in of:
+        want.setdefault(find(x), set()).add(x)
+    for size in (1000, 10):
+        monkeypatch.setattr(s, "BLOCK_SETS", size)
+        monkeypatch.setattr(s, "ANCHORS", 2)
+        found = {r.node: r.root for r in s._verified(frame, 0.8).collect()}
+        got = {}
+        for x in of:
+            got.setdefault(found.get(x, x), set()).add(x)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_odd_tables(docs, rows, empty):
+    found = s.keep_one(docs).collect()
+    assert set(found[0].asDict()) == set(docs.columns) and s.keep_one(empty).count() == 0
+    assert len(found) == len(kept([(k, r[1]) for k, r in enumerate(rows)]))
