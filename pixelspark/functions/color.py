@@ -1,7 +1,7 @@
-"""Colour science as Column expressions: transfer curves, OKLab, gamut mapping, matrices and YCbCr.
+"""Colour science as Column expressions: transfer curves, OKLab, space mapping, matrices and YCbCr.
 
 A colour is three Columns. Everything here stays inside whole-stage codegen; the
-sixteen bisection steps of ``soft_gamut_clamp`` are a chain of projections for the same reason.
+sixteen bisection steps of ``soft_clamp`` are a chain of projections for the same reason.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 Vector = tuple[Column, Column, Column]
 Matrix = Sequence[Sequence[float]]
 
-# OKLab matrices (linear RGB of each gamut to LMS, cube-rooted LMS to Lab, and their inverses).
+# OKLab matrices (linear RGB of each space to LMS, cube-rooted LMS to Lab, and their inverses).
 M2 = ((0.2104542553, 0.7936177850, -0.0040720468), (1.9779984951, -2.4285922050, 0.4505937099), (0.0259040371, 0.7827717662, -0.8086757660))
 M2_INV = ((1.0, 0.3963377774, 0.2158037573), (1.0, -0.1055613458, -0.0638541728), (1.0, -0.0894841775, -1.2914855480))
 M1 = {
@@ -35,7 +35,7 @@ PRIMARIES = {
     "bt2020": (((0.7080, 0.2920), (0.1700, 0.7970), (0.1310, 0.0460)), D65),
     "prophoto_rgb": (((0.734699, 0.265301), (0.159597, 0.840403), (0.036598, 0.000105)), D50),
 }
-GAMUTS = tuple(M1)
+SPACES = tuple(M1)
 HDR_WHITE_NITS, PQ_PEAK_NITS = 203.0, 10000.0
 CLAMP_STEPS = 16
 
@@ -77,18 +77,18 @@ def apply3(m: Matrix, v: Sequence[Column]) -> Vector:
     return tuple(v[0] * row[0] + v[1] * row[1] + v[2] * row[2] for row in m)  # type: ignore[return-value]
 
 
-def _by_gamut(gamut: Column | str, value: Callable[[str], Column]) -> Column:
-    if isinstance(gamut, str):
-        return value(gamut)
+def _by_space(space: Column | str, value: Callable[[str], Column]) -> Column:
+    if isinstance(space, str):
+        return value(space)
     out = None
-    for name in GAMUTS:
-        out = F.when(gamut == name, value(name)) if out is None else out.when(gamut == name, value(name))
+    for name in SPACES:
+        out = F.when(space == name, value(name)) if out is None else out.when(space == name, value(name))
     return out
 
 
-def linear_rgb_to_oklab(rgb: Sequence[Column], gamut: Column | str = "srgb") -> Vector:
-    """Null for an unknown gamut."""
-    lms = [F.cbrt(_by_gamut(gamut, lambda name, k=k: apply3(M1[name], rgb)[k])) for k in range(3)]
+def linear_rgb_to_oklab(rgb: Sequence[Column], space: Column | str = "srgb") -> Vector:
+    """Null for an unknown space."""
+    lms = [F.cbrt(_by_space(space, lambda name, k=k: apply3(M1[name], rgb)[k])) for k in range(3)]
     return apply3(M2, lms)
 
 
@@ -96,11 +96,11 @@ def oklab_to_linear_srgb(lab: Sequence[Column]) -> Vector:
     return apply3(M1_INV_SRGB, [x * x * x for x in apply3(M2_INV, lab)])
 
 
-def in_gamut(rgb: Sequence[Column]) -> Column:
+def in_space(rgb: Sequence[Column]) -> Column:
     return rgb[0].between(0.0, 1.0) & rgb[1].between(0.0, 1.0) & rgb[2].between(0.0, 1.0)
 
 
-def soft_gamut_clamp(df: DataFrame, lab: Sequence[str], blend: float, out: Sequence[str] = ("l", "a", "b")) -> DataFrame:
+def soft_clamp(df: DataFrame, lab: Sequence[str], blend: float, out: Sequence[str] = ("l", "a", "b")) -> DataFrame:
     """``df`` with columns ``out``: the OKLab colour of columns ``lab`` itself if sRGB holds it, else what sixteen
     bisection steps toward grey give. Each step is a projection of its own, so expressions stay small and compiled."""
     l, a, b = (F.col(x) for x in lab)
@@ -108,11 +108,11 @@ def soft_gamut_clamp(df: DataFrame, lab: Sequence[str], blend: float, out: Seque
     def at(t: Column) -> Vector:
         return l + (F.lit(0.5) - l) * blend * t, a * (F.lit(1.0) - t), b * (F.lit(1.0) - t)
 
-    df = df.withColumns({"__inside": in_gamut(oklab_to_linear_srgb([l, a, b])), "__lo": F.lit(0.0), "__hi": F.lit(1.0)})
+    df = df.withColumns({"__inside": in_space(oklab_to_linear_srgb([l, a, b])), "__lo": F.lit(0.0), "__hi": F.lit(1.0)})
     for _ in range(CLAMP_STEPS):
         df = df.withColumn("__mid", (F.col("__lo") + F.col("__hi")) / 2.0)
         # A column of its own, with a reference that optimisers don't fold into the next step's.
-        df = df.withColumn("__ok", in_gamut(oklab_to_linear_srgb(at(F.col("__mid")))))
+        df = df.withColumn("__ok", in_space(oklab_to_linear_srgb(at(F.col("__mid")))))
         df = df.withColumns({"__lo": F.when(F.col("__ok"), F.col("__lo")).otherwise(F.col("__mid")), "__hi": F.when(F.col("__ok"), F.col("__mid")).otherwise(F.col("__hi"))})
     kept = [F.when(F.col("__inside"), F.col(x)).otherwise(y) for x, y in zip(lab, at(F.col("__hi")), strict=True)]
     names = dict(zip(out, kept, strict=True))
@@ -159,15 +159,15 @@ def bradford_adapt(source: tuple[float, float], target: tuple[float, float]) ->
     return product(inverse(BRADFORD), product(scale, BRADFORD))
 
 
-def derive_m1(gamut: str) -> list[list[float]]:
-    """A gamut's matrix to LMS from its primaries, by way of sRGB's."""
+def derive_m1(space: str) -> list[list[float]]:
+    """A space's matrix to LMS from its primaries, by way of sRGB's."""
     to_lms = product(M1["srgb"], inverse(rgb_to_xyz_matrix(*PRIMARIES["srgb"])))
-    primaries, white = PRIMARIES[gamut]
+    primaries, white = PRIMARIES[space]
     xyz = rgb_to_xyz_matrix(primaries, white)
     return product(to_lms, xyz if white == D65 else product(bradford_adapt(white, D65), xyz))
 
 
-# Source profiles: gamut, transfer, CICP primaries and transfer (None where CICP has none), tone mapping.
+# Source profiles: space, transfer, CICP primaries and transfer (None where CICP has none), tone mapping.
 PROFILES = (
     ("srgb", "srgb", "srgb", 1, 13, None),
     ("display_p3", "display_p3", "srgb", 12, 13, None),

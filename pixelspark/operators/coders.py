@@ -104,11 +104,8 @@ def _floor(range_: int, cdf: Sequence[int], symbol: int) -> int:
 def adapt(cdf: list[int], symbol: int, count: int) -> int:
     """Moves cumulative frequencies (of 32768, the last one included) toward a symbol; returns the next count."""
     rate = 3 + (count > 15) + (count > 31) + min(len(cdf).bit_length() - 1, 2)
-    for k in range(len(cdf) - 1):
-        if k >= symbol:
-            cdf[k] += (32768 - cdf[k]) >> rate
-        else:
-            cdf[k] -= cdf[k] >> rate
+    cdf[:symbol] = [x - (x >> rate) for x in cdf[:symbol]]
+    cdf[symbol:-1] = [x + ((32768 - x) >> rate) for x in cdf[symbol:-1]]
     return min(count + 1, 32)
 
 
@@ -149,9 +146,12 @@ class SymbolReader:
         return (self._text >> max(0, self._size - self._at) & ((1 << have) - 1)) << (size - have) if have else 0
 
     def get(self, cdf: Sequence[int]) -> int:
-        symbol, top = 0, self._range
-        while (floor := _floor(self._range, cdf, symbol)) > self._value:
-            symbol, top = symbol + 1, floor
+        part, value, top, symbol, spare = self._range >> 8, self._value, self._range, 0, 4 * len(cdf) - 4
+        for x in cdf:  # the parts' low ends in turn, as in _floor
+            floor = (part * (32768 - x >> 6) >> 1) + spare
+            if floor <= value:
+                break
+            symbol, top, spare = symbol + 1, floor, spare - 4
         self._range, self._value = top - floor, self._value - floor
         shift = 16 - self._range.bit_length()
         self._range <<= shift

@@ -56,9 +56,10 @@ def predictor_forward(samples: DataFrame, row_samples: int, spp: int) -> DataFra
 
 
 def predictor_reverse(differences: DataFrame, row_samples: int, spp: int) -> DataFrame:
-    """Its inverse, a running sum of each row and component: (img, p, v)."""
+    """Its inverse, a running sum of each row and component: (img, p, d, v). Rows that a shuffle has dealt by image
+    already, as those of ``predictor_forward``, aren't shuffled again."""
     own = Window.partitionBy("img", div(F.col("p"), row_samples), F.col("p") % row_samples % spp).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    return differences.select("img", "p", wrap8(F.sum("d").over(own)).cast("int").alias("v"))
+    return differences.select("img", "p", "d", wrap8(F.sum("d").over(own)).cast("int").alias("v"))
 
 
 def alpha_residuals(samples: DataFrame, width: int) -> DataFrame:

@@ -11,24 +11,30 @@ from pyspark.sql import functions as F
 from ..functions.integer import clip3, div
 
 # VP8 quantiser steps by index 0 to 127.
-DC_STEPS = """4 5 6 7 8 9 10 10 11 12 13 14 15 16 17 17 18 19 20 20 21 21 22 22 23 23 24 25 25 26 27 28 29 30 31 32 33 34 35 36 37 37
-38 39 40 41 42 43 44 45 46 46 47 48 49 50 51 52 53 54 55 56 57 58 59 60 61 62 63 64 65 66 67 68 69 70 71 72 73 74 75 76 76 77 78 79
-80 81 82 83 84 85 86 87 88 89 91 93 95 96 98 100 101 102 104 106 108 110 112 114 116 118 122 124 126 128 130 132 134 136 138 140 143
-145 148 151 154 157"""
-AC_STEPS = """4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29 30 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47
-48 49 50 51 52 53 54 55 56 57 58 60 62 64 66 68 70 72 74 76 78 80 82 84 86 88 90 92 94 96 98 100 102 104 106 108 110 112 114 116 119
-122 125 128 131 134 137 140 143 146 149 152 155 158 161 164 167 170 173 177 181 185 189 193 197 201 205 209 213 217 221 225 229 234
-239 245 249 254 259 264 269 274 279 284"""
+# fmt: off
+DC_STEPS = (
+    4, 5, 6, 7, 8, 9, 10, 10, 11, 12, 13, 14, 15, 16, 17, 17, 18, 19, 20, 20, 21, 21, 22, 22, 23, 23, 24, 25, 25, 26, 27, 28,
+    29, 30, 31, 32, 33, 34, 35, 36, 37, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46, 46, 47, 48, 49, 50, 51, 52, 53, 54, 55, 56, 57, 58,
+    59, 60, 61, 62, 63, 64, 65, 66, 67, 68, 69, 70, 71, 72, 73, 74, 75, 76, 76, 77, 78, 79, 80, 81, 82, 83, 84, 85, 86, 87, 88, 89,
+    91, 93, 95, 96, 98, 100, 101, 102, 104, 106, 108, 110, 112, 114, 116, 118, 122, 124, 126, 128, 130, 132, 134, 136, 138, 140, 143, 145, 148, 151, 154, 157,
+)
+AC_STEPS = (
+    4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32, 33, 34, 35,
+    36, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46, 47, 48, 49, 50, 51, 52, 53, 54, 55, 56, 57, 58, 60, 62, 64, 66, 68, 70, 72, 74, 76,
+    78, 80, 82, 84, 86, 88, 90, 92, 94, 96, 98, 100, 102, 104, 106, 108, 110, 112, 114, 116, 119, 122, 125, 128, 131, 134, 137, 140, 143, 146, 149, 152,
+    155, 158, 161, 164, 167, 170, 173, 177, 181, 185, 189, 193, 197, 201, 205, 209, 213, 217, 221, 225, 229, 234, 239, 245, 249, 254, 259, 264, 269, 274, 279, 284,
+)
+# fmt: on
 
 
 def quantiser_steps(spark: SparkSession) -> DataFrame:
     """(q, dc, ac): 128 rows."""
-    rows = [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(DC_STEPS.split(), AC_STEPS.split(), strict=True))]
+    rows = [(k, a, b) for k, (a, b) in enumerate(zip(DC_STEPS, AC_STEPS, strict=True))]
     return spark.createDataFrame(rows, "q int, dc int, ac int")
 
 
-def _step(q: Column, steps: str) -> Column:
-    return F.element_at(F.array(*[F.lit(int(x)) for x in steps.split()]), (clip3(0, 127, q) + 1).cast("int"))
+def _step(q: Column, steps: tuple[int, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in steps]), (clip3(0, 127, q) + 1).cast("int"))
 
 
 def quantiser_factors(base: Column, deltas: dict[str, Column]) -> dict[str, Column]:
@@ -121,12 +127,28 @@ def cache_hits(pixels: DataFrame, bits: int) -> DataFrame:
     return pixels.withColumn("slot", slot.cast("int")).select("img", "p", "slot", (before == F.col("colour")).alias("hit"))
 
 
-def neighbourhood() -> list[tuple[int, int]]:
-    """The 120 offsets of short distance codes: those within seven rows and eight columns, by distance, then by how
-    far they are to the side, positive side first. Those that come later in the same row are no earlier pixel."""
-    near = [(x, y) for y in range(8) for x in range(-8, 9) if (y > 0 or x > 0) and (x > -8 or y == 0) and (x < 8 or y < 8)]
-    order = sorted(near, key=lambda o: (o[0] ** 2 + o[1] ** 2, max(abs(o[0]), o[1]) != o[1], abs(o[0]), -o[0]))
-    return order[:120]
+# The offsets (x, y) of short distance codes, in the order of the codes.
+# fmt: off
+OFFSETS = (
+    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1),
+    (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3),
+    (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3),
+    (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0),
+    (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2), (4, 4), (-4, 4),
+    (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1),
+    (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6),
+    (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1),
+    (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7),
+    (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
+    (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5),
+    (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
+)
+# fmt: on
+
+
+def neighbourhood() -> tuple[tuple[int, int], ...]:
+    """The 120 offsets of short distance codes."""
+    return OFFSETS
 
 
 def linear_preview(samples: DataFrame, width: int, planes: int, black: int, white: int) -> DataFrame:

@@ -21,7 +21,7 @@ _TABLES: dict[str, tuple[list[tuple], str]] = {
     "catalog_photometrics": (list(tiff.PHOTOMETRICS.items()), "code int, name string"),
     "catalog_png_colours": ([(c, n, k, d) for n, (c, k, depths) in png.COLOURS.items() for d in depths], "code int, name string, channels int, depth int"),
     "catalog_webp_chunks": (list(riff.KINDS.items()), "fourcc string, kind string"),
-    "catalog_profiles": (list(color.PROFILES), "name string, gamut string, transfer string, primaries int, code int, white double"),
+    "catalog_profiles": (list(color.PROFILES), "name string, space string, transfer string, primaries int, code int, white double"),
 }
 
 

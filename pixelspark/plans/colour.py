@@ -1,4 +1,4 @@
-"""Queries over colours: transfer curves, OKLab, gamut mapping, YCbCr, profiles and tone curves."""
+"""Queries over colours: transfer curves, OKLab, space mapping, YCbCr, profiles and tone curves."""
 
 from __future__ import annotations
 
@@ -46,10 +46,10 @@ def _sum(row: tuple, names: str = "rgb") -> str:
 
 
 def _lms(k: int) -> str:
-    return "cbrt(CASE gamut " + " ".join(f"WHEN '{g}' THEN {_sum(m[k])}" for g, m in c.M1.items()) + " END)"
+    return "cbrt(CASE space " + " ".join(f"WHEN '{g}' THEN {_sum(m[k])}" for g, m in c.M1.items()) + " END)"
 
 
-_LAB = f"lab AS (SELECT k, n, r, g, b, gamut, {', '.join(f'{_sum(row, ("u", "v", "w"))} AS {name}' for row, name in zip(c.M2, ('l', 'ca', 'cb'), strict=True))} FROM (SELECT *, {_lms(0)} AS u, {_lms(1)} AS v, {_lms(2)} AS w FROM rgb))"
+_LAB = f"lab AS (SELECT k, n, r, g, b, space, {', '.join(f'{_sum(row, ("u", "v", "w"))} AS {name}' for row, name in zip(c.M2, ('l', 'ca', 'cb'), strict=True))} FROM (SELECT *, {_lms(0)} AS u, {_lms(1)} AS v, {_lms(2)} AS w FROM rgb))"
 
 
 def _back(l: str, a: str, b: str) -> list[str]:
@@ -59,7 +59,7 @@ def _back(l: str, a: str, b: str) -> list[str]:
 
 def oklab(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = i.linear_rgb(spark, sf_dir)
-    lab = c.linear_rgb_to_oklab([F.col(x) for x in "rgb"], F.col("gamut"))
+    lab = c.linear_rgb_to_oklab([F.col(x) for x in "rgb"], F.col("space"))
     rows = rows.select("k", "n", *[x.alias(name) for x, name in zip(lab, ("l", "ca", "cb"), strict=True)])
     back = c.oklab_to_linear_srgb([F.col(x) for x in ("l", "ca", "cb")])
     return rows.select("k", "n", *[rounded(F.col(x), x) for x in ("l", "ca", "cb")], *[rounded(x, name, 5) for x, name in zip(back, ("sr", "sg", "sb"), strict=True)])
@@ -68,21 +68,13 @@ def oklab(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["color_oklab"] = oklab, _no_minus_zero(f"WITH {i.RGB}, {_LAB} SELECT k, n, round(l, 6) AS l, round(ca, 6) AS ca, round(cb, 6) AS cb, {', '.join(f'round({x}, 5) AS {name}' for x, name in zip(_back('l', 'ca', 'cb'), ('sr', 'sg', 'sb'), strict=True))} FROM lab", "l", "ca", "cb", "sr", "sg", "sb")
 
 
-def gamut_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three line items of an order, as its SQL has it."""
-    return _clamped(i.linear_rgb(spark, sf_dir).where("n <= 3"))
-
-
-def gamut_clamp_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clamped(i.linear_rgb(spark, sf_dir))
-
-
-def _clamped(rows: DataFrame) -> DataFrame:
-    lab = c.linear_rgb_to_oklab([F.col(x) for x in "rgb"], F.col("gamut"))
+def space_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = i.linear_rgb(spark, sf_dir)
+    lab = c.linear_rgb_to_oklab([F.col(x) for x in "rgb"], F.col("space"))
     rows = rows.select("k", "n", *[x.alias(name) for x, name in zip(lab, ("l", "ca", "cb"), strict=True)])
     own = [F.col(x) for x in ("l", "ca", "cb")]
-    rows = rows.withColumn("inside", c.in_gamut(c.oklab_to_linear_srgb(own)))
-    rows = c.soft_gamut_clamp(rows, ("l", "ca", "cb"), 0.5, out=("ol", "oa", "ob"))
+    rows = rows.withColumn("inside", c.in_space(c.oklab_to_linear_srgb(own)))
+    rows = c.soft_clamp(rows, ("l", "ca", "cb"), 0.5, out=("ol", "oa", "ob"))
     return rows.select("k", "n", "inside", *[rounded(F.col(x), y, 4) for x, y in (("ol", "l"), ("oa", "ca"), ("ob", "cb"))])
 
 
@@ -91,30 +83,29 @@ def _inside(l: str, a: str, b: str) -> str:
 
 
 _CLAMP = f"""WITH RECURSIVE {i.RGB}, {_LAB}, st AS (
- SELECT k, n, l, ca, cb, {_inside('l', 'ca', 'cb')} AS inside, CAST(0.0 AS DOUBLE) AS lo, CAST(1.0 AS DOUBLE) AS hi, 0 AS step FROM lab WHERE n <= 3
+ SELECT k, n, l, ca, cb, {_inside('l', 'ca', 'cb')} AS inside, CAST(0.0 AS DOUBLE) AS lo, CAST(1.0 AS DOUBLE) AS hi, 0 AS step FROM lab
  UNION ALL SELECT k, n, l, ca, cb, inside, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END, step + 1
  FROM (SELECT *, {_inside('(l + 0.5 * (0.5 - l) * mid)', '(ca * (1 - mid))', '(cb * (1 - mid))')} AS ok FROM (SELECT *, (lo + hi) / 2 AS mid FROM st WHERE step < 16)))
 SELECT k, n, inside, round(CASE WHEN inside THEN l ELSE l + 0.5 * (0.5 - l) * hi END, 4) AS l, round(CASE WHEN inside THEN ca ELSE ca * (1 - hi) END, 4) AS ca,
  round(CASE WHEN inside THEN cb ELSE cb * (1 - hi) END, 4) AS cb FROM st WHERE step = 16"""
-QUERIES["color_gamut_clamp"] = gamut_clamp, _no_minus_zero(_CLAMP, "l", "ca", "cb")
-QUERIES["color_gamut_clamp_whole"] = gamut_clamp_whole, _no_minus_zero(_CLAMP.replace(" WHERE n <= 3", ""), "l", "ca", "cb")
+QUERIES["color_space_clamp"] = space_clamp, _no_minus_zero(_CLAMP, "l", "ca", "cb")
 
 
 def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The literal matrices against those derived from the primaries: the largest difference by gamut."""
-    rows = [(g, max(abs(x - y) for a, b in zip(c.derive_m1(g), c.M1[g], strict=True) for x, y in zip(a, b, strict=True)) < 1e-6) for g in c.GAMUTS]
-    return spark.createDataFrame(rows, "gamut string, same boolean")
+    """The literal matrices against those derived from the primaries: the largest difference by space."""
+    rows = [(g, max(abs(x - y) for a, b in zip(c.derive_m1(g), c.M1[g], strict=True) for x, y in zip(a, b, strict=True)) < 1e-6) for g in c.SPACES]
+    return spark.createDataFrame(rows, "space string, same boolean")
 
 
-QUERIES["color_derived_matrices"] = matrices, "SELECT unnest(['srgb', 'display_p3', 'adobe_rgb', 'bt2020', 'prophoto_rgb']) AS gamut, true AS same"
+QUERIES["color_derived_matrices"] = matrices, "SELECT unnest(['srgb', 'display_p3', 'adobe_rgb', 'bt2020', 'prophoto_rgb']) AS space, true AS same"
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours by profile: a dimension table of five rows joined by name, then its curve and OKLab."""
-    known = spark.createDataFrame(c.PROFILES, "gamut string, own_gamut string, transfer string, primaries int, code int, white double")
-    rows = i.linear_rgb(spark, sf_dir).join(F.broadcast(known), "gamut")
+    known = spark.createDataFrame(c.PROFILES, "space string, own_space string, transfer string, primaries int, code int, white double")
+    rows = i.linear_rgb(spark, sf_dir).join(F.broadcast(known), "space")
     linear = [c.profile_eotf(F.col("transfer"), F.col(x)) for x in "rgb"]
-    lab = c.linear_rgb_to_oklab(linear, F.col("gamut"))
+    lab = c.linear_rgb_to_oklab(linear, F.col("space"))
     return rows.select("k", "n", "primaries", "code", "white", *[rounded(x, name, 5) for x, name in zip(lab, ("l", "ca", "cb"), strict=True)])
 
 
@@ -126,9 +117,9 @@ def _value(v: object) -> str:
     return "NULL" if v is None else repr(v)
 
 
-QUERIES["color_profiles"] = profiles, _no_minus_zero(f"""WITH {i.RGB.replace('rgb AS', 'raw AS')}, prof(gamut, transfer, primaries, code, white) AS (VALUES {', '.join('(' + ', '.join(_value(v) for v in (p[0], *p[2:])) + ')' for p in c.PROFILES)}),
-rgb AS (SELECT k, n, gamut, primaries, code, white, {', '.join(f'{_curve(x)} AS {x}' for x in 'rgb')} FROM raw JOIN prof USING (gamut)), {_LAB}
-SELECT lab.k, lab.n, CAST(primaries AS INT) AS primaries, CAST(code AS INT) AS code, CAST(white AS DOUBLE) AS white, round(l, 5) AS l, round(ca, 5) AS ca, round(cb, 5) AS cb FROM lab JOIN prof USING (gamut)""", "l", "ca", "cb")
+QUERIES["color_profiles"] = profiles, _no_minus_zero(f"""WITH {i.RGB.replace('rgb AS', 'raw AS')}, prof(space, transfer, primaries, code, white) AS (VALUES {', '.join('(' + ', '.join(_value(v) for v in (p[0], *p[2:])) + ')' for p in c.PROFILES)}),
+rgb AS (SELECT k, n, space, primaries, code, white, {', '.join(f'{_curve(x)} AS {x}' for x in 'rgb')} FROM raw JOIN prof USING (space)), {_LAB}
+SELECT lab.k, lab.n, CAST(primaries AS INT) AS primaries, CAST(code AS INT) AS code, CAST(white AS DOUBLE) AS white, round(l, 5) AS l, round(ca, 5) AS ca, round(cb, 5) AS cb FROM lab JOIN prof USING (space)""", "l", "ca", "cb")
 
 
 def ycbcr(spark: SparkSession, sf_dir: str) -> DataFrame:

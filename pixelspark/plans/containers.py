@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import integer as n
 from ..operators import coders, codecs, lossless
+from ..session import spread
 from ..sources import dng, isobmff, png, riff, tiff
 from ..sources import images as files
 from . import inputs as i
@@ -20,8 +21,8 @@ QUERIES: dict = {}
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an image: img, raw (768 bytes of interleaved RGB) and bits (a 16 x 16 bilevel image, 32 bytes). Built
-    from each part by array functions, so nothing is shuffled."""
-    u = lambda p: p % 16 + F.col("p_partkey")
+    from each part by array functions; only the parts' numbers are dealt out."""
+    u = lambda p: p % 16 + F.col("img")
     v = lambda p: (p.cast("long") - p % 16) / 16 + F.col("p_size")
 
     def channels(p: Column) -> list[Column]:
@@ -33,7 +34,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.unhex(F.array_join(F.transform(places, lambda p: F.concat(*[two(x) for x in channels(p)])), ""))
     flags = F.array_join(F.transform(places, lambda p: F.when(channels(p)[0] >= 128, "1").otherwise("0")), "")
     bits = F.unhex(F.concat(*[F.lpad(F.conv(F.substring(flags, 32 * k + 1, 32), 2, 16), 8, "0") for k in range(8)]))
-    return i.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), raw.alias("raw"), bits.alias("bits"))
+    return spread(i.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), "p_size"), "img").select("img", raw.alias("raw"), bits.alias("bits"))
 
 
 _MD5 = "md5(unhex(string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY p)))"
@@ -109,14 +110,16 @@ QUERIES["png_chunks"] = png_chunks, f"WITH {_IMAGES} SELECT img, '{png.chunk(b'I
 
 def riff_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extended containers with an odd-sized chunk, read back as chunk rows."""
-    write = lambda raw: riff.assemble([("VP8X", riff.extended_header(16, 16, alpha=True)), ("ALPH", raw[:17]), ("VP8L", raw[: 100 + raw[0]])])
+    write = lambda raw: riff.assemble([("VP8X", riff.extended_header(16, 16, alpha=True)), ("ALPH", raw[1:]), ("VP8L", raw)])
     files = images(spark, sf_dir).select(F.col("img").cast("string").alias("path"), _mapped(write, F.col("raw")).alias("content"))
     found = riff.read_chunks(files, mode="failfast")
     head = riff.parse_extended(F.when(F.col("fourcc") == "VP8X", F.col("payload")))
-    return found.select(F.col("path").cast("long").alias("img"), "idx", "fourcc", "size", head["width"].alias("width"), head["alpha"].alias("alpha"))
+    return found.select(F.col("path").cast("long").alias("img"), "idx", "fourcc", "size", F.md5("payload").alias("body"), head["width"].alias("width"), head["alpha"].alias("alpha"))
 
 
-QUERIES["riff_chunks"] = riff_chunks, f"""WITH {i.PIXELS}, f AS (SELECT img, r FROM px WHERE p = 0) SELECT img, k AS idx, c AS fourcc, CAST(CASE k WHEN 0 THEN 10 WHEN 1 THEN 17 ELSE 100 + r END AS BIGINT) AS size,
+_HEX = "string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY p)"
+QUERIES["riff_chunks"] = riff_chunks, f"""WITH {i.PIXELS}, f AS (SELECT img, {_HEX} AS h FROM px GROUP BY img)
+SELECT img, k AS idx, c AS fourcc, CAST(CASE k WHEN 0 THEN 10 WHEN 1 THEN 767 ELSE 768 END AS BIGINT) AS size, md5(unhex(CASE k WHEN 0 THEN '100000000F00000F0000' WHEN 1 THEN substr(h, 3) ELSE h END)) AS body,
  CASE WHEN k = 0 THEN 16 END AS width, CASE WHEN k = 0 THEN true END AS alpha FROM f, (VALUES (0, 'VP8X'), (1, 'ALPH'), (2, 'VP8L')) t(k, c)"""
 
 
@@ -177,7 +180,7 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve-bit mosaics as DNG files by each compression, and their samples' MD5 when read back."""
 
     def write(raw: bytes) -> bytes:
-        x = np.frombuffer(raw, np.uint8).reshape(16, 48)[:, :16].astype(np.int64) * 16
+        x = np.frombuffer(raw, np.uint8).reshape(16, 48).astype(np.int64) * 16
         return dng.write(dng.Raw(x[:, :, None], 12, model="unit"), compression=("none", "deflate", "ljpeg")[raw[0] % 3], big_endian=raw[1] % 2 == 1)
 
     source = images(spark, sf_dir).select(F.col("img").cast("string").alias("path"), _mapped(write, F.col("raw")).alias("content"))
@@ -186,4 +189,4 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["raw_files"] = raw_files, f"""WITH {i.PIXELS}, b AS (SELECT img, y * 48 + x * 3 + k AS p, CASE k WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM px, range(3) t(k))
-SELECT img, 16 AS width, 16 AS rows, 12 AS bits, CAST(4095 AS BIGINT) AS white, 'unit' AS model, md5(unhex(string_agg(printf('%02X%02X', v * 16 % 256, v * 16 // 256), '' ORDER BY p))) AS samples FROM b WHERE p % 48 < 16 GROUP BY img"""
+SELECT img, 48 AS width, 16 AS rows, 12 AS bits, CAST(4095 AS BIGINT) AS white, 'unit' AS model, md5(unhex(string_agg(printf('%02X%02X', v * 16 % 256, v * 16 // 256), '' ORDER BY p))) AS samples FROM b GROUP BY img"""

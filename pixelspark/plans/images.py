@@ -56,10 +56,7 @@ QUERIES["png_filter_residuals"] = png_residuals, f"WITH {_NEAR} SELECT img, y, {
 
 
 def tiff_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = samples(spark, sf_dir)
-    forward = r.predictor_forward(own, 3 * W, 3)
-    back = r.predictor_reverse(forward, 3 * W, 3)
-    return forward.join(back, ["img", "p"]).select("img", "p", "d", "v")
+    return r.predictor_reverse(r.predictor_forward(samples(spark, sf_dir), 3 * W, 3), 3 * W, 3)
 
 
 QUERIES["tiff_predictor"] = tiff_predictor, f"WITH {SAMPLES} SELECT img, p, CAST((v - CASE WHEN p % 48 >= 3 THEN lag(v, 3, 0) OVER (PARTITION BY img ORDER BY p) ELSE 0 END + 256) % 256 AS INT) AS d, v FROM sm"
@@ -128,42 +125,25 @@ def coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COLOURED = i.FEW + ", cl AS (SELECT *, CAST(a AS BIGINT) * 16777216 + r * 65536 + g * 256 + b AS colour FROM fx)"
-_PALETTE = COLOURED + ", pl AS (SELECT * FROM (SELECT img, colour, n AS pixels, row_number() OVER (PARTITION BY img ORDER BY f) - 1 AS idx, count(*) OVER (PARTITION BY img) AS k FROM (SELECT img, colour, min(p) AS f, count(*) AS n FROM cl GROUP BY ALL)) WHERE k <= 16)"
+_PALETTE = COLOURED + ", pl AS (SELECT * FROM (SELECT img, colour, n AS pixels, row_number() OVER (PARTITION BY img ORDER BY f) - 1 AS idx, count(*) OVER (PARTITION BY img) AS k FROM (SELECT img, colour, min(p) AS f, count(*) AS n FROM cl GROUP BY ALL)) WHERE k <= 256)"
 
 
 def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.palette(coloured(spark, sf_dir), 16)
-
-
-QUERIES["palette"] = palettes, f"WITH {_PALETTE} SELECT img, idx, colour, pixels FROM pl"
-
-
-def palettes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The palettes of up to 256 colours, which every image of 256 pixels has."""
     return b.palette(coloured(spark, sf_dir))
 
 
-_PALETTE_WHOLE = _PALETTE.replace("k <= 16", "k <= 256")
-QUERIES["palette_whole"] = palettes_whole, f"WITH {_PALETTE_WHOLE} SELECT img, idx, colour, pixels FROM pl"
+QUERIES["palette"] = palettes, f"WITH {_PALETTE} SELECT img, idx, colour, pixels FROM pl"
 
 
 def bundled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = coloured(spark, sf_dir)
-    known = b.palette(px, 16)
-    return b.bundle_indices(b.to_indices(px.join(known.select("img").distinct(), "img", "left_semi"), known), W, 4)
-
-
-QUERIES["palette_bundles"] = bundled, f"""WITH {_PALETTE} SELECT img, y, byte, CAST(sum(idx << (4 * (x % 2))) AS INT) AS v
-FROM (SELECT cl.img, p // 16 AS y, p % 16 // 2 AS byte, p % 16 AS x, coalesce(idx, 0) AS idx FROM cl LEFT JOIN pl ON pl.img = cl.img AND pl.colour = cl.colour WHERE cl.img IN (SELECT img FROM pl)) GROUP BY ALL"""
-
-
-def bundled_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices of 1, 2, 4 or 8 bits, as each image's palette asks for."""
     px = coloured(spark, sf_dir)
     known = b.palette(px)
     return b.bundle_palettes(b.to_indices(px, known), known, W)
 
 
-QUERIES["palette_bundles_whole"] = bundled_whole, f"""WITH {_PALETTE_WHOLE}, sz AS (SELECT DISTINCT img, CASE WHEN k <= 2 THEN 1 WHEN k <= 4 THEN 2 WHEN k <= 16 THEN 4 ELSE 8 END AS bits FROM pl),
+QUERIES["palette_bundles"] = bundled, f"""WITH {_PALETTE}, sz AS (SELECT DISTINCT img, CASE WHEN k <= 2 THEN 1 WHEN k <= 4 THEN 2 WHEN k <= 16 THEN 4 ELSE 8 END AS bits FROM pl),
 ix AS (SELECT cl.img, bits, p // 16 AS y, p % 16 AS x, 8 // bits AS per, idx FROM cl JOIN pl ON pl.img = cl.img AND pl.colour = cl.colour JOIN sz ON sz.img = cl.img)
 SELECT img, bits, y, x // per AS byte, CAST(sum(idx << (bits * (x % per))) AS INT) AS v FROM ix GROUP BY ALL"""
 
@@ -187,10 +167,8 @@ SELECT img, form, CASE WHEN form = 'palette' THEN dp END AS depth, k AS colours,
 
 
 def green(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = i.pixels(spark, sf_dir)
-    less = b.subtract_green(px)
-    back = b.add_green(less)
-    return less.select("img", "p", F.col("r").alias("dr"), "g", F.col("b").alias("db")).join(back.select("img", "p", "r", "b"), ["img", "p"]).select("img", "p", *[F.col(x).cast("int").alias(x) for x in ("dr", "db", "r", "g", "b")])
+    less = b.subtract_green(i.pixels(spark, sf_dir)).withColumns({"dr": F.col("r"), "db": F.col("b")})
+    return b.add_green(less).select("img", "p", *[F.col(x).cast("int").alias(x) for x in ("dr", "db", "r", "g", "b")])
 
 
 QUERIES["subtract_green"] = green, f"WITH {i.PIXELS} SELECT img, p, (r - g + 256) % 256 AS dr, (b - g + 256) % 256 AS db, r, g, b FROM px"
@@ -200,16 +178,7 @@ def argb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.pixels(spark, sf_dir).select("img", "p", F.lit(255).alias("a"), "r", "g", "b")
 
 
-def some_argb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image in eight, as the SQL of the queries without ``_whole`` has it."""
-    return argb(spark, sf_dir).where("img % 8 = 0")
-
-
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.best_modes(b.predictor_costs(some_argb(spark, sf_dir), W, 8))
-
-
-def modes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.best_modes(b.predictor_costs(argb(spark, sf_dir), W, 8))
 
 
@@ -227,24 +196,16 @@ def _modes_sql() -> str:
         return f"({c} - (CASE WHEN p = 0 THEN 0 WHEN y = 0 THEN {l} WHEN x = 0 THEN {t} {inner} END) + 256) % 256"
 
     costs = " + ".join(f"least(d{c}, (256 - d{c}) % 256)" for c in ch)
-    return f"""WITH {i.PIXELS}, nb AS (SELECT img, p, x, y, r, g, b, {lags} FROM px WHERE img % 8 = 0 WINDOW w AS (PARTITION BY img ORDER BY p)),
+    return f"""WITH {i.PIXELS}, nb AS (SELECT img, p, x, y, r, g, b, {lags} FROM px WINDOW w AS (PARTITION BY img ORDER BY p)),
 nx AS (SELECT *, {near('l')} AS nl, {near('t')} AS nt FROM nb), d AS (SELECT img, x // 8 AS bx, y // 8 AS by, m, {', '.join(f'{guess(c)} AS d{c}' for c in ch)} FROM nx, range(14) t(m)),
 s AS (SELECT img, bx, by, m, sum({costs}) AS cost FROM d GROUP BY ALL) SELECT img, bx, by, CAST(arg_min(m, cost * 16 + m) AS INT) AS mode, CAST(min(cost) AS BIGINT) AS cost FROM s GROUP BY img, bx, by"""
 
 
 QUERIES["predictor_modes"] = modes, _quoted(_modes_sql())
-QUERIES["predictor_modes_whole"] = modes_whole, _quoted(_modes_sql().replace(" WHERE img % 8 = 0", ""))
 
 
 def colour_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _there_and_back(some_argb(spark, sf_dir))
-
-
-def colour_transform_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _there_and_back(argb(spark, sf_dir))
-
-
-def _there_and_back(px: DataFrame) -> DataFrame:
+    px = argb(spark, sf_dir)
     elements = b.color_elements(px, W, 8)
     there = b.apply_color(px, elements, W, 8)
     back = b.apply_color(there, elements, W, 8, inverse=True)
@@ -252,12 +213,11 @@ def _there_and_back(px: DataFrame) -> DataFrame:
 
 
 _S8 = "(({x} + 128) % 256 - 128)"
-QUERIES["colour_transform"] = colour_transform, _quoted(f"""WITH {i.PIXELS}, s AS (SELECT *, {_S8.format(x='r')} AS sr, {_S8.format(x='g')} AS sg, {_S8.format(x='b')} AS sb FROM px WHERE img % 8 = 0),
+QUERIES["colour_transform"] = colour_transform, _quoted(f"""WITH {i.PIXELS}, s AS (SELECT *, {_S8.format(x='r')} AS sr, {_S8.format(x='g')} AS sg, {_S8.format(x='b')} AS sb FROM px),
 e AS (SELECT img, x // 8 AS bx, y // 8 AS by, sum(sr * sg) AS rg, sum(sg * sg) AS gg, sum(sb * sg) AS bg, sum(sb * sr) AS br, sum(sr * sr) AS rr FROM s GROUP BY ALL),
 c AS (SELECT img, bx, by, CAST(CASE WHEN gg = 0 THEN 0 ELSE greatest(least(rg * 32 // gg, 127), -128) END AS BIGINT) AS g2r, CAST(CASE WHEN gg = 0 THEN 0 ELSE greatest(least(bg * 32 // gg, 127), -128) END AS BIGINT) AS g2b, CAST(CASE WHEN rr = 0 THEN 0 ELSE greatest(least(br * 32 // rr, 127), -128) END AS BIGINT) AS r2b FROM e)
 SELECT s.img, p, CAST((((r - ((g2r * sg) >> 5)) % 256) + 256) % 256 AS INT) AS tr, CAST((((b - ((g2b * sg) >> 5) - ((r2b * sr) >> 5)) % 256) + 256) % 256 AS INT) AS tb, r, g, b FROM s JOIN c ON s.img = c.img AND bx = x // 8 AND by = y // 8""")
 
-QUERIES["colour_transform_whole"] = colour_transform_whole, QUERIES["colour_transform"][1].replace(" WHERE img % 8 = 0", "")
 
 
 def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,55 +249,30 @@ QUERIES["raw_preview"] = preview, f"""WITH {i.PIXELS} SELECT img, x // 2 AS tx,
 
 
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.adler32(i.text_bytes(spark, sf_dir))
-
-
-QUERIES["adler32"] = checksums, f"""WITH {i.BYTES}, s AS (SELECT id, i, v, 1 + sum(v) OVER (PARTITION BY id ORDER BY i) AS a FROM byt)
-SELECT id, count(*) AS n, CAST(sum(a) % 65521 * 65536 + max(a) % 65521 AS BIGINT) AS adler FROM s GROUP BY id"""
-
-
-def checksums_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document's text; that of an empty one is 1."""
     ids = i.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"))
     found = ids.join(b.adler32(i.document_bytes(spark, sf_dir)), "id", "left")
     return found.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("adler", F.lit(1)).alias("adler"))
 
 
-QUERIES["adler32_whole"] = checksums_whole, f"""WITH {i.DOCUMENT_BYTES}, s AS (SELECT id, i, v, 1 + sum(v) OVER (PARTITION BY id ORDER BY i) AS a FROM byt),
+QUERIES["adler32"] = checksums, f"""WITH {i.DOCUMENT_BYTES}, s AS (SELECT id, i, v, 1 + sum(v) OVER (PARTITION BY id ORDER BY i) AS a FROM byt),
 d AS (SELECT id, count(*) AS n, CAST(sum(a) % 65521 * 65536 + max(a) % 65521 AS BIGINT) AS adler FROM s GROUP BY id)
 SELECT doc_id AS id, coalesce(n, 0) AS n, coalesce(adler, 1) AS adler FROM documents LEFT JOIN d ON d.id = doc_id WHERE text IS NOT NULL"""
 
 
 def crcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat_ws("|", "c_name", "c_mktsegment")
-    return i.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.crc32(text.cast("binary")).alias("crc"))
-
-
-QUERIES["crc32"] = crcs, """SELECT c_custkey AS id, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(t) + 1), lambda j: ascii(t[j])::BIGINT)),
- lambda c, v: list_reduce(list_prepend(xor(c, v), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda k, z: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END)), 4294967295) AS BIGINT) AS crc
-FROM (SELECT c_custkey, c_name || '|' || c_mktsegment AS t FROM customer)"""
-
-
-def crcs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.crc32(F.col("text").cast("binary")).alias("crc"))
 
 
-QUERIES["crc32_whole"] = crcs_whole, """SELECT doc_id AS id, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+QUERIES["crc32"] = crcs, """SELECT doc_id AS id, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
  lambda c, v: list_reduce(list_prepend(xor(c, v), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda k, z: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END)), 4294967295) AS BIGINT) AS crc FROM documents"""
 
 
 def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.histogram(i.text_bytes(spark, sf_dir))
-
-
-QUERIES["byte_histogram"] = histograms, f"WITH {i.BYTES} SELECT id, v, count(*) AS n FROM byt GROUP BY id, v"
-
-
-def histograms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.histogram(i.document_bytes(spark, sf_dir))
 
 
-QUERIES["byte_histogram_whole"] = histograms_whole, f"WITH {i.DOCUMENT_BYTES} SELECT id, v, count(*) AS n FROM byt GROUP BY id, v"
+QUERIES["byte_histogram"] = histograms, f"WITH {i.DOCUMENT_BYTES} SELECT id, v, count(*) AS n FROM byt GROUP BY id, v"
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,14 +53,14 @@ FEW = (
 
 
 def linear_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A colour a line item: k, n, r, g, b from 0 to 1, and a gamut name."""
+    """A colour a line item: k, n, r, g, b from 0 to 1, and a space name."""
     rows = table(spark, sf_dir, "lineitem")
     names = F.array(*[F.lit(x) for x in ("srgb", "display_p3", "adobe_rgb", "bt2020", "prophoto_rgb")])
-    return rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_discount") * 10).alias("r"), (F.col("l_tax") * 12.5).alias("g"), (F.col("l_quantity") / 50).alias("b"), F.element_at(names, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("gamut"))
+    return rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_discount") * 10).alias("r"), (F.col("l_tax") * 12.5).alias("g"), (F.col("l_quantity") / 50).alias("b"), F.element_at(names, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("space"))
 
 
 RGB = """rgb AS (SELECT l_orderkey AS k, l_linenumber AS n, l_discount * 10 AS r, l_tax * 12.5 AS g, l_quantity / 50 AS b,
-  ['srgb', 'display_p3', 'adobe_rgb', 'bt2020', 'prophoto_rgb'][l_linenumber % 5 + 1] AS gamut FROM lineitem)"""
+  ['srgb', 'display_p3', 'adobe_rgb', 'bt2020', 'prophoto_rgb'][l_linenumber % 5 + 1] AS space FROM lineitem)"""
 
 
 def hdr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,16 +87,8 @@ MULAW = "mu AS (SELECT vec_id, i - 1 AS i, greatest(least(CAST(e AS DOUBLE) * 2,
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sixteen values of a vector times 128, rounded half away from zero: vec_id, v ARRAY<INT>."""
-    first = F.slice("embedding", 1, 16)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(first, lambda e: F.when(e >= 0, F.floor(e.cast("double") * 128 + 0.5)).otherwise(F.ceil(e.cast("double") * 128 - 0.5)).cast("int")).alias("v"))
-
-
-BLOCKS = "bl AS (SELECT vec_id, list_transform(embedding[1:16], lambda e: CAST(CASE WHEN e >= 0 THEN floor(CAST(e AS DOUBLE) * 128 + 0.5) ELSE ceil(CAST(e AS DOUBLE) * 128 - 0.5) END AS BIGINT)) AS v FROM embeddings)"
-
-
-def all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sixteen-value blocks of a vector, valued like ``blocks``: vec_id, block, v ARRAY<INT>; zeros fill the last one up."""
+    """All sixteen-value blocks of a vector times 128, rounded half away from zero: vec_id, block, v ARRAY<INT>; zeros fill
+    the last one up."""
     value = lambda e: F.when(e >= 0, F.floor(e.cast("double") * 128 + 0.5)).otherwise(F.ceil(e.cast("double") * 128 - 0.5)).cast("int")
     rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", F.transform("embedding", value).alias("e"))
     each = rows.select("vec_id", "e", F.explode(F.sequence(F.lit(0), div(F.size("e") - 1, 16).cast("int"))).alias("block"))
@@ -104,21 +96,10 @@ def all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", "block", F.concat(cut, F.array_repeat(F.lit(0), F.lit(16) - F.size(cut))).alias("v"))
 
 
-ALL_BLOCKS = """bl AS (SELECT vec_id, block, list_transform(range(1, 17), lambda j: coalesce(e[block * 16 + j], 0)) AS v
+BLOCKS = """bl AS (SELECT vec_id, block, list_transform(range(1, 17), lambda j: coalesce(e[block * 16 + j], 0)) AS v
  FROM (SELECT vec_id, list_transform(embedding, lambda e: CAST(CASE WHEN e >= 0 THEN floor(CAST(e AS DOUBLE) * 128 + 0.5) ELSE ceil(CAST(e AS DOUBLE) * 128 - 0.5) END AS BIGINT)) AS e, CAST(unnest(range((len(embedding) + 15) // 16)) AS INT) AS block FROM embeddings))"""
 
 
-def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bytes of each customer's name and segment: id, i, v. Short, so that SQL can check every byte."""
-    text = F.concat_ws("|", "c_name", "c_mktsegment").cast("binary")
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.hex(text).alias("h"))
-    each = rows.select("id", "h", F.explode(F.sequence(F.lit(0), div(F.length("h"), 2).cast("int") - 1)).alias("i"))
-    return each.select("id", "i", F.conv(F.substring(F.col("h"), F.col("i") * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("v"))
-
-
-BYTES = "byt AS (SELECT id, i - 1 AS i, ascii(t[i]) AS v FROM (SELECT c_custkey AS id, c_name || '|' || c_mktsegment AS t FROM customer), range(1, 200) r(i) WHERE i <= length(t))"
-
-
 def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of each document's whole text: id, i, v."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit("(..)")).alias("h"))

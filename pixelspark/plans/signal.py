@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import integer as n
 from . import inputs as i
-from .colour import rounded
 
 QUERIES: dict = {}
 
@@ -52,38 +51,30 @@ FROM (SELECT *, CASE WHEN u <= 4 THEN 0 ELSE CAST(floor(log2(u - 1)) AS INT) - 1
 
 
 def mulaw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in millionths. Samples are binary fractions, which may lie half way between two of these but never at 0.63,
+    where the last bit of a logarithm would tell."""
     v = F.col("v")
     q = n.mu_quantize(v, 8, 255.0)
-    return i.mulaw_samples(spark, sf_dir).select("vec_id", "i", rounded(n.mu_compress(v, 255.0), "compressed"), rounded(n.mu_expand(n.mu_compress(v, 255.0), 255.0), "back"), q.alias("q"), rounded(n.mu_dequantize(q, 8, 255.0), "dq"))
+    millionths = lambda x, name: F.floor(x * 1e6 + 0.37).alias(name)
+    return i.mulaw_samples(spark, sf_dir).select("vec_id", "i", millionths(n.mu_compress(v, 255.0), "compressed"), millionths(n.mu_expand(n.mu_compress(v, 255.0), 255.0), "back"), q.alias("q"), millionths(n.mu_dequantize(q, 8, 255.0), "dq"))
 
 
 _COMP = "sign(v) * ln(1 + 255 * abs(v)) / ln(256.0)"
 _Q = f"CAST(greatest(least(floor(({_COMP} + 1) / 2 * 254 + 0.5), 254), 0) AS BIGINT)"
-QUERIES["mulaw"] = mulaw, f"""WITH {i.MULAW}, q AS (SELECT *, {_Q} AS q FROM mu) SELECT vec_id, i, round({_COMP}, 6) + 0.0 AS compressed, round(v, 6) + 0.0 AS back, q,
- round(sign(q / 254.0 * 2 - 1) * (pow(256.0, abs(q / 254.0 * 2 - 1)) - 1) / 255, 6) + 0.0 AS dq FROM q"""
+_MILLIONTHS = "CAST(floor(({}) * 1e6 + 0.37) AS BIGINT)"
+QUERIES["mulaw"] = mulaw, f"""WITH {i.MULAW}, c AS (SELECT *, {_COMP} AS c FROM mu), q AS (SELECT *, {_Q} AS q FROM c)
+SELECT vec_id, i, {_MILLIONTHS.format('c')} AS compressed, {_MILLIONTHS.format('sign(c) * (pow(256.0, abs(c)) - 1) / 255')} AS back, q,
+ {_MILLIONTHS.format('sign(q / 254.0 * 2 - 1) * (pow(256.0, abs(q / 254.0 * 2 - 1)) - 1) / 255')} AS dq FROM q"""
 
 
 def _each(block: Column, size: int = 16) -> list[Column]:
     return [F.element_at(block, k + 1).cast("long").alias(f"v{k:02d}") for k in range(size)]
 
 
-def _whole(sql: str) -> str:
-    """The SQL of a query of the first blocks, over all blocks."""
-    return sql.replace(i.BLOCKS, "{blocks}").replace("vec_id", "vec_id, block").replace("{blocks}", i.ALL_BLOCKS)
-
-
 def wht(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wht(i.blocks(spark, sf_dir), "vec_id")
-
-
-def wht_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wht(i.all_blocks(spark, sf_dir), "vec_id", "block")
-
-
-def _wht(blocks: DataFrame, *keys: str) -> DataFrame:
-    rows = blocks.withColumn("t", n.fwht4x4(F.col("v"))).withColumn("back", n.iwht4x4(F.col("t")))
+    rows = i.blocks(spark, sf_dir).withColumn("t", n.fwht4x4(F.col("v"))).withColumn("back", n.iwht4x4(F.col("t")))
     same = F.col("back") == F.transform("v", lambda x: x.cast("long"))
-    return rows.select(*keys, *_each(F.col("t")), same.alias("same"))
+    return rows.select("vec_id", "block", *_each(F.col("t")), same.alias("same"))
 
 
 def _lift(a: str, b: str, c: str, d: str) -> list[str]:
@@ -96,23 +87,15 @@ def _wht_sql() -> str:
     first = ", ".join(f"{columns[c][r]} AS m{r}{c}" for r in range(4) for c in range(4))
     rows = [_lift(*[f"m{r}{c}" for c in range(4)]) for r in range(4)]
     second = ", ".join(f"CAST({rows[r][c]} AS BIGINT) AS v{4 * r + c:02d}" for r in range(4) for c in range(4))
-    return f"WITH {i.BLOCKS}, m AS (SELECT vec_id, {first} FROM bl) SELECT vec_id, {second}, true AS same FROM m"
+    return f"WITH {i.BLOCKS}, m AS (SELECT vec_id, block, {first} FROM bl) SELECT vec_id, block, {second}, true AS same FROM m"
 
 
 QUERIES["walsh_hadamard"] = wht, _wht_sql()
-QUERIES["walsh_hadamard_whole"] = wht_whole, _whole(_wht_sql())
 
 
 def dct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dct(i.blocks(spark, sf_dir), "vec_id")
-
-
-def dct_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dct(i.all_blocks(spark, sf_dir), "vec_id", "block")
-
-
-def _dct(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.select(*keys, *_each(n.forward_dct(F.col("v"), 4)), *[F.element_at(n.forward_identity(F.col("v"), k), 2).cast("long").alias(f"id{k}") for k in (2, 3, 4, 5)], *[F.element_at(n.inverse_identity(F.col("v"), k), 3).cast("long").alias(f"inv{k}") for k in (2, 3, 4, 5)])
+    rows = i.blocks(spark, sf_dir)
+    return rows.select("vec_id", "block", *_each(n.forward_dct(F.col("v"), 4)), *[F.element_at(n.forward_identity(F.col("v"), k), 2).cast("long").alias(f"id{k}") for k in (2, 3, 4, 5)], *[F.element_at(n.inverse_identity(F.col("v"), k), 3).cast("long").alias(f"inv{k}") for k in (2, 3, 4, 5)])
 
 
 def _dct_sql() -> str:
@@ -121,27 +104,18 @@ def _dct_sql() -> str:
     ids = {2: "(v[2] * 2896 + 2048) >> 12", 3: "(v[2] + 1) >> 1", 4: "(v[2] * 1448 + 2048) >> 12", 5: "(v[2] + 2) >> 2"}
     inv = {2: "(v[3] * 5793 + 2048) >> 12", 3: "v[3] * 2", 4: "(v[3] * 11586 + 2048) >> 12", 5: "v[3] * 4"}
     more = ", ".join([f"any_value({x}) AS id{k}" for k, x in ids.items()] + [f"any_value({x}) AS inv{k}" for k, x in inv.items()])
-    return f"""WITH {i.BLOCKS}, basis(c, m, w) AS (VALUES {basis}), s AS (SELECT vec_id, c, CAST(sum(v[m] * w) AS BIGINT) AS t, any_value(v) AS v FROM bl, basis GROUP BY vec_id, c),
-o AS (SELECT vec_id, v, c, CASE WHEN c = 0 THEN (t * 2896 + 8388608) >> 24 ELSE (t + 2048) >> 12 END AS o FROM s) SELECT vec_id, {pick}, {more} FROM o GROUP BY vec_id"""
+    return f"""WITH {i.BLOCKS}, basis(c, m, w) AS (VALUES {basis}), s AS (SELECT vec_id, block, c, CAST(sum(v[m] * w) AS BIGINT) AS t, any_value(v) AS v FROM bl, basis GROUP BY vec_id, block, c),
+o AS (SELECT vec_id, block, v, c, CASE WHEN c = 0 THEN (t * 2896 + 8388608) >> 24 ELSE (t + 2048) >> 12 END AS o FROM s) SELECT vec_id, block, {pick}, {more} FROM o GROUP BY vec_id, block"""
 
 
 QUERIES["integer_dct"] = dct, _dct_sql()
-QUERIES["integer_dct_whole"] = dct_whole, _whole(_dct_sql())
 
 
 def vp8_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forward transform's coefficients, and the largest error of a sample after the inverse; the inverse Hadamard."""
-    return _vp8(i.blocks(spark, sf_dir), "vec_id")
-
-
-def vp8_transforms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vp8(i.all_blocks(spark, sf_dir), "vec_id", "block")
-
-
-def _vp8(blocks: DataFrame, *keys: str) -> DataFrame:
-    rows = blocks.withColumn("t", n.vp8_fdct4x4(F.col("v"))).withColumn("back", n.vp8_idct4x4(F.col("t"))).withColumn("h", n.vp8_iwht4x4(F.col("v")))
+    rows = i.blocks(spark, sf_dir).withColumn("t", n.vp8_fdct4x4(F.col("v"))).withColumn("back", n.vp8_idct4x4(F.col("t"))).withColumn("h", n.vp8_iwht4x4(F.col("v")))
     error = F.array_max(F.zip_with("v", "back", lambda a, b: F.abs(a - b)))
-    return rows.select(*keys, *_each(F.col("t")), *[F.element_at("h", k + 1).cast("long").alias(f"h{k:02d}") for k in range(16)], (error <= 1).alias("near"))
+    return rows.select("vec_id", "block", *_each(F.col("t")), *[F.element_at("h", k + 1).cast("long").alias(f"h{k:02d}") for k in range(16)], (error <= 1).alias("near"))
 
 
 def _vp8_sql() -> str:
@@ -158,8 +132,7 @@ def _vp8_sql() -> str:
     for r in range(4):
         w, x, y, z = (f"g{r}{c}" for c in range(4))
         had2 += [f"({w} + {z} + {x} + {y} + 3) >> 3 AS h{4 * r:02d}", f"({x} - {y} + {w} - {z} + 3) >> 3 AS h{4 * r + 1:02d}", f"({w} + {z} - {x} - {y} + 3) >> 3 AS h{4 * r + 2:02d}", f"({w} - {z} - {x} + {y} + 3) >> 3 AS h{4 * r + 3:02d}"]
-    return f"WITH {i.BLOCKS}, m AS (SELECT vec_id, {', '.join(fwd1 + had1)} FROM bl) SELECT vec_id, {', '.join(fwd2 + had2)}, true AS near FROM m"
+    return f"WITH {i.BLOCKS}, m AS (SELECT vec_id, block, {', '.join(fwd1 + had1)} FROM bl) SELECT vec_id, block, {', '.join(fwd2 + had2)}, true AS near FROM m"
 
 
 QUERIES["vp8_transforms"] = vp8_transforms, _vp8_sql()
-QUERIES["vp8_transforms_whole"] = vp8_transforms_whole, _whole(_vp8_sql())

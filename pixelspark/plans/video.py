@@ -10,7 +10,7 @@ from ..operators import video as v
 from . import inputs as i
 
 QUERIES: dict = {}
-_STEPS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(zip(v.DC_STEPS.split(), v.AC_STEPS.split(), strict=True)))
+_STEPS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(zip(v.DC_STEPS, v.AC_STEPS, strict=True)))
 
 
 def quantisers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -43,3 +43,10 @@ def send_package(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(archive)
     _sent.add(app)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over all cores, for functions that work long on each row: a small file is one task, however long that
+    takes. What comes in as many partitions as there are cores isn't shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(4 * cores, key)

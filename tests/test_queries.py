@@ -48,7 +48,7 @@ def test_filters_and_projections_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(l_orderkey), LessThan(l_orderkey,100)]" in plan
 
 
-@pytest.mark.parametrize("name,shuffles", [("color_transfer_curves", 0), ("color_ycbcr", 0), ("tone_curves", 0), ("integer_math", 0), ("byte_codecs", 0), ("image_files", 0), ("png_filter_choice", 1), ("alpha_filter_choice", 1), ("predictor_modes", 1), ("chroma_420", 1), ("block_stats", 1), ("adler32", 1), ("byte_histogram", 1), ("loop_filter_masks", 1), ("block_directions", 1)])
+@pytest.mark.parametrize("name,shuffles", [("color_transfer_curves", 0), ("color_ycbcr", 0), ("tone_curves", 0), ("integer_math", 0), ("byte_codecs", 1), ("image_files", 1), ("subtract_green", 0), ("tiff_predictor", 1), ("png_filter_choice", 1), ("alpha_filter_choice", 1), ("predictor_modes", 1), ("chroma_420", 1), ("block_stats", 1), ("adler32", 1), ("byte_histogram", 1), ("loop_filter_masks", 1), ("block_directions", 1)])
 def test_number_of_shuffles(spark, name, shuffles):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == shuffles and "CartesianProduct" not in plan
