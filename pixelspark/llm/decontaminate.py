@@ -1,15 +1,17 @@
 """Benchmark decontamination by the CGK random-walk embedding and bit sampling.
 
 Texts and items are compared as UTF-8 with A to Z in lower case and white space as single spaces. An item leaks into
-a text if some window of the text is within the item's edit limit, ``edit_rate`` of its bytes.
+a text if some window of the text is within the item's edit limit, ``edit_rate`` of its bytes. An item of fewer than
+``SHORT`` bytes leaks only by its exact words.
 
-1. Windows. An item cut into pieces of eight bytes keeps at least ``pieces - limit`` of them unchanged, at places that
-   shift by no more than the limit. Places of a text that show so many of an item's pieces, so aligned, open an
-   item-sized window; no other window can be within the limit, so nothing is lost here.
+1. Windows. An item cut into pieces of eight bytes, or fewer where it is short, keeps at least ``pieces - limit`` of
+   them unchanged, at places that shift by no more than the limit. Places of a text that show so many of an item's
+   pieces, so aligned, open an item-sized window; no other window can be within the limit, so nothing is lost here.
 2. Embedding. Window and item walk through the same random bits: at each step the current byte is written, and the
    step's bit for that byte says whether to go on. Edit distance so becomes Hamming distance.
 3. Sampling. Each repetition compares a few sampled places of the embeddings; a window passes if one agrees in all.
-   The number of repetitions is set, for the limit of each item, so that simulated edits reach the target recall.
+   The number of repetitions is set, for the limit of each item, so that simulated edits reach the target recall; where
+   ``MOST_ROUNDS`` of them don't, a repetition samples fewer places.
 4. Verification. What passes is verified by exact edit distance.
 """
 
@@ -31,15 +33,16 @@ from .common import pieces, table
 EDIT_RATE = 0.1
 TARGET_RECALL = 0.98
 PIECE = 8
-#: Items shorter than two pieces are too short to tell a leak from chance; they match nothing.
-LEAST_ITEM = 2 * PIECE
+#: Items of fewer bytes are too short to tell an edited one from chance.
+SHORT = 16
 SAMPLED = 5
 WALKS = 3
 MOST_ROUNDS = 200
 #: Items go to the workers in blocks of so many bytes; a larger benchmark takes a pass over the texts for each block.
 BLOCK_BYTES = 4 << 20
-#: Text that is searched at once.
+#: Text that is searched at once, and hits of pieces in it.
 CHUNK_BYTES = 1 << 22
+MOST_HITS = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
 
@@ -49,8 +52,13 @@ def normal(raw: bytes | None) -> bytes:
 
 
 def edit_limit(size: int, rate: float) -> int:
-    """Edits allowed for an item of so many bytes: two pieces at least must stay whole."""
-    return min(int(size * rate), size // PIECE - 2)
+    """Edits allowed for an item of so many bytes."""
+    return int(size * rate) if size >= SHORT else 0
+
+
+def piece_size(size: int, limit: int) -> int:
+    """Bytes of an item's pieces: of two more than its edits, two at least stay whole. A short item may be one piece."""
+    return max(1, min(PIECE, size // (limit + 2) if size >= SHORT else size))
 
 
 @lru_cache(4)
@@ -109,45 +117,54 @@ class Items:
     texts: list[bytes]
     limits: np.ndarray
     need: np.ndarray
-    seeds: np.ndarray
-    seed_item: np.ndarray
-    seed_at: np.ndarray
+    #: Of each size of pieces: their values in order, the numbers of their items and places there.
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     places: list[np.ndarray]
-    _known: dict[tuple[int, int], list[int]] = field(default_factory=dict)
+    _known: dict[tuple[int, int], list[tuple[int, int]]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple], rate: float = EDIT_RATE, recall: float = TARGET_RECALL) -> Items:
-        rows = [(k, text) for k, text in ((k, normal(raw)) for k, raw in rows) if len(text) >= LEAST_ITEM]
+        rows = [(k, text) for k, text in ((k, normal(raw)) for k, raw in rows) if text]
         texts = [x for _, x in rows]
         limits = np.array([edit_limit(len(x), rate) for x in texts], np.int64)
-        seeds = [(int.from_bytes(x[at : at + PIECE], "little"), k, at) for k, x in enumerate(texts) for at in range(0, len(x) - PIECE + 1, PIECE)]
-        seeds.sort()
-        value, item, at = (np.array([x[j] for x in seeds], np.uint64 if j == 0 else np.int64) for j in range(3))
-        need = np.array([len(x) // PIECE for x in texts], np.int64) - limits
-        found = cls([k for k, _ in rows], texts, limits, need, value, item, at, [])
+        sizes = np.array([piece_size(len(x), n) for x, n in zip(texts, limits.tolist(), strict=True)], np.int64)
+        seeds = {}
+        for size in np.unique(sizes).tolist():
+            own = [(int.from_bytes(texts[k][at : at + size], "little"), k, at) for k in np.flatnonzero(sizes == size).tolist() for at in range(0, len(texts[k]) - size + 1, size)]
+            own.sort()
+            seeds[size] = tuple(np.array([x[j] for x in own], np.uint64 if j == 0 else np.int64) for j in range(3))
+        need = np.array([len(x) // n for x, n in zip(texts, sizes.tolist(), strict=True)], np.int64) - limits
+        found = cls([k for k, _ in rows], texts, limits, need, seeds, [])
         found.places = [found._sampling(k, recall) for k in range(len(texts))]
         return found
 
     def _sampling(self, k: int, recall: float) -> np.ndarray:
         """(walk, repetition, place) samples for an item, as many repetitions as simulated edits need."""
         size, limit = len(self.texts[k]), int(self.limits[k])
-        rounds = _rounds(self.texts[k], limit, recall, self._known.setdefault((size // 16, limit), [])) if limit else 1
-        return np.random.default_rng([11, size, limit]).integers(0, 2 * size, (WALKS, rounds, SAMPLED))
+        sampled, rounds = _rounds(self.texts[k], limit, recall, self._known.setdefault((size // 16, limit), [])) if limit else (SAMPLED, 1)
+        return np.random.default_rng([11, size, limit]).integers(0, 2 * size, (WALKS, rounds, sampled))
 
 
-def _rounds(text: bytes, limit: int, recall: float, known: list[int]) -> int:
-    """Repetitions for texts of this size and limit, from simulated edits of the first few such items."""
+def _rounds(text: bytes, limit: int, recall: float, known: list[tuple[int, int]]) -> tuple[int, int]:
+    """Sampled places and repetitions for texts of this size and limit, from simulated edits of the first few such
+    items."""
     if len(known) < 3:
-        rng, steps, same = np.random.default_rng([13, len(text), limit, len(known)]), 2 * len(text), []
-        changed = [_edited(text, limit, rng) for _ in range(16)]
+        rng, same = np.random.default_rng([13, len(text), limit, len(known)]), []
+        # As a window has them: of the item's size, with what stands behind it.
+        behind = bytes(rng.permutation(np.frombuffer(text, np.uint8)))
+        changed, steps = [(_edited(text, limit, rng) + behind)[: len(text)] for _ in range(32)], 2 * len(text)
         for walk in range(WALKS):
             same.append((embed(*_rows(changed), walk, steps) == embed(*_rows([text]), walk, steps)).mean(axis=1))
-        # Walks fail apart: the chance that a repetition of any walk agrees, over the simulated texts.
-        chance, rounds = (np.array(same) ** SAMPLED).clip(1e-6, 1 - 1e-9), 1
-        while rounds < MOST_ROUNDS and (1 - np.exp(np.log1p(-chance).sum(axis=0) * rounds)).mean() < recall:
-            rounds += 1
-        known.append(rounds)
-    return max(known)
+        for sampled in range(SAMPLED, 0, -1):
+            # Walks fail apart: the chance that a repetition of any walk agrees, over the simulated texts.
+            chance, rounds = (np.array(same) ** sampled).clip(1e-6, 1 - 1e-9), 1
+            while rounds < MOST_ROUNDS and (1 - np.exp(np.log1p(-chance).sum(axis=0) * rounds)).mean() < recall:
+                rounds += 1
+            if rounds < MOST_ROUNDS:
+                break
+        known.append((sampled, rounds))
+    least = min(x for x, _ in known)
+    return least, max(n for x, n in known if x == least)
 
 
 def _edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
@@ -176,48 +193,83 @@ class Search:
 
     def __init__(self, items: Items) -> None:
         self.items = items
-        self._table = np.zeros(1 << _TABLE_BITS, bool)
-        self._table[(items.seeds * _MIX) >> np.uint64(64 - _TABLE_BITS)] = True
         self._own: dict[tuple[int, int], np.ndarray] = {}
-
-    def _seed_hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the text and numbers of the seeds that stand there, one row for each item that has the seed."""
-        seeds = self.items.seeds
+        self._tables = {}
+        for size, (values, _, _) in items.seeds.items():
+            self._tables[size] = table = np.zeros(1 << _TABLE_BITS, bool)
+            table[(values * _MIX) >> np.uint64(64 - _TABLE_BITS)] = True
+
+    def _places(self, raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text, in order, where a piece of this size may stand, and its values there."""
+        words = np.ndarray(len(raw) - PIECE + 1, "<u8", raw, strides=(1,))
+        mask, table = np.uint64((1 << 8 * size) - 1), self._tables[size]
         places, values = [], []
-        for k in range(PIECE):
-            part = text[k : k + (len(text) - k) // PIECE * PIECE].view("<u8")
-            at = np.flatnonzero(self._table[(part * _MIX) >> np.uint64(64 - _TABLE_BITS)])
-            places.append(at * PIECE + k)
-            values.append(part[at])
-        place, value = np.concatenate(places), np.concatenate(values)
-        low, high = np.searchsorted(seeds, value, "left"), np.searchsorted(seeds, value, "right")
-        times = high - low
-        total = int(times.sum())
-        return np.repeat(place, times), np.repeat(low - (np.cumsum(times) - times), times) + np.arange(total)
+        for at in range(0, len(words), 1 << 18):
+            part = words[at : at + (1 << 18)] & mask
+            hit = np.flatnonzero(table[(part * _MIX) >> np.uint64(64 - _TABLE_BITS)])
+            places.append(hit + at)
+            values.append(part[hit])
+        return np.concatenate(places), np.concatenate(values)
+
+    def _hits(self, raw: bytes, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of the text, items and the pieces' places in them, in runs of about ``MOST_HITS``; the hits of a text
+        and an item are never parted."""
+        n = len(self.items.texts)
+        for size, (seeds, item, at) in self.items.seeds.items():
+            place, value = self._places(raw, size)
+            low, high = np.searchsorted(seeds, value, "left"), np.searchsorted(seeds, value, "right")
+            some = high > low
+            place, low, high = place[some], low[some], high[some]
+            doc, times = np.searchsorted(starts, place, "right"), np.cumsum(high - low)
+            # Seeds of one value are in the order of their items, so that items can be taken range by range.
+            ranked = np.cumsum(np.r_[False, seeds[1:] != seeds[:-1]]) * n + item
+            begin = 0
+            while begin < len(place):
+                before = times[begin - 1] if begin else 0
+                end = int(np.searchsorted(times, before + MOST_HITS, "right"))
+                end = int(np.searchsorted(doc, doc[min(end, len(doc) - 1)], "left")) if end < len(doc) else end
+                end = end if end > begin else int(np.searchsorted(doc, doc[begin], "right"))
+                parts = -(-int(times[end - 1] - before) // MOST_HITS)
+                for k in range(parts):
+                    first, last = n * k // parts, n * (k + 1) // parts
+                    base = ranked[low[begin:end]] - item[low[begin:end]]
+                    a, b = np.searchsorted(ranked, base + first, "left"), np.searchsorted(ranked, base + last, "left")
+                    each = b - a
+                    which = np.repeat(a - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+                    yield np.repeat(place[begin:end], each), item[which], at[which]
+                begin = end
 
     def find(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each normal text its leaks: item's number, distance, start and end, the closest of each item."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-        items = self.items
-        if not len(items.seeds):
+        if not self.items.seeds:
             return out
         # White space is a space here, so no piece of an item reaches over the line end between two texts.
         joined = b"\n".join(texts) + b"\n" * PIECE
         starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
-        place, seed = self._seed_hits(np.frombuffer(joined, np.uint8))
-        if not len(place):
-            return out
-        doc, item, diagonal = np.searchsorted(starts, place, "right") - 1, items.seed_item[seed], place - items.seed_at[seed]
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for hits in self._hits(joined, starts):
+            windows = self._windows(len(joined), starts, *hits)
+            for at in range(0, len(windows), 4096):
+                self._check(windows[at : at + 4096], texts, best)
+        for (d, k), (distance, start, end) in sorted(best.items()):
+            out[d].append((k, distance, start, end))
+        return out
+
+    def _windows(self, size: int, starts: np.ndarray, place: np.ndarray, item: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The windows (text, item, begin, run) that enough aligned hits open."""
+        items = self.items
+        doc, diagonal = np.searchsorted(starts, place, "right") - 1, place - at
         order = np.lexsort((diagonal, item, doc))
         doc, item, diagonal = doc[order], item[order], diagonal[order]
         # Hits from each place on that are within the limit's shift, of the same text and item.
         group = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
-        span = len(joined) + int(items.limits.max()) + 1
+        span = size + int(items.limits.max()) + 1
         line = group * (2 * span) + diagonal + span
         within = np.searchsorted(line, line + items.limits[item], "right") - np.arange(len(line))
         first = np.flatnonzero(within >= items.need[item])
         if not len(first):
-            return out
+            return []
         # Runs of such places are one alignment; every shift that it shows opens a window.
         open_ = np.zeros(len(line) + 1, np.int64)
         np.add.at(open_, first, 1)
@@ -226,18 +278,8 @@ class Search:
         run = np.cumsum(np.r_[True, (np.diff(live) > 1) | (group[live[1:]] != group[live[:-1]])]) - 1
         fresh = np.r_[True, (run[1:] != run[:-1]) | (diagonal[live[1:]] != diagonal[live[:-1]])]
         live, run = live[fresh], run[fresh]
-        begins = np.maximum(diagonal[live] - starts[doc[live]], 0).tolist()
-        whole = [(d, k, b, r) for d, k, b, r in zip(doc[live].tolist(), item[live].tolist(), begins, run.tolist(), strict=True)]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, k, b, _ in whole:
-            if texts[d].startswith(items.texts[k], b):
-                best[d, k] = min(best.get((d, k), (1, 0, 0)), (0, b, b + len(items.texts[k])))
-        left = [x for x in whole if (x[0], x[1]) not in best and items.limits[x[1]]]
-        for at in range(0, len(left), 4096):
-            self._check(left[at : at + 4096], texts, best)
-        for (d, k), (distance, start, end) in sorted(best.items()):
-            out[d].append((k, distance, start, end))
-        return out
+        begins = np.maximum(diagonal[live] - starts[doc[live]], 0)
+        return list(zip(doc[live].tolist(), item[live].tolist(), begins.tolist(), run.tolist(), strict=True))
 
     def _check(self, windows: list[tuple[int, int, int, int]], texts: list[bytes], best: dict) -> None:
         """Embeds and samples windows (text, item, begin, run); a run of which one passes is verified, once."""
@@ -260,6 +302,11 @@ class Search:
         for own in runs.values():
             d, k = windows[own[0]][:2]
             limit, begins = int(items.limits[k]), [windows[j][2] for j in own]
+            if len(items.texts[k]) < SHORT:
+                begins = [b for b in begins if texts[d].startswith(items.texts[k], b) and texts[d][max(0, b - 1) : b] in (b"", b" ") and texts[d][b + len(items.texts[k]) :][:1] in (b"", b" ")]
+                if begins:
+                    best.setdefault((d, k), (0, min(begins), min(begins) + len(items.texts[k])))
+                continue
             low = max(0, min(begins) - limit)
             found = edit_search(items.texts[k], texts[d][low : max(begins) + len(items.texts[k]) + limit], limit)
             known = best.get((d, k))
@@ -292,8 +339,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     """One row for each document and item that leaks into it: id, item id, distance, start, end (bytes of the normal
     text, the closest place) and the item's edit limit.
 
-    Null and empty texts have no leaks; items that are null or under 16 bytes leak nowhere. Equal items are found
-    alike; a document row that is repeated gives its rows again. Empty tables give an empty result. Only the named
+    Null and empty texts have no leaks; null and empty items leak nowhere. Equal items are found alike; a document row that is repeated gives its rows again. Empty tables give an empty result. Only the named
     columns are used.
     """
     spark = docs.sparkSession
@@ -323,7 +369,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edit_rate: float = EDIT_RATE, recall: float = TARGET_RECALL) -> DataFrame:
-    """The rows of ``docs`` into which no item leaks, with all their columns."""
+    """The rows of ``docs`` into which no item leaks, with all their columns, whatever their names. Rows of null and empty
+    texts stay, and of repeated rows all or none; an empty benchmark keeps all."""
     spark, kept = docs.sparkSession, docs
     for block in item_blocks(items, id_col=item_id, text_col=item_text):
         held = spark.sparkContext.broadcast(Items.of(block, edit_rate, recall))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from pixelspark.llm import decontaminate as d
 
@@ -66,7 +67,7 @@ def test_exact_passages_are_all_found(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = d.find_leaks(docs, bench).collect()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in found if r.distance == 0)
-    want = sorted((-1 if k is None else k, i) for k, x, _ in rows for i, y in items if x and y and len(d.normal(y.encode())) >= 16 and d.normal(y.encode()) in d.normal(x.encode()))
+    want = sorted((-1 if k is None else k, i) for k, x, _ in rows for i, y in items if x and y and d.normal(y.encode()) and (d.normal(y.encode()) in d.normal(x.encode()) if len(d.normal(y.encode())) >= 16 else b' ' + d.normal(y.encode()) + b' ' in b' ' + d.normal(x.encode()) + b' '))
     assert got == want and len(want) > 40
     dirty = {x for k, x in got} and {-1 if r.doc_id is None else r.doc_id for r in found}
     kept = d.without_leaks(docs, bench)
@@ -80,3 +81,33 @@ def test_blocks_cover_all_items(spark):
     bench = spark.createDataFrame([(k, f"item number {k} with some words") for k in range(50)], "item_id long, text string")
     blocks = list(d.item_blocks(bench, block_bytes=300))
     assert len(blocks) > 3 and sorted(k for b in blocks for k, _ in b) == list(range(50))
+
+
+@pytest.mark.parametrize("size", [20, 30, 40, 79, 150, 400, 1000, 2000, 4000])
+def test_recall_at_the_limit_of_any_size(size):
+    rng, edits = np.random.default_rng(size), np.random.default_rng(size + 1)
+    letters = np.frombuffer(b"abcdefghijklmnop rstuvw yz", np.uint8)
+    items = [(k, letters[rng.integers(0, len(letters), size)].tobytes().replace(b"  ", b"ab").strip().ljust(size, b"x")) for k in range(40)]
+    block = d.Items.of(items)
+    assert (block.limits == size // 10).all()
+    texts = [d.normal(b"some words before it " + d._edited(x, int(n), edits) + b" and some after it") for x, n in zip(block.texts, block.limits, strict=True)]
+    found = d.Search(block).find(texts)
+    assert sum(any(x[0] == k for x in own) for k, own in enumerate(found)) >= 38
+
+
+def test_short_items_by_their_words():
+    block = d.Items.of([(0, b"Tiny"), (1, b"a b"), (2, b"fifteen letters"), (3, b"x"), (4, b" "), (5, None)])
+    texts = [b"a tiny one", b"tinyest", b"aa b", b"is a b", b"fifteen lettersx, fifteen letters", b"fifteen lettrs", b"x", b"xx"]
+    assert [[(k, a, b) for k, _, a, b in own] for own in d.Search(block).find(texts)] == [[(0, 2, 6)], [], [], [(1, 3, 6)], [(2, 18, 33)], [], [(3, 0, 1)], []]
+
+
+def test_many_hits_are_taken_in_runs(monkeypatch):
+    items = [(k, b"a" * 40 + b" item %d of many" % k) for k in range(50)]
+    texts = [b"a" * 2000, b"b" * 50 + b" " + items[7][1] + b" c", items[3][1], b"", b"a" * 300 + b" " + items[9][1]]
+    want = d.Search(d.Items.of(items)).find(texts)
+    sizes = []
+    windows = d.Search._windows
+    monkeypatch.setattr(d, "MOST_HITS", 3000)
+    monkeypatch.setattr(d.Search, "_windows", lambda self, size, starts, place, item, at: sizes.append(len(place)) or windows(self, size, starts, place, item, at))
+    assert d.Search(d.Items.of(items)).find(texts) == want and want[1] and want[2]
+    assert max(sizes) < 20_000 and len(sizes) > 100
