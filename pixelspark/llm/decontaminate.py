@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import pieces, table
 
 EDIT_RATE = 0.1
-TARGET_RECALL = 0.98
+TARGET_RECALL = 0.995
 PIECE = 8
 #: Items of fewer bytes are too short to tell an edited one from chance.
 SHORT = 16
@@ -152,7 +152,7 @@ def _rounds(text: bytes, limit: int, recall: float, known: list[tuple[int, int]]
         rng, same = np.random.default_rng([13, len(text), limit, len(known)]), []
         # As a window has them: of the item's size, with what stands behind it.
         behind = bytes(rng.permutation(np.frombuffer(text, np.uint8)))
-        changed, steps = [(_edited(text, limit, rng) + behind)[: len(text)] for _ in range(32)], 2 * len(text)
+        changed, steps = [(_edited(text, limit, rng) + behind)[: len(text)] for _ in range(64)], 2 * len(text)
         for walk in range(WALKS):
             same.append((embed(*_rows(changed), walk, steps) == embed(*_rows([text]), walk, steps)).mean(axis=1))
         for sampled in range(SAMPLED, 0, -1):

@@ -87,12 +87,15 @@ def test_blocks_cover_all_items(spark):
 def test_recall_at_the_limit_of_any_size(size):
     rng, edits = np.random.default_rng(size), np.random.default_rng(size + 1)
     letters = np.frombuffer(b"abcdefghijklmnop rstuvw yz", np.uint8)
-    items = [(k, letters[rng.integers(0, len(letters), size)].tobytes().replace(b"  ", b"ab").strip().ljust(size, b"x")) for k in range(40)]
+    items = [(k, letters[rng.integers(0, len(letters), size)].tobytes().replace(b"  ", b"ab").strip().ljust(size, b"x")) for k in range(100 if size < 1000 else 40)]
     block = d.Items.of(items)
     assert (block.limits == size // 10).all()
     texts = [d.normal(b"some words before it " + d._edited(x, int(n), edits) + b" and some after it") for x, n in zip(block.texts, block.limits, strict=True)]
     found = d.Search(block).find(texts)
-    assert sum(any(x[0] == k for x in own) for k, own in enumerate(found)) >= 38
+    # White space that an edit doubles is one edit more, so not all are within the limit.
+    near = [d.edit_search(x, text, int(n)) is not None for x, text, n in zip(block.texts, texts, block.limits, strict=True)]
+    hits = [any(x[0] == k for x in own) for k, own in enumerate(found)]
+    assert sum(near) >= 0.9 * len(near) and sum(h for h, n in zip(hits, near, strict=True) if n) >= 0.95 * sum(near)
 
 
 def test_short_items_by_their_words():
