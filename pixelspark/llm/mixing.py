@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, staged, table
+from .wavelet import default_tokenizer, with_token_counts
 
 #: The target as a share of the entropy of equal weights.
 TARGET_EVENNESS = 0.95
@@ -94,6 +95,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    tokens_col: str | None = None,
     target_entropy: float | None = None,
     evenness: float = TARGET_EVENNESS,
     repeat_limit: float | None = REPEAT_LIMIT,
@@ -104,16 +106,17 @@ def mix_sources(
     """``docs`` as often as the mixture takes each row, with __tokens, __weight (of the source), __epoch (from 1),
     __block and __place: sorted by __place, from 0 to 1, every stretch of the stream has the target weights.
 
-    ``budget`` is in words; the default is what ``docs`` have. A null source counts as the empty one, a null text as
-    empty; texts without words cost nothing and are taken once. Equal rows share a place in the permutation and are
-    taken or left together. An empty table gives an empty result. Columns of ``docs`` with the five names of the
-    result are replaced.
+    ``tokens_col`` has the tokens of each row, null as none; without it, words stand for tokens. ``budget`` is in
+    tokens; the default is what ``docs`` have. A null source counts as the empty one, a null text as empty; texts
+    without tokens cost nothing and are taken once. Equal rows share a place in the permutation and are taken or left
+    together. An empty table gives an empty result. Rows travel as one struct, so their columns may have any names;
+    columns with the five names of the result are replaced.
     """
     new = ["__tokens", "__weight", "__epoch", "__block", "__place"]
-    docs = docs.drop(*new)
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    draw = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    tokens = count_words(F.col(text_col))
+    names = [x for x in docs.columns if x not in new]
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
+    draw = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    tokens = count_words(F.col(f"`{text_col}`")) if tokens_col is None else F.coalesce(F.col(f"`{tokens_col}`").cast("long"), F.lit(0))
     skinny = staged(docs.select(source.alias("source"), draw.alias("draw"), tokens.alias("tokens")), "mix-rows")
     sums = skinny.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
     total = sums.agg(F.sum("tokens").alias("t"), F.count("*").alias("k")).first()
@@ -143,7 +146,7 @@ def mix_sources(
     numbers = staged(plan.join(cuts, "source", "left").join(last, "source", "left"), "mix-numbers")
 
     renamed = numbers.select(*[F.col(x).alias(f"__{x}") for x in numbers.columns])
-    rows = docs.withColumns({"__key": source, "__draw": draw, "__tokens": tokens}).join(near(renamed), F.col("__key") == F.col("__source"))
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("__row"), source.alias("__key"), draw.alias("__draw"), tokens.alias("__tokens")).join(near(renamed), F.col("__key") == F.col("__source"))
     rows = rows.withColumn("__block", F.pmod("__draw", "__blocks"))
     rows = rows.withColumns({"__order": F.xxhash64(F.lit(seed), "__full", "__source", "__block"), "__inner": F.xxhash64("__draw", F.lit("inside"))})
     before = (F.col("__order") < F.col("__cut_order")) | ((F.col("__order") == F.col("__cut_order")) & (F.col("__block") < F.col("__cut_block")))
@@ -153,10 +156,13 @@ def mix_sources(
     rows = rows.where(copies > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(1), copies)))
     turn = F.xxhash64(F.lit(seed), "__epoch", "__source", "__block", "__inner") / F.lit(2.0**64) + 0.5
     place = F.least((F.col("__epoch") - 1 + turn * F.least(F.lit(1.0), F.col("__passes") - F.col("__epoch") + 1)) / F.col("__passes"), F.lit(1.0))
-    return rows.withColumn("__place", place).select(*[F.col(f"`{x}`") for x in docs.columns], *new)
+    return rows.withColumn("__place", place).select(*[F.col("__row").getField(x).alias(x) for x in names], *new)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the mixture of their sources, by tokens of ``byte_bpe_50k.json``. Texts are read once, for their
+    tokens and hashes; null ones have none, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mix_sources(docs)
+    counted = with_token_counts(docs, default_tokenizer(), out="n_tokens").select("doc_id", "source", F.xxhash64("text").alias("text"), "n_tokens")
+    mixed = mix_sources(staged(counted, "mix-tokens"), tokens_col="n_tokens")
     return mixed.select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), F.col("__place").alias("place"), F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"))

@@ -450,6 +450,26 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
         start = end
 
 
+def with_token_counts(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str) -> DataFrame:
+    """``docs`` with the number of each text's tokens as column ``out`` (long), without an end id; 0 for null and empty
+    texts. Whatever names the other columns have, rows stay as they are; ``out`` replaces one of its name."""
+    names = [x for x in docs.columns if x != out]
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"), *[F.col(f"`{x}`").alias(f"c{k}") for k, x in enumerate(names)])
+
+    kept = rows.columns[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(tokenizer)
+        for batch in batches:
+            for piece in slices(batch, 0, ENCODE_BYTES):
+                counts = pa.array(encoder.encode(piece.column(0))[1].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*piece.columns[1:], counts], [*kept, "n"])
+        release_memory()
+
+    schema = rows.drop("t").schema.add("n", "long")
+    return rows.mapInArrow(run, schema).toDF(*names, out)
+
+
 def _put(uri: str, raw: bytes, attempt: int) -> None:
     """Writes a whole file and moves it into place, so a retried task leaves the same file and no half of one."""
     fs, path = pafs.FileSystem.from_uri(uri)
@@ -564,4 +584,5 @@ def default_tokenizer() -> str:
 
 
 def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the shard files give them back: nulls and empty texts as the end id alone, repeated rows each."""
     return token_output(table(spark, sf_dir, "documents"), default_tokenizer())

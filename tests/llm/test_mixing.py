@@ -64,3 +64,46 @@ def test_budget(spark):
     d = docs(spark, {"a": 200, "b": 200})
     found = x.mix_sources(d, budget=5000, repeat_limit=None).collect()
     assert abs(sum(r["__tokens"] for r in found) - 5000) < 120
+
+
+def test_tokens_of_the_caller_and_brute_force(spark):
+    """Copies of each document by a plain computation of the method: weights by the exponent that meets the entropy,
+    whole passes for every document of a source, and a last pass that spends what is left."""
+    rows = [(k, f"text {k}", s, n) for k, (s, n) in enumerate([("a", 5 + k % 9) for k in range(300)] + [("b", 3 + k % 4) for k in range(60)] + [("c", 11) for _ in range(9)] + [(None, None), ("d", 0)])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+    found = x.mix_sources(d, tokens_col="n", evenness=0.9, repeat_limit=None, block_docs=8).collect()
+    totals = Counter()
+    for _, _, s, n in rows:
+        totals[s or ""] += n or 0
+    whole = sum(totals.values())
+    share = {s: n / whole for s, n in totals.items() if n}
+    weights = lambda e: {s: p**e / sum(q**e for q in share.values()) for s, p in share.items()}
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if entropy(weights(mid).values()) <= 0.9 * math.log(len(share)) else (mid, high)
+    want = weights(high)
+    assert {r.source: r["__weight"] for r in found if r.source in want} == pytest.approx(want, abs=1e-6)
+    copies, spent = Counter(r.doc_id for r in found), Counter()
+    for r in found:
+        spent[r.source or ""] += r["__tokens"]
+    for k, _, s, n in rows:
+        passes = want[s] * whole / totals[s] if s in want else 1
+        assert copies[k] in {math.floor(passes + 1e-9), math.ceil(passes - 1e-9)}
+    assert all(abs(spent[s] - w * whole) <= 14 for s, w in want.items())
+
+
+def test_clashing_names(spark):
+    d = spark.createDataFrame([(1, "w w", "a", 5, "x", 7, 0.5), (2, "w", "b", 6, "y", 8, 0.25)], "doc_id long, text string, source string, __key int, `__cut.x` string, __draw int, __place double")
+    found = x.mix_sources(d, evenness=0.0, repeat_limit=None)
+    assert found.columns[:6] == d.columns[:6] and sorted(r["__key"] for r in found.collect()) == [5, 6]
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    from pixelspark.llm.wavelet import ChunkEncoder, default_tokenizer
+
+    encoder = ChunkEncoder(default_tokenizer())
+    want = {r.doc_id: len(encoder._tokenizer.encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = x.op8_mix_sources(spark, sf).collect()
+    assert all(want[r.doc_id] == r.n_tokens for r in found) and abs(sum(r.n_tokens for r in found) / sum(want.values()) - 1) < 0.1
