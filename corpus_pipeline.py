@@ -21,13 +21,14 @@ SIMILARITY = 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fits on the labelled documents that come in; drops those whose language can't be told."""
+    """Fits on the labelled documents that come in; drops those whose language can't be told, null and empty texts
+    among them. Repeated rows are judged alike."""
     judged = langid.identify(docs, langid.fit(docs), lang_out="__lang", score_out="__score")
     return judged.where(F.col("__lang") != langid.UNKNOWN).drop("__lang", "__score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group of near copies."""
+    """Keeps the document of the least id of each group of near copies, null ids last, and one of repeated rows."""
     return similar.keep_one(docs, words=SHINGLE_WORDS, similarity=SIMILARITY)
 
 
@@ -37,12 +38,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents as often as the mixture of sources asks for, on a budget of the words that come in."""
-    return mixing.mix_sources(docs).select(*[F.col(f"`{x}`") for x in docs.columns])
+    """Takes documents as often as the mixture of sources asks for, on a budget of the tokens that come in. Tokens are
+    those of the output; documents without any, null texts too, are taken once."""
+    counted = staged(wavelet.with_token_counts(docs, wavelet.default_tokenizer(), out="__n_tokens"), "counted")
+    return mixing.mix_sources(counted, tokens_col="__n_tokens").select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token shards and returns what reading them gives, one row a document."""
+    """Writes the token shards, in the order of ``doc_id``, and returns what reading them gives, one row for each time
+    that a document was taken."""
     return wavelet.token_output(docs, wavelet.default_tokenizer())
 
 
