@@ -336,29 +336,49 @@ def reconcile(votes: dict[Span, int]) -> list[Span]:
     return out[::-1]
 
 
+def joined_parts(parts: list[tuple[int, int, bool, bool]]) -> list[tuple[int, int]]:
+    """Whole spans from the parts (start, end, begins, ends) that windows have of them: parts that overlap are one, from
+    one that begins to one that ends. So a span may be longer than a window."""
+    out, low, high, begun = [], 0, -1, False
+    for start, end, begins, ends in sorted(parts):
+        if start >= high:
+            low, high, begun = start, end, begins
+        high = max(high, end)
+        if begun and ends and end == high:
+            out.append((low, high))
+    return out
+
+
 def find_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """For each text the patterns' spans and the network's additional ones."""
     base = [base_spans(x) if _ANCHOR.search(x) else [] for x in texts]
     laid = [(k, start) for k, x in enumerate(texts) if _ANCHOR.search(x) for start in window_starts(x)]
-    codes: dict[int, np.ndarray] = {}
     votes: dict[int, dict[Span, int]] = defaultdict(lambda: defaultdict(int))
+    cut: dict[tuple[int, str], list[tuple[int, int, bool, bool]]] = defaultdict(list)
+
+    def vote(k: int, low: int, high: int, kind: str) -> None:
+        size = len(texts[k])
+        apart = 0 <= low and high <= size and not (texts[k][low - 1 : low].isalnum() or texts[k][high : high + 1].isalnum())
+        if apart and _formed(texts[k][low:high], kind):
+            votes[k][low, high, kind] += 1
+
     for at in range(0, len(laid), 512):
         part = laid[at : at + 512]
-        for k, _ in part:
-            if k not in codes:
-                codes = {k: classes(texts[k])} if len(codes) > 512 else codes | {k: classes(texts[k])}
-        rows = np.stack([_window(codes[k] if k in codes else classes(texts[k]), start) for k, start in part])
+        rows = np.stack([_window(classes(texts[k][max(0, start) : start + WINDOW]), min(0, start)) for k, start in part])
         for (k, start), tags in zip(part, tagger.decode(rows).tolist(), strict=True):
             if not any(tags):
                 continue
             size = len(texts[k])
             for a, b, kind in tags_to_spans(tags):
                 low, high = start + a, start + b
-                if (a == 0 and low > 0) or (b == WINDOW and high < size):
-                    continue  # cut by the window: the next one has it whole
-                apart = 0 <= low and high <= size and not (texts[k][low - 1 : low].isalnum() or texts[k][high : high + 1].isalnum())
-                if apart and _formed(texts[k][low:high], kind):
-                    votes[k][low, high, kind] += 1
+                begins, ends = a > 0 or low <= 0, b < WINDOW or high >= size
+                if begins and ends:
+                    vote(k, low, high, kind)
+                else:
+                    cut[k, kind].append((low, high, begins, ends))
+    for (k, kind), parts in cut.items():
+        for low, high in joined_parts(parts):
+            vote(k, low, high, kind)
     out = []
     for k, own in enumerate(base):
         more = [x for x in reconcile(votes[k]) if not any(x[0] < b and a < x[1] for a, b, _ in own)] if k in votes else []
@@ -484,6 +504,7 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, *, id_col: str = "doc_id
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents; null and empty texts have none, repeated rows each have their row."""
     docs = table(spark, sf_dir, "documents")
     found = find_personal_data(docs, fit(docs))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base_line").cast("binary"), 256).alias("base_sha256"), F.col("spans_line").alias("spans"))

@@ -99,3 +99,30 @@ def test_held_out_spans_of_the_network(tagger):
 def test_empty(empty, tagger):
     assert pii.find_personal_data(empty, tagger).count() == 0
     assert pii.fit(empty).weights
+
+
+def test_spans_cut_by_windows_are_whole_at_every_place():
+    """A tagger that knows the span: windows cut it wherever it stands, and for spans longer than a window."""
+
+    class Known:
+        def __init__(self, spans):
+            self.spans = spans
+
+        def decode(self, rows):
+            out = []
+            for start in self.starts:
+                own = [(max(0, a - start), min(pii.WINDOW, b - start), k) for a, b, k in self.spans if a < start + pii.WINDOW and b > start]
+                out.append(pii.spans_to_tags(pii.WINDOW, own))
+            return np.array(out)
+
+    for size in (18, 33, 50, 64, 90):
+        form = "+49 " + "3" * 9 + "(" * (size - 13 - 1) + "1"
+        assert len(form) == size
+        for place in range(64):
+            text = "x" * place + " " + form + " " + "y" * 50
+            tagger = Known([(place + 1, place + 1 + size, "phone")])
+            tagger.starts = pii.window_starts(text)
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(pii, "_formed", lambda text, kind: True)
+                patch.setattr(pii, "base_spans", lambda text, check=True: [])
+                assert pii.find_spans([text], tagger)[0][1] == [(place + 1, place + 1 + size, "phone")], (size, place)
