@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, pieces, release_memory, staged
+from .components import forest
 
 #: Rows that one task gathers before it searches their buckets, and so about the most of a block.
 MOST_ROWS = 1 << 16
@@ -88,10 +89,23 @@ def links(keyed: DataFrame, words: int, max_bits: int) -> DataFrame:
     def signed(prints: np.ndarray) -> list[pa.Array]:
         return [pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(words)]
 
-    def found(keys: np.ndarray, roles: np.ndarray, prints: np.ndarray) -> list[pa.Array]:
+    def least(parts: list[np.ndarray]) -> list[np.ndarray]:
+        """Links (both ends in a row), each node's to the least it reaches: what buckets have in common is one link."""
+        both = np.concatenate(parts)
+        if not len(both):
+            return [both]
+        ends = np.concatenate([both[:, :words], both[:, words:]])
+        order = np.lexsort(ends.T[::-1])
+        ends = ends[order]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(np.r_[False, (ends[1:] != ends[:-1]).any(axis=1)])
+        first = np.searchsorted(number[order], np.arange(number.max() + 1))
+        a, b = forest(number[: len(both)], number[len(both) :])
+        return [np.concatenate([ends[first[a]], ends[first[b]]], axis=1)]
+
+    def found(keys: np.ndarray, roles: np.ndarray, prints: np.ndarray) -> np.ndarray:
         a, b = bucket_links(keys, roles, prints, max_bits)
-        both = np.unique(np.concatenate([prints[a], prints[b]], axis=1), axis=0) if len(a) else np.zeros((0, 2 * words), np.uint64)
-        return signed(both[:, :words]) + signed(both[:, words:])
+        return np.concatenate([prints[a], prints[b]], axis=1)
 
     def read(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, role, *rest = (batch.column(x).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(x).to_numpy() for x in ("key", "role", *u))
@@ -109,10 +123,16 @@ def links(keyed: DataFrame, words: int, max_bits: int) -> DataFrame:
             gone = pa.nulls(len(keys), pa.int64())
             return pa.RecordBatch.from_arrays([*signed(prints), *[gone] * words, pa.array(keys), pa.array(np.full(len(keys), blocks)), pa.array(roles)], names)
 
-        def out(keys: np.ndarray, roles: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-            columns = found(keys, roles, prints)
-            n = len(columns[0])
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int8())], names)
+        gathered: list[np.ndarray] = []
+
+        def out(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal gathered
+            if gathered and (last or sum(map(len, gathered)) >= MOST_ROWS):
+                gathered = least(gathered)
+                if last or len(gathered[0]) >= MOST_ROWS:
+                    both, gathered = gathered[0], []
+                    n = len(both)
+                    yield pa.RecordBatch.from_arrays([*signed(both[:, :words]), *signed(both[:, words:]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int8())], names)
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             """Searches whole buckets and keeps the last key's rows, which may go on. Of a key that has filled all
@@ -131,7 +151,8 @@ def links(keyed: DataFrame, words: int, max_bits: int) -> DataFrame:
                     over_key = None
                 keys, roles, prints, end = keys[gone:], roles[gone:], prints[gone:], max(0, end - gone)
             if end:
-                yield from out(keys[:end], roles[:end], prints[:end])
+                gathered.append(found(keys[:end], roles[:end], prints[:end]))
+                yield from out(False)
             held = [(keys[end:], roles[end:], prints[end:])] if end < len(keys) else []
             size = len(keys) - end
 
@@ -142,12 +163,14 @@ def links(keyed: DataFrame, words: int, max_bits: int) -> DataFrame:
                 yield from flush(False)
         if held:
             yield from flush(True)
+        yield from out(True)
         held.clear()
         release_memory()
 
     def pair(group: pa.Table) -> pa.Table:
         _, roles, prints = read(group)
-        return pa.Table.from_arrays(found(np.zeros(len(roles), np.int64), roles, prints), [*u, *v])
+        both = least([found(np.zeros(len(roles), np.int64), roles, prints)])[0]
+        return pa.Table.from_arrays(signed(both[:, :words]) + signed(both[:, words:]), [*u, *v])
 
     spark = keyed.sparkSession
     dealt = keyed.select("key", "role", *[F.col(f"w{k}").alias(u[k]) for k in range(words)]).repartition(partitions(spark), "key").sortWithinPartitions("key")
