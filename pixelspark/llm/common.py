@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,9 +17,12 @@ SPACE = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset one made here."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. Where that is unset, one is made if all runs on
+    this machine; on a cluster executors would write to disks of their own, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pixelspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/") if "://" in found else "file://" + found.rstrip("/")
@@ -60,6 +64,25 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+#: Bits of a bitmap of keys: 4 MiB when all are set, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def flagged(rows: DataFrame, keys: DataFrame, own: Column, key: Column, out: str) -> DataFrame:
+    """``rows`` with column ``out``: false only where no row of ``keys`` has the hash (``key``) that the row has
+    (``own``). The hashes of ``keys`` are broadcast as a bitmap of fixed size; how full it is sets how many are true
+    for no reason, so what must be exact is joined after that, without the bulk of the rows."""
+    slot = F.pmod(key, F.lit(FILTER_BITS)) + 1
+    marks = keys.select(slot.alias("__slot"))
+    bitmap = marks.groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bitmap"))
+    spot = F.pmod(own, F.lit(FILTER_BITS)) + 1
+    position = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring("__bitmap", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (position % 8 + 1).cast("int"))
+    marked = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(spot) == F.col("__bucket"), "left")
+    return marked.select(*[F.col(f"`{x}`") for x in rows.columns], F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False)).alias(out))
+
+
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in short runs of rows, so that what Python holds of their texts at once is small."""
     for batch in batches:

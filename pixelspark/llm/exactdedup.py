@@ -8,20 +8,12 @@ themselves are never shuffled, and groups are counted before the shuffle, so a g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import flagged, staged, table
 
 PREFIX_CHARS = 256
-#: Bits of the bitmap: 4 MiB when all are set, whatever the input.
-FILTER_BITS = 1 << 25
-
-
-def _flagged(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (position % 8 + 1).cast("int"))) != 0, F.lit(False))
-
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept and text_sha256.
@@ -33,13 +25,12 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({"n_bytes": F.octet_length("text"), "prefix": F.xxhash64(F.substring("text", 1, prefix_chars))})
-    slot = F.pmod(F.xxhash64("n_bytes", "prefix"), F.lit(FILTER_BITS)) + 1
-    alike = rows.groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).where("n > 1").select(slot.alias("slot"))
-    bitmap = alike.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-    marked = rows.withColumn("slot", slot).join(F.broadcast(bitmap), F.bitmap_bucket_number("slot") == F.col("bucket"), "left")
-    maybe = _flagged(F.col("bitmap"), F.bitmap_bit_position("slot"))
+    alike = rows.groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    group = F.xxhash64("n_bytes", "prefix")
+    marked = flagged(rows, alike, group, group, "maybe")
+    maybe = F.col("maybe")
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    hashed = marked.select("doc_id", "n_bytes", "prefix", maybe.alias("maybe"), (digest if digest_all else F.when(maybe, digest)).alias("text_sha256"))
+    hashed = marked.select("doc_id", "n_bytes", "prefix", "maybe", (digest if digest_all else F.when(maybe, digest)).alias("text_sha256"))
     hashed = staged(hashed.withColumn("row", F.monotonically_increasing_id()), "exact-rows")
     groups = hashed.where("maybe").groupBy("n_bytes", "prefix", "text_sha256").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("keep")).where("n > 1")
     groups = staged(groups, "exact-groups")  # so that both sides of the join are dealt out anew and a large group's rows are split

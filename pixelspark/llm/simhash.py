@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import FILED, LOOKS, links
-from .common import partitions, pieces, staged, table
+from .common import flagged, partitions, pieces, staged, table
 from .components import components
 
 MAX_BITS = 3
@@ -189,11 +189,16 @@ def keep_first(docs: DataFrame, groups: DataFrame, *, id_col: str, text_col: str
     their columns may have any names."""
     groups = staged(groups.select(F.col(id_col).alias("id"), "text_hash", "root"), "near-groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
-    kept = first.select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
-    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("own"))
-    found = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("own") == F.col("kept_hash")), "left_semi")
-    apart = groups.groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    return (found if apart else found.dropDuplicates(["id", "own"])).select(*[F.col("row").getField(x).alias(x) for x in docs.columns])
+    kept = staged(first.select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")), "kept")
+    own = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    # Most rows stay, and of those that may not, hashes are enough to tell: the others are neither shuffled nor joined.
+    doubt = groups.groupBy("id", "text_hash").agg(F.count("*").alias("n")).join(kept, own, "left").where("kept_hash is null or n > 1")
+    doubt = staged(doubt.select("id", "text_hash"), "not-kept")
+    key = F.xxhash64("id", "text_hash")
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"))
+    rows = flagged(rows, doubt, key, key, "doubtful")
+    found = rows.where("doubtful").join(kept, own, "left_semi").dropDuplicates(["id", "text_hash"])
+    return rows.where("not doubtful").unionAll(found).select(*[F.col("row").getField(x).alias(x) for x in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

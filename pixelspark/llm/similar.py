@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import BOTH, links
-from .common import partitions, pieces, release_memory, staged
+from .common import flagged, partitions, pieces, release_memory, staged
 from .components import components
 from .simhash import SEED, _golay, keep_first, shingle_hashes
 
@@ -257,9 +257,12 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
     found = links(keyed, 2, MOST_BITS).select(F.xxhash64("u0", "u1").alias("u"), F.xxhash64("v0", "v1").alias("v"))
     roots = staged(components(staged(found, "candidates")), "candidate-roots").withColumnRenamed("u", "print")
     grouped = staged(apart.join(roots, "print", "left").select("node", "own", F.coalesce("root", "print").alias("group")), "candidate-groups")
-    several = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    # Written, so that the join deals both its sides out anew and Spark can split a large group's rows.
+    several = staged(grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "groups-of-several")
     wanted = staged(grouped.join(several, "group").select("group", "node", F.col("own.id").alias("own_id"), F.col("own.text_hash").alias("own_hash")), "candidate-texts")
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    own = F.xxhash64("id", "text_hash")
+    maybe = flagged(rows, wanted, own, F.xxhash64("own_id", "own_hash"), "maybe").where("maybe")  # no other text is shuffled
+    texts = maybe.join(wanted, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
     sets = staged(texts.select("group", "node", "text").mapInArrow(cut, "group long, node long, shingles binary").dropDuplicates(["group", "node"]), "candidate-sets")
     roots = _verified(sets, similarity)
     return marked.join(roots, "node", "left").select(F.col("id").alias(id_col), "text_hash", F.coalesce("root", "node").alias("root"))
