@@ -86,18 +86,22 @@ def mulaw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 MULAW = "mu AS (SELECT vec_id, i - 1 AS i, greatest(least(CAST(e AS DOUBLE) * 2, 1.0), -1.0) AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings))"
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sixteen-value blocks of a vector times 128, rounded half away from zero: vec_id, block, v ARRAY<INT>; zeros fill
-    the last one up."""
+def blocks(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
+    """All blocks of ``size`` values of a vector times 128, rounded half away from zero: vec_id, block, v ARRAY<INT>; zeros
+    fill the last one up."""
     value = lambda e: F.when(e >= 0, F.floor(e.cast("double") * 128 + 0.5)).otherwise(F.ceil(e.cast("double") * 128 - 0.5)).cast("int")
     rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", F.transform("embedding", value).alias("e"))
-    each = rows.select("vec_id", "e", F.explode(F.sequence(F.lit(0), div(F.size("e") - 1, 16).cast("int"))).alias("block"))
-    cut = F.slice("e", F.col("block") * 16 + 1, F.lit(16))
-    return each.select("vec_id", "block", F.concat(cut, F.array_repeat(F.lit(0), F.lit(16) - F.size(cut))).alias("v"))
+    each = rows.select("vec_id", "e", F.explode(F.sequence(F.lit(0), div(F.size("e") - 1, size).cast("int"))).alias("block"))
+    cut = F.slice("e", F.col("block") * size + 1, F.lit(size))
+    return each.select("vec_id", "block", F.concat(cut, F.array_repeat(F.lit(0), F.lit(size) - F.size(cut))).alias("v"))
 
 
-BLOCKS = """bl AS (SELECT vec_id, block, list_transform(range(1, 17), lambda j: coalesce(e[block * 16 + j], 0)) AS v
- FROM (SELECT vec_id, list_transform(embedding, lambda e: CAST(CASE WHEN e >= 0 THEN floor(CAST(e AS DOUBLE) * 128 + 0.5) ELSE ceil(CAST(e AS DOUBLE) * 128 - 0.5) END AS BIGINT)) AS e, CAST(unnest(range((len(embedding) + 15) // 16)) AS INT) AS block FROM embeddings))"""
+def blocks_sql(size: int = 16) -> str:
+    return f"""bl AS (SELECT vec_id, block, list_transform(range(1, {size + 1}), lambda j: coalesce(e[block * {size} + j], 0)) AS v
+ FROM (SELECT vec_id, list_transform(embedding, lambda e: CAST(CASE WHEN e >= 0 THEN floor(CAST(e AS DOUBLE) * 128 + 0.5) ELSE ceil(CAST(e AS DOUBLE) * 128 - 0.5) END AS BIGINT)) AS e, CAST(unnest(range((len(embedding) + {size - 1}) // {size})) AS INT) AS block FROM embeddings))"""
+
+
+BLOCKS = blocks_sql()
 
 
 def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import integer as n
+from ..functions import transforms as t
 from . import inputs as i
 
 QUERIES: dict = {}
@@ -136,3 +137,61 @@ def _vp8_sql() -> str:
 
 
 QUERIES["vp8_transforms"] = vp8_transforms, _vp8_sql()
+
+
+def _columns(size: int) -> list[str]:
+    return [f"v{k:02d}" for k in range(size)]
+
+
+def _inverse(kind: str, power: int) -> tuple:
+    """Every block's inverse transform, sums held to sixteen bits."""
+    size = 1 << power
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = i.blocks(spark, sf_dir, size)
+        return t.inverse_columns(rows.select("vec_id", "block", *_each(F.col("v"), size)), _columns(size), kind, power, bits=16)
+
+    given = f"(WITH {i.blocks_sql(size)} SELECT vec_id, block, {', '.join(f'v[{k + 1}] AS {x}' for k, x in enumerate(_columns(size)))} FROM bl)"
+    return query, t.inverse_sql(given, "vec_id, block", _columns(size), kind, power, bits=16)
+
+
+def _forward(kind: str, power: int) -> tuple:
+    size = 1 << power
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = i.blocks(spark, sf_dir, size)
+        return t.forward_columns(rows.select("vec_id", "block", *_each(F.col("v"), size)), _columns(size), kind, power)
+
+    def total(k: int) -> str:
+        out = " + ".join(f"v[{m + 1}] * ({int(w)})" for m, w in enumerate(t.forward_matrix(kind, power)[k]))
+        return f"(({out}) * 2896 + 8388608) >> 24" if kind == "dct" and k == 0 else f"({out} + 2048) >> 12"
+
+    return query, f"WITH {i.blocks_sql(size)} SELECT vec_id, block, {', '.join(f'{total(k)} AS {x}' for k, x in enumerate(_columns(size)))} FROM bl"
+
+
+for _power in range(2, 7):
+    QUERIES[f"inverse_dct_{1 << _power}"] = _inverse("dct", _power)
+    QUERIES[f"forward_dct_{1 << _power}"] = _forward("dct", _power)
+for _power in range(2, 5):
+    QUERIES[f"inverse_adst_{1 << _power}"] = _inverse("adst", _power)
+    QUERIES[f"forward_adst_{1 << _power}"] = _forward("adst", _power)
+
+
+def quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = t.quantise(F.col("s"), F.col("d"))
+    return i.integers(spark, sf_dir).select("k", level.alias("level"), n.dequant(level, F.col("d"), 1, 8).alias("back"))
+
+
+QUERIES["quantise"] = quantised, f"""WITH {i.INTEGERS}, q AS (SELECT k, s, d, CASE WHEN s < 0 THEN -((-s + d // 2) // d) ELSE (s + d // 2) // d END AS level FROM ints)
+SELECT k, level, greatest(least(CASE WHEN level < 0 THEN -((-level * d) & 16777215) ELSE (level * d) & 16777215 END, 32767), -32768) AS back FROM q"""
+
+
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of each identity plane by row, and of red after the way back."""
+    there = t.identity_planes(i.pixels(spark, sf_dir))
+    own = there.groupBy("img", "y").agg(*[F.sum(F.col(f"{x}_plane") * (F.col("x") + 1)).alias(x + "_sum") for x in "yuv"])
+    back = t.identity_pixels(there).groupBy("img", "y").agg(F.sum("r").alias("red"))
+    return own.join(back, ["img", "y"])
+
+
+QUERIES["identity_planes"] = planes, f"WITH {i.PIXELS} SELECT img, y, CAST(sum(g * (x + 1)) AS BIGINT) AS y_sum, CAST(sum(b * (x + 1)) AS BIGINT) AS u_sum, CAST(sum(r * (x + 1)) AS BIGINT) AS v_sum, CAST(sum(r) AS BIGINT) AS red FROM px GROUP BY img, y"
