@@ -66,51 +66,78 @@ def register_encoder(name: str, encode: Callable[[np.ndarray], bytes]) -> None:
 
 
 _MODELS = {1: "gray", 2: "gray_alpha", 3: "rgb", 4: "rgba"}
+#: Bytes of pixels or files that a record batch gathers.
+BATCH_BYTES = 8 << 20
+
+
+def _batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], heavy: int) -> Iterator[pa.RecordBatch]:
+    """Record batches of about ``BATCH_BYTES`` in the column ``heavy``, one row at least."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[heavy] or b"")
+        if size >= BATCH_BYTES or len(held) >= 4096:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def decode_files(files: DataFrame, *, channels: int | None = 3, mode: str = "permissive") -> DataFrame:
     """``files`` (path, content) to image rows with path and error; ``channels`` 3 or 4 presents them as RGB or RGBA,
     None keeps what the file has. A file that can't be decoded gives its error, or fails the job with ``failfast``."""
 
+    def decoded(path: str, raw: bytes | None) -> tuple:
+        try:
+            x = decode(raw or b"")
+            x = present(x, channels) if channels else x
+            return path, x.shape[1], x.shape[0], _MODELS.get(x.shape[2], "other"), x.shape[2], 8 * x.dtype.itemsize, x.tobytes(), None
+        except Exception as e:  # damaged files fail in as many ways as there are bytes
+            if mode == "failfast":
+                raise
+            return path, *[None] * 6, f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
         names = ["path", "width", "height", "model", "channels", "bits", "data", "error"]
-        for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    x = decode(raw or b"")
-                    x = present(x, channels) if channels else x
-                    row = (path, x.shape[1], x.shape[0], _MODELS[x.shape[2]], x.shape[2], 8 * x.dtype.itemsize, x.tobytes(), None)
-                except ValueError as e:
-                    if mode == "failfast":
-                        raise
-                    row = (path, *[None] * 6, str(e))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+        rows = (decoded(path.as_py(), raw.as_py()) for batch in batches for path, raw in zip(batch.column(0), batch.column(1), strict=True))
+        yield from _batched(rows, names, types, 6)
 
     return files.select("path", "content").mapInArrow(run, f"path string, {IMAGE}, error string")
 
 
 def encode_images(images: DataFrame, form: str) -> DataFrame:
-    """Image rows (with path) to files: (path, format, content)."""
+    """Image rows (with path) to files: (path, format, content, raw, error), one a row. ``raw`` is the bytes of the
+    pixels. What has no pixels, as it couldn't be decoded, or more than eight bits a sample has no content but an
+    error."""
     if form not in ENCODERS:
         raise ValueError(f"supported formats are {', '.join(sorted(ENCODERS))}")
     work = ENCODERS[form]
 
+    def encoded(path: str, width: int, height: int, channels: int, bits: int, data: bytes | None, error: str | None) -> tuple:
+        if data is None or bits != 8:
+            return path, form, None, None, error or ("no pixels" if data is None else f"{bits} bits a sample have no encoder")
+        try:
+            return path, form, work(np.frombuffer(data, np.uint8).reshape(height, width, channels)), len(data), None
+        except (KeyError, ValueError) as e:
+            return path, form, None, len(data), f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([form]), pa.array([work(x)], pa.binary())], ["path", "format", "content"])
+        rows = (encoded(*(x.as_py() for x in row)) for batch in batches for row in zip(*batch.columns, strict=True))
+        yield from _batched(rows, ["path", "format", "content", "raw", "error"], [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()], 2)
 
-    rows = images.where(F.col("data").isNotNull() & (F.col("bits") == 8)).select("path", "width", "height", "channels", "data")
-    return rows.mapInArrow(run, "path string, format string, content binary")
+    error = F.col("error") if "error" in images.columns else F.lit(None).cast("string").alias("error")
+    return images.select("path", "width", "height", "channels", "bits", "data", error).mapInArrow(run, "path string, format string, content binary, raw long, error string")
 
 
 def convert(files: DataFrame, form: str, *, channels: int | None = 4) -> DataFrame:
-    """Files to files of another format: (path, format, content, ratio of raw bytes to encoded ones)."""
-    images = decode_files(files, channels=channels)
-    sizes = images.select("path", (F.col("width").cast("long") * F.col("height") * F.col("channels")).alias("raw"))
-    return encode_images(images, form).join(sizes, "path").select("path", "format", "content", (F.col("raw") / F.length("content")).alias("ratio"))
+    """Files to files of another format, one row each: (path, format, content, ratio of raw bytes to encoded ones,
+    error). Each is decoded once; a path that occurs twice gives two rows."""
+    return encode_images(decode_files(files, channels=channels), form).select("path", "format", "content", (F.col("raw") / F.length("content")).alias("ratio"), "error")
 
 
 def read_images(spark: SparkSession, path: str, *, channels: int | None = 3, mode: str = "permissive", pattern: str = "*") -> DataFrame:

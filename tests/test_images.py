@@ -25,7 +25,8 @@ def test_files_of_all_formats(spark, tmp_path):
     files = spark.read.format("binaryFile").load(f"file://{tmp_path}")
     assert {r.path[-1]: r.k for r in files.select("path", images.sniff(files.content).alias("k")).collect()} == {"a": "webp", "b": "tiff", "c": "png", "d": "tiff", "e": None, "f": "png"}
     found = images.convert(files, "png").collect()
-    assert len(found) == 5 and all(r.ratio > 0 and bytes(r.content)[:8] == png.SIGNATURE for r in found)
+    assert len(found) == 6 and {r.path[-1] for r in found if r.error} == {"e"}  # what can't be read stays, with its error
+    assert all(r.ratio > 0 and bytes(r.content)[:8] == png.SIGNATURE for r in found if not r.error)
     with pytest.raises(ValueError):
         images.encode_images(images.decode_files(files), "jpeg")
 
@@ -40,3 +41,12 @@ def test_command_line(capsys):
     assert cli.main(["leb128", "300"]) == 0 and capsys.readouterr().out == "ac 02\n"
     with pytest.raises(SystemExit):
         cli.main(["convert", "a", "b", "--format", "jpeg"])
+
+
+def test_no_file_is_lost(spark):
+    good = tiff.write_pages([np.zeros((2, 3, 3), np.uint8)])
+    files = spark.createDataFrame([("a", good), ("b", b"no image"), ("c", None), ("a", good), ("d", good[:20])], "path string, content binary")
+    found = images.convert(files, "png").collect()
+    assert sorted((r.path, r.error is None, r.content is None) for r in found) == [("a", True, False), ("a", True, False), ("b", False, True), ("c", False, True), ("d", False, True)]
+    deep = spark.createDataFrame([("x", 1, 1, 3, 16, bytes(6))], "path string, width int, height int, channels int, bits int, data binary")
+    assert [(r.path, r.content, r.error) for r in images.encode_images(deep, "png").collect()] == [("x", None, "16 bits a sample have no encoder")]
