@@ -389,4 +389,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leaks of ``benchmark`` into documents; null and empty texts have none, repeated rows each have theirs."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -44,6 +44,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the row of their text that stays; null texts are empty ones, equal ids and repeated rows as in
+    ``exact_groups``."""
     return exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
 

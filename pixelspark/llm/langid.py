@@ -24,6 +24,7 @@ from .common import crc_fold, pieces, table
 #: and different (language, word) pairs, the most frequent first.
 FIT_DOCS = 1500
 FIT_WORDS = 200_000
+FIT_LANGS = 1000
 MAX_GRAM = 4
 UNKNOWN = "und"
 #: Evidence counts as that of at most so many words, so that a score near 1 needs a clear margin a word.
@@ -131,11 +132,12 @@ class Predictor:
 
 def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> LanguageModel:
     """Fits on rows with text and a language. The sample is drawn by a hash of the id, for each language at the rate
-    that gives ``fit_docs`` documents in the mean; all words of a drawn document count."""
+    that gives ``fit_docs`` documents in the mean; all words of a drawn document count. Of more than ``FIT_LANGS``
+    languages the most frequent are learned."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("language sample"), F.col(id_col)).alias("draw")
     )
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGS).collect()}
     if not sizes:
         return LanguageModel.fit([])
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_docs / n))])
@@ -176,6 +178,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", l
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts the language of all documents; null texts and those without a letter are ``und``, repeated rows alike, and of
+    equal scores the least language wins."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(crc_fold(F.col("doc_id"), 5) != 0))
     rows = docs.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")

@@ -272,6 +272,7 @@ def default_vocabulary() -> str:
 
 
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents; null and empty texts are their end alone, and repeated rows each count and have a row."""
     docs = table(spark, sf_dir, "documents")
     scores = score_documents(docs, default_vocabulary(), train=crc_fold(F.col("doc_id"), 10) != 0)
     return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

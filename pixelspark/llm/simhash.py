@@ -202,5 +202,6 @@ def keep_first(docs: DataFrame, groups: DataFrame, *, id_col: str, text_col: str
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and component; texts without words, null ones too, have zero and link."""
     found = near_groups(table(spark, sf_dir, "documents"), words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -116,4 +116,5 @@ def default_tokenizer() -> str:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents; null and empty texts have none, repeated rows each have theirs."""
     return count_tokens(table(spark, sf_dir, "documents"), default_tokenizer())

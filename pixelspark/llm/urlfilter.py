@@ -105,6 +105,7 @@ def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> Da
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges all pages; a null url, or one without ``://``, has an empty host and path and no rule."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 

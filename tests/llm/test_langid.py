@@ -35,3 +35,10 @@ def test_odd_rows(docs, rows, empty):
     assert g.identify(empty, model).count() == 0
     none = g.fit(empty)
     assert {(r.lang_pred, r.score) for r in g.identify(docs, none).collect()} == {("und", 0.0)}
+
+
+def test_equal_scores_go_to_the_first_language():
+    from pixelspark.llm.langid import LanguageModel, Predictor
+
+    model = LanguageModel.fit([("b", "same", 3), ("a", "same", 3), ("c", "same", 3)])
+    assert Predictor(model).predict("same same") == ("a", pytest.approx(1 / 3))
