@@ -18,6 +18,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Shingle words and least Jaccard similarity of the near-dedup stage.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Bounds of the memory that encoding takes, lower than where it runs alone: here it shares an executor with what the
+#: stages before it have left. The tokens are the same.
+ENCODING = {"encode_bytes": 1 << 20, "kept_chunks": 500_000}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +43,14 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents as often as the mixture of sources asks for, on a budget of the tokens that come in. Tokens are
     those of the output; documents without any, null texts too, are taken once."""
-    counted = staged(wavelet.with_token_counts(docs, wavelet.default_tokenizer(), out="__n_tokens"), "counted")
+    counted = staged(wavelet.with_token_counts(docs, wavelet.default_tokenizer(), out="__n_tokens", **ENCODING), "counted")
     return mixing.mix_sources(counted, tokens_col="__n_tokens").select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token shards, in the order of ``doc_id``, and returns what reading them gives, one row for each time
     that a document was taken."""
-    return wavelet.token_output(docs, wavelet.default_tokenizer())
+    return wavelet.token_output(docs, wavelet.default_tokenizer(), **ENCODING)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -6,7 +6,8 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,13 +85,34 @@ def flagged(rows: DataFrame, keys: DataFrame, own: Column, key: Column, out: str
 
 
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in short runs of rows, so that what Python holds of their texts at once is small."""
+    """The batches in short runs of rows, so that what Python holds of their texts at once is small. Where these are
+    the work, nothing is kept from another's tasks."""
+    drop_kept()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
     release_memory()
 
 
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(name: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives: a worker process keeps it for its next tasks, until they ask for another or are of an
+    operator that keeps nothing. Python workers live on, so what one stage has kept would burden all later ones."""
+    if name not in _kept:
+        drop_kept()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def drop_kept() -> None:
+    """Lets go of what the worker process has kept, and gives its memory back."""
+    if _kept:
+        _kept.clear()
+        release_memory()
+
+
 def release_memory() -> None:
     """Gives what a task has freed back to the system: Python workers live on, and share an executor's memory."""
     pa.default_memory_pool().release_unused()

@@ -21,7 +21,6 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, partitions, release_memory, staged, table
+from .common import drop_kept, fresh_dir, kept, partitions, release_memory, staged, table
 
 MAGIC = b"WVMSHRD2"
 BLOCK_BITS = 1 << 12
 SHARD_TOKENS = 1 << 20
-#: Bytes of text that are encoded at once.
+#: Bytes of text that are encoded at once, and chunks whose ids a worker keeps. Both are memory against CPU time; the
+#: ids are the same whatever they are.
 ENCODE_BYTES = 1 << 22
+KEPT_CHUNKS = 2_500_000
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -254,9 +255,14 @@ class ChunkTable:
     """An open-addressing table in arrays, from chunks of up to 15 bytes to entry numbers.
 
     A key is the chunk's bytes themselves and its length, in two words, so two chunks are never taken for each other.
+    The table grows with what is put into it, at 20 bytes a slot: five slots in eight are taken at most.
     """
 
-    def __init__(self, bits: int) -> None:
+    def __init__(self, bits: int = 12) -> None:
+        self._n = 0
+        self._clear(bits)
+
+    def _clear(self, bits: int) -> None:
         self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
         self._keys, self._entry = np.zeros((1 << bits, 2), np.uint64), np.full(1 << bits, -1, np.int32)
 
@@ -277,6 +283,16 @@ class ChunkTable:
 
     def put(self, keys: np.ndarray, entries: np.ndarray) -> None:
         """Different keys, none of them in the table."""
+        self._n += len(keys)
+        bits = (self._n * 8 // 5).bit_length()
+        if 1 << bits > len(self._entry):
+            taken = self._entry >= 0
+            held = self._keys[taken], self._entry[taken]
+            self._clear(bits)
+            self._insert(*held)
+        self._insert(keys, entries)
+
+    def _insert(self, keys: np.ndarray, entries: np.ndarray) -> None:
         slots, left = self._slots(keys), np.arange(len(keys))
         while len(left):
             free = self._entry[slots] < 0
@@ -296,12 +312,12 @@ class ChunkEncoder:
     a batch are gathered from there in one step.
     """
 
-    #: Table bits; the table takes 20 bytes a slot.
-    BITS = 22
+    #: Chunks whose keys are looked up at once.
+    BLOCK = 1 << 16
     #: The entry of odd chunks, whose texts are encoded as a whole.
     ODD = 0
 
-    def __init__(self, path: str, most: int = 2_500_000) -> None:
+    def __init__(self, path: str, most: int = KEPT_CHUNKS) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -319,11 +335,11 @@ class ChunkEncoder:
         self._opens = np.zeros(max(self._tokenizer.get_vocab().values(), default=0) + 1, bool)
         for token, k in self._tokenizer.get_vocab().items():
             self._opens[k] = token.startswith("Ġ")  # byte-level BPE writes a space so
-        self._most = min(most, (1 << self.BITS) * 3 // 4)
+        self._most = most
         self._forget()
 
     def _forget(self) -> None:
-        self._kept = ChunkTable(self.BITS)
+        self._kept = ChunkTable()
         self._starts, self._sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self._pool, self._entries, self._used = np.zeros(1 << 18, self.kind), 1, 0
 
@@ -370,13 +386,20 @@ class ChunkEncoder:
     def _entries_of(self, raw: bytes, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The entries of chunks of ``raw``, of which ``words`` has the eight bytes from each place on."""
         entries = np.full(len(starts), -1, np.int32)
-        short = np.flatnonzero(sizes < 16)
-        at, size = starts[short], sizes[short]
-        keys = np.empty((len(short), 2), np.uint64)
+        for first in range(0, len(starts), self.BLOCK):
+            part = slice(first, first + self.BLOCK)
+            short = np.flatnonzero(sizes[part] < 16) + first
+            entries[short] = self._entries_of_short(raw, words, starts[short], sizes[short])
+        long = np.flatnonzero(sizes >= 16)
+        entries[long] = self._learn([raw[a : a + n].decode() for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)])
+        return entries
+
+    def _entries_of_short(self, raw: bytes, words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        keys = np.empty((len(at), 2), np.uint64)
         keys[:, 0] = words[at] & _LOW[np.minimum(size, 8)]
         keys[:, 1] = words[at + 8] & _LOW[np.maximum(size - 8, 0)] | size.astype(np.uint64) << np.uint64(56)
-        entries[short] = self._kept.find(keys)
-        new = np.flatnonzero(entries[short] < 0)
+        entries = self._kept.find(keys)
+        new = np.flatnonzero(entries < 0)
         if len(new):
             order = new[np.lexsort((keys[new, 0], keys[new, 1]))]
             apart = np.r_[True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1)]
@@ -385,9 +408,7 @@ class ChunkEncoder:
             # Entries are numbers of their own but for the odd ones, which are put one after another for that.
             plain = learned != self.ODD
             self._kept.put(keys[of][plain], learned[plain])
-            entries[short[order]] = learned[np.cumsum(apart) - 1]
-        long = np.flatnonzero(sizes >= 16)
-        entries[long] = self._learn([raw[a : a + n].decode() for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)])
+            entries[order] = learned[np.cumsum(apart) - 1]
         return entries
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -433,10 +454,15 @@ class ChunkEncoder:
         return ids, np.add.reduceat(sizes, heads)
 
 
-@lru_cache(2)
-def encoder_for(path: str) -> ChunkEncoder:
-    """One encoder a worker process, with what it has kept, for all its tasks."""
-    return ChunkEncoder(path)
+def encoder_for(path: str, most: int = KEPT_CHUNKS) -> ChunkEncoder:
+    """One encoder a worker process, with what it has kept, for all its tasks until those of another operator."""
+
+    def make() -> ChunkEncoder:
+        made = ChunkEncoder(path, most)
+        release_memory()  # of the tokenizer's file
+        return made
+
+    return kept(("encoder", path, most), make)
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -450,23 +476,23 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
         start = end
 
 
-def with_token_counts(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str) -> DataFrame:
+def with_token_counts(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str, encode_bytes: int = ENCODE_BYTES, kept_chunks: int = KEPT_CHUNKS) -> DataFrame:
     """``docs`` with the number of each text's tokens as column ``out`` (long), without an end id; 0 for null and empty
     texts. Whatever names the other columns have, rows stay as they are; ``out`` replaces one of its name."""
     names = [x for x in docs.columns if x != out]
-    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"), *[F.col(f"`{x}`").alias(f"c{k}") for k, x in enumerate(names)])
-
-    kept = rows.columns[1:]
+    rows = docs.select(*[F.col(f"`{x}`").alias(f"c{k}") for k, x in enumerate(names)], *[F.col(f"`{x}`").alias("t") for x in [text_col] if x not in names])
+    # A text that stays among the columns goes to the workers once.
+    place, others = names.index(text_col) if text_col in names else len(names), rows.columns[: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer)
+        encoder = encoder_for(tokenizer, kept_chunks)
         for batch in batches:
-            for piece in slices(batch, 0, ENCODE_BYTES):
-                counts = pa.array(encoder.encode(piece.column(0))[1].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*piece.columns[1:], counts], [*kept, "n"])
+            for piece in slices(batch, place, encode_bytes):
+                counts = pa.array(encoder.encode(pc.fill_null(piece.column(place), ""))[1].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(names)], counts], [*others, "n"])
         release_memory()
 
-    schema = rows.drop("t").schema.add("n", "long")
+    schema = rows.select(others).schema.add("n", "long")
     return rows.mapInArrow(run, schema).toDF(*names, out)
 
 
@@ -482,7 +508,7 @@ def _put(uri: str, raw: bytes, attempt: int) -> None:
 MANIFEST = "part int, seq int, name string, n_docs long, n_tokens long, n_bytes long"
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = SHARD_TOKENS, encode_bytes: int = ENCODE_BYTES, kept_chunks: int = KEPT_CHUNKS) -> DataFrame:
     """Encodes whole texts and writes them to ``out`` (a URI that all executors reach), one file a shard.
 
     Documents are in rising ``id_col`` order over all files in the order of their names; null ids come first, equal
@@ -495,7 +521,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = encoder_for(tokenizer), TaskContext.get()
+        encoder, context = encoder_for(tokenizer, kept_chunks), TaskContext.get()
         part, attempt, seq = context.partitionId(), context.taskAttemptId(), 0
         held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
@@ -514,7 +540,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "do
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in batches:
-            for piece in slices(batch, 1, ENCODE_BYTES):
+            for piece in slices(batch, 1, encode_bytes):
                 ids, counts = encoder.encode(piece.column(1))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)
@@ -543,6 +569,7 @@ def read_shards(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame
     schema = "name string, row long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = WaveletShard(raw.as_py())

@@ -1,9 +1,12 @@
+import gc
+import weakref
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from pixelspark.llm import common
 from pixelspark.llm import wavelet as w
 
 
@@ -60,3 +63,36 @@ def test_documents_come_back_in_order(spark, docs, rows):
 
 def test_empty_table(empty):
     assert w.token_output(empty, w.default_tokenizer()).count() == 0
+
+
+def test_other_operators_let_the_encoder_go():
+    encoder = weakref.ref(w.encoder_for(w.default_tokenizer()))
+    gc.collect()
+    assert encoder() is not None and w.encoder_for(w.default_tokenizer()) is encoder()
+    assert list(common.pieces([pa.record_batch({"x": [1]})]))
+    gc.collect()
+    assert encoder() is None
+
+
+def test_the_table_grows_with_its_chunks(rows):
+    encoder = w.ChunkEncoder(w.default_tokenizer())
+    encoder.encode(pa.array([x[1] or "" for x in rows]))
+    assert sum(x.nbytes for x in vars(encoder._kept).values() if isinstance(x, np.ndarray)) < 1 << 20
+    table, rng = w.ChunkTable(2), np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 40, (50_000, 2), np.uint64), axis=0)
+    for at in range(0, len(keys), 7000):
+        table.put(keys[at : at + 7000], np.arange(at, min(len(keys), at + 7000), dtype=np.int32))
+    assert (table.find(keys) == np.arange(len(keys))).all() and (table.find(keys + np.uint64(1 << 41)) == -1).all()
+
+
+def test_counts_with_little_memory(spark, docs, rows):
+    tokenizer = w.ChunkEncoder(w.default_tokenizer())._tokenizer
+    want = sorted((-1 if x[0] is None else x[0], x[1], len(tokenizer.encode(x[1] or "", add_special_tokens=False).ids)) for x in rows if x[1] is not None)
+    found = w.with_token_counts(docs, w.default_tokenizer(), out="n", encode_bytes=3000, kept_chunks=5)
+    assert found.columns == [*docs.columns, "n"]
+    got = found.select("doc_id", "text", "n").collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.text, x.n) for x in got if x.text is not None) == want
+    assert [x.n for x in got if x.text is None] == [0] * sum(x[1] is None for x in rows)
+    instead = w.with_token_counts(docs, w.default_tokenizer(), out="text")
+    assert instead.columns == [*(x for x in docs.columns if x != "text"), "text"]
+    assert sorted(x["text"] for x in instead.select("text").collect()) == sorted(x.n for x in got)
