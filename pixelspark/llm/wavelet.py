@@ -243,9 +243,19 @@ class WaveletShard:
         return below
 
 
-#: A chunk that is empty or begins or ends with white space of any kind.
+#: A chunk that is empty or begins or ends with white space of any kind; of one that no space precedes the end counts.
 _BLANK = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _ODD = f"^$|\\A{_BLANK}|{_BLANK}\\z"
+_ODD_BARE = f"{_BLANK}\\z"
+_WORD = "\\A[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+\\z"
+
+#: ASCII letters; ASCII that is neither a letter nor the space; the leads of U+00C0 to U+017F, letters but for two.
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_OTHER = np.zeros(256, bool)
+_OTHER[:128] = ~_LETTER[:128]
+_OTHER[32] = False
+_TIMES, _DIVISION = 0x97, 0xB7
 
 #: Masks of the lowest bytes of a word.
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -266,19 +276,24 @@ class ChunkTable:
         self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
         self._keys, self._entry = np.zeros((1 << bits, 2), np.uint64), np.full(1 << bits, -1, np.int32)
 
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def mixed(keys: np.ndarray) -> np.ndarray:
         mixed = (keys[:, 0] ^ (keys[:, 1] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-        return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> self._shift).astype(np.int64)
+        return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (self.mixed(keys) >> self._shift).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, -1 where there is none."""
         slots, out, left = self._slots(keys), np.full(len(keys), -1, np.int32), np.arange(len(keys))
         while len(left):
-            entries = self._entry[slots]
-            hit = (self._keys[slots] == keys[left]).all(axis=1) & (entries >= 0)
-            out[left[hit]] = entries[hit]
-            on = ~hit & (entries >= 0)
-            left, slots = left[on], slots[on] + 1 & self._mask
+            entries, held = self._entry.take(slots), self._keys.take(slots, axis=0)
+            there = entries >= 0
+            hit = (held[:, 0] == keys[:, 0]) & (held[:, 1] == keys[:, 1]) & there
+            out[left] = np.where(hit, entries, -1)
+            on = np.flatnonzero(there & ~hit)
+            left, slots, keys = left[on], slots[on] + 1 & self._mask, keys[on]
         return out
 
     def put(self, keys: np.ndarray, entries: np.ndarray) -> None:
@@ -305,11 +320,12 @@ class ChunkTable:
 class ChunkEncoder:
     """Encodes batches of texts with a byte-level BPE of the tokenizers library, each different chunk once.
 
-    A chunk ends before a single space between two characters that aren't white space. The pre-tokenizer always
-    starts a piece there, as it joins such a space to what follows, so the ids of a text are those of its chunks in
-    turn. A text with other spaces, or with the string of an added token, is encoded as a whole, and so are all texts
-    where the tokenizer isn't of that kind. Ids of chunks of up to 15 bytes are kept, ``most`` of them, and the ids of
-    a batch are gathered from there in one step.
+    A chunk ends before a single space between two characters that aren't white space, and between a letter and other
+    ASCII. The pre-tokenizer always starts a piece there: it joins such a space to what follows, none of its pieces
+    goes on after a letter with what isn't one, and it doesn't look back. So the ids of a text are those of its chunks
+    in turn. A text with other spaces, or with the string of an added token, is encoded as a whole, and so are all
+    texts where the tokenizer isn't of that kind. Ids of chunks of up to 15 bytes are kept, ``most`` of them, and the
+    ids of a batch are gathered from there in one step.
     """
 
     #: Chunks whose keys are looked up at once.
@@ -321,7 +337,7 @@ class ChunkEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
@@ -331,10 +347,13 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as file:
             kind = json.load(file)
         before = kind.get("pre_tokenizer") or {}
-        self._parts = before.get("type") == "ByteLevel" and bool(before.get("use_regex", True)) and not kind.get("normalizer") and not any(" " in x for x in self._special)
+        self._parts = before.get("type") == "ByteLevel" and bool(before.get("use_regex", True)) and not before.get("add_prefix_space", True) and not kind.get("normalizer") and not any(" " in x for x in self._special)
         self._opens = np.zeros(max(self._tokenizer.get_vocab().values(), default=0) + 1, bool)
         for token, k in self._tokenizer.get_vocab().items():
             self._opens[k] = token.startswith("Ġ")  # byte-level BPE writes a space so
+        # A space and letters are one piece, which needn't be looked for: the same model, parted at spaces alone.
+        self._words = Tokenizer(self._tokenizer.model)
+        self._words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._most = most
         self._forget()
 
@@ -363,54 +382,73 @@ class ChunkEncoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> np.ndarray:
-        """Encodes chunks, each after a space, many in one call, and returns their entries. None has a space inside,
-        so the ids that open with a space part them again."""
+    def _learn(self, chunks: list[str], bare: np.ndarray) -> np.ndarray:
+        """Encodes chunks, each after a space but for the bare ones, many in one call, and returns their entries. None
+        has a space inside, so the ids that open with a space part them again."""
         named, entries = pa.array(chunks, pa.string()), np.full(len(chunks), self.ODD, np.int32)
-        odd = pc.match_substring_regex(named, _ODD).to_numpy(zero_copy_only=False)
+
+        def like(pattern: str) -> np.ndarray:
+            return pc.match_substring_regex(named, pattern).to_numpy(zero_copy_only=False)
+
+        odd = np.where(bare, like(_ODD_BARE), like(_ODD))
         for special in self._special:
             odd |= pc.match_substring(named, special).to_numpy(zero_copy_only=False)
-        plain = np.flatnonzero(~odd)
-        for at in range(0, len(plain), 4096):
-            which = plain[at : at + 4096]
-            part = [chunks[k] for k in which]
-            ids = np.array(self._whole([" " + " ".join(part)])[0], self.kind)
-            starts = np.flatnonzero(self._opens[ids])
-            if len(starts) == len(part):
-                first = self._put(ids, np.diff(np.r_[starts, len(ids)]))
-            else:
-                first = self._add(self._whole([" " + x for x in part]))
-            entries[which] = np.arange(first, first + len(part))
+        words = like(_WORD) & ~bare
+        for tokenizer, chosen in ((self._words, words & ~odd), (self._tokenizer, ~(words | bare | odd))):
+            plain = np.flatnonzero(chosen)
+            for at in range(0, len(plain), 1024):
+                which = plain[at : at + 1024]
+                part = [chunks[k] for k in which]
+                ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+                starts = np.flatnonzero(self._opens[ids])
+                if len(starts) == len(part):
+                    first = self._put(ids, np.diff(np.r_[starts, len(ids)]))
+                else:
+                    first = self._add(self._whole([" " + x for x in part]))
+                entries[which] = np.arange(first, first + len(part))
+        which = np.flatnonzero(bare & ~odd)
+        first = self._add(self._whole([chunks[k] for k in which]))
+        entries[which] = np.arange(first, first + len(which))
         return entries
 
-    def _entries_of(self, raw: bytes, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def _entries_of(self, raw: bytes, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bare: np.ndarray) -> np.ndarray:
         """The entries of chunks of ``raw``, of which ``words`` has the eight bytes from each place on."""
         entries = np.full(len(starts), -1, np.int32)
         for first in range(0, len(starts), self.BLOCK):
             part = slice(first, first + self.BLOCK)
             short = np.flatnonzero(sizes[part] < 16) + first
-            entries[short] = self._entries_of_short(raw, words, starts[short], sizes[short])
+            entries[short] = self._entries_of_short(raw, words, starts[short], sizes[short], bare[short])
         long = np.flatnonzero(sizes >= 16)
-        entries[long] = self._learn([raw[a : a + n].decode() for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)])
+        entries[long] = self._learn([raw[a : a + n].decode() for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)], bare[long])
         return entries
 
-    def _entries_of_short(self, raw: bytes, words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _entries_of_short(self, raw: bytes, words: np.ndarray, at: np.ndarray, size: np.ndarray, bare: np.ndarray) -> np.ndarray:
         keys = np.empty((len(at), 2), np.uint64)
         keys[:, 0] = words[at] & _LOW[np.minimum(size, 8)]
-        keys[:, 1] = words[at + 8] & _LOW[np.maximum(size - 8, 0)] | size.astype(np.uint64) << np.uint64(56)
+        keys[:, 1] = words[at + 8] & _LOW[np.maximum(size - 8, 0)] | (size + 16 * bare).astype(np.uint64) << np.uint64(56)
         entries = self._kept.find(keys)
         new = np.flatnonzero(entries < 0)
         if len(new):
-            order = new[np.lexsort((keys[new, 0], keys[new, 1]))]
+            order = new[np.argsort(ChunkTable.mixed(keys[new]))]  # equal ones together
             apart = np.r_[True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1)]
             of = order[apart]
-            learned = self._learn([raw[a : a + n].decode() for a, n in zip(at[of].tolist(), size[of].tolist(), strict=True)])
+            learned = self._learn([raw[a : a + n].decode() for a, n in zip(at[of].tolist(), size[of].tolist(), strict=True)], bare[of])
             # Entries are numbers of their own but for the odd ones, which are put one after another for that.
             plain = learned != self.ODD
             self._kept.put(keys[of][plain], learned[plain])
             entries[order] = learned[np.cumsum(apart) - 1]
         return entries
 
+    @staticmethod
+    def _cuts(raw: np.ndarray) -> np.ndarray:
+        """Where other ASCII follows a letter."""
+        letter, lead = _LETTER[raw], raw[:-1]
+        letter[1:] |= (lead >= 0xC3) & (lead <= 0xC5) & ((lead > 0xC3) | ((raw[1:] != _TIMES) & (raw[1:] != _DIVISION)))
+        cuts = _OTHER[raw]
+        cuts[1:] &= letter[:-1]
+        cuts[:1] = False
+        return cuts
+
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and how many each text has; no text is null."""
         if not len(texts):
@@ -426,19 +464,28 @@ class ChunkEncoder:
         offsets = offsets - offsets[0]
         padded = np.frombuffer(raw + bytes(24), np.uint8)
         words = np.ndarray(len(raw) + 16, "<u8", padded, strides=(1,))
-        spaces = np.flatnonzero(padded[: len(raw)] == 32)
-        counts = np.diff(np.searchsorted(spaces, offsets)) + 1
+        marked = self._cuts(padded[: len(raw) + 1])
+        marked[offsets[:-1]] = False
+        marked[len(raw)] = False
+        marked |= padded[: len(raw) + 1] == 32
+        marks = np.flatnonzero(marked)
+        cut = padded[marks] != 32
+        counts = np.diff(np.searchsorted(marks, offsets)) + 1
         heads = np.cumsum(counts) - counts
         tails = np.ones(int(counts.sum()), bool)
         tails[heads] = False
         starts, ends = np.empty(len(tails), np.int64), np.empty(len(tails), np.int64)
-        starts[heads], starts[tails] = offsets[:-1], spaces + 1
+        starts[heads], starts[tails] = offsets[:-1], marks + ~cut
+        bare = np.zeros(len(tails), bool)
+        bare[tails] = cut
         ends[heads + counts - 1] = offsets[1:]
         last = np.zeros(len(tails), bool)
         last[heads + counts - 1] = True
-        ends[~last] = spaces
-        entries = self._entries_of(raw, words, starts, ends - starts)
+        ends[~last] = marks
+        entries = self._entries_of(raw, words, starts, ends - starts, bare)
         odd = np.logical_or.reduceat(entries == self.ODD, heads)
+        for special in self._special:  # which may be cut
+            odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         # A text's first chunk has no space before it; of a text encoded as a whole it stands for all chunks.
         kept = self._entries, self._used
         stops = np.where(odd, offsets[1:], ends[heads])

@@ -1,4 +1,5 @@
 import gc
+import json
 import weakref
 import zlib
 
@@ -49,6 +50,34 @@ def test_chunks_give_the_ids_of_whole_texts(rows):
         assert ids.tolist() == [y for x in plain for y in x]
 
 
+def test_a_word_is_encoded_once_whatever_follows_it():
+    encoder = w.ChunkEncoder(w.default_tokenizer())
+    words = [f"{a}{b}{c}é" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"]
+    encoder.encode(pa.array([" ".join(x + y for x in words) for y in (",", ".", "!?", ".\nOf", "'s")]))
+    assert encoder._kept._n <= len(words) + 10
+
+
+def test_cut_chunks_give_the_ids_of_whole_texts():
+    encoder, rng = w.ChunkEncoder(w.default_tokenizer()), np.random.default_rng(5)
+    parts = ["a", "Word", "é", "ß", "ſ", "ŉ", "×", "÷", "ƀ", "ж", "中", "x\u0301", "\u00ad", "'", "'s", "'ll", "don't", "7", "12", "½", ".", ",", "\n", "\t", "\r\n", " ", " ", " ", " ", "\u00a0", "\x00", "_", "🙂", "supercalifragilistic", "<|endoftext|>", "<|endo", "text|>"]
+    likely = np.array([8.0 if x.isalpha() or x == " " else 0.1 if x.startswith("<") else 1.0 for x in parts])
+    texts = ["".join(rng.choice(parts, n, p=likely / likely.sum())) for n in rng.integers(0, 40, 4000)]
+    plain = [x.ids for x in encoder._tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        ids, counts = encoder.encode(pa.array(texts))
+        assert counts.tolist() == [len(x) for x in plain]
+        assert ids.tolist() == [y for x in plain for y in x]
+
+
+def test_a_tokenizer_that_puts_a_space_first(tmp_path):
+    with open(w.default_tokenizer(), encoding="utf-8") as file:
+        kind = json.load(file)
+    kind["pre_tokenizer"]["add_prefix_space"] = True
+    (path := tmp_path / "spaced.json").write_text(json.dumps(kind), encoding="utf-8")
+    encoder, texts = w.ChunkEncoder(str(path)), ["a, b.", ".c", "", "d e"]
+    assert encoder.encode(pa.array(texts))[0].tolist() == [y for x in texts for y in encoder._tokenizer.encode(x, add_special_tokens=False).ids]
+
+
 def test_documents_come_back_in_order(spark, docs, rows):
     found = w.token_output(docs, w.default_tokenizer(), end_id=0, shard_tokens=500).orderBy("start").collect()
     encoder = w.ChunkEncoder(w.default_tokenizer())
