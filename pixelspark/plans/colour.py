@@ -123,7 +123,7 @@ SELECT lab.k, lab.n, CAST(primaries AS INT) AS primaries, CAST(code AS INT) AS c
 
 
 def ycbcr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = i.pixels(spark, sf_dir)
+    rows = i.pixels(spark, sf_dir, None)
     out = ["img", "p"]
     for range_ in ("full", "limited"):
         ycc = c.rgb_to_ycbcr([F.col(x) for x in "rgb"], range_)

@@ -6,20 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.integer import div
+from ..session import dealt
 
 WIDTH = 16
+#: Images of a task: half a million pixels, or three times as many samples.
+IMAGES = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One 16 x 16 image a part: img, p (place), x, y, r, g, b."""
-    cells = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("p"))
+def pixels(spark: SparkSession, sf_dir: str, key: str | None = "img", *more: str) -> DataFrame:
+    """One 16 x 16 image a part: img, p (place), x, y, r, g, b, and ``more`` of p_size. The parts are dealt out by
+    ``key`` before they become pixels, so that pixels aren't shuffled; None deals them in turn."""
+    parts = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), "p_size"), key, IMAGES)
+    cells = parts.select("img", "p_size", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("p"))
     x, y = F.col("p") % WIDTH, div(F.col("p"), WIDTH)
     u, v = x + F.col("img"), y + F.col("p_size")
-    return cells.select("img", "p", x.alias("x"), y.cast("int").alias("y"), ((u * 31 + v) % 256).cast("int").alias("r"), ((v * 17).cast("long").bitwiseXOR(u.cast("long")) % 256).cast("int").alias("g"), ((u + v) * 5 % 256).cast("int").alias("b"))
+    return cells.select("img", *more, "p", x.alias("x"), y.cast("int").alias("y"), ((u * 31 + v) % 256).cast("int").alias("r"), ((v * 17).cast("long").bitwiseXOR(u.cast("long")) % 256).cast("int").alias("g"), ((u + v) * 5 % 256).cast("int").alias("b"))
 
 
 PIXELS = """px AS (
@@ -30,8 +35,7 @@ PIXELS = """px AS (
 
 def few_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of all kinds: gray where p_size is odd, of five colours where it divides by 4, one alpha in ten images."""
-    size = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), "p_size")
-    rows = pixels(spark, sf_dir).join(size, "img")
+    rows = pixels(spark, sf_dir, "img", "p_size")
     level = ((div(F.col("x"), 4) + div(F.col("y"), 4)) % 5 * 50).cast("int")
 
     def channel(c: str, k: int) -> Column:

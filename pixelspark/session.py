@@ -50,3 +50,11 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     takes. What comes in as many partitions as there are cores isn't shuffled."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(4 * cores, key)
+
+
+def dealt(rows: DataFrame, key: str | None, per: int) -> DataFrame:
+    """``rows`` by ``key`` (or in turn) in partitions of about ``per`` rows, no fewer than there are cores: for rows that
+    become many each. A small file would be one task, and partitions of a fixed number would grow with the input. What
+    groups, ranks or sorts by ``key`` and more afterwards isn't shuffled again."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per))
+    return rows.repartition(n, key) if key else rows.repartition(n)
