@@ -201,16 +201,24 @@ def forward_matrix(kind: str, n: int) -> np.ndarray:
     return np.array([[cos128(step * (2 * m + 1) * k) for m in range(size)] for k in range(size)])
 
 
+#: From so many places on, sums of products written out are more code than a compiled method or the compiler's memory
+#: holds, and the matrix is one literal instead.
+WRITTEN_OUT = 32
+
+
 def forward_columns(df: DataFrame, names: Sequence[str], kind: str, n: int) -> DataFrame:
     """``df`` with the columns ``names`` replaced by their forward transform; each is one sum of products."""
     matrix = forward_matrix(kind, n)
     frame = df.withColumns({x: F.col(x).cast("long") for x in names})
-
-    def total(k: int) -> Column:
-        out = sum((F.col(x) * int(w) for x, w in zip(names, matrix[k], strict=True)), F.lit(0).cast("long"))
-        return round2(out * 2896, 24) if kind == "dct" and k == 0 else round2(out, 12)
-
-    return frame.select(*[F.col(f"`{x}`") for x in df.columns if x not in names], *[total(k).alias(x) for k, x in enumerate(names)])
+    others = [F.col(f"`{x}`") for x in df.columns if x not in names]
+    rounded = lambda k, out: round2(out * 2896, 24) if kind == "dct" and k == 0 else round2(out, 12)
+    if len(names) < WRITTEN_OUT:
+        total = lambda k: sum((F.col(x) * int(w) for x, w in zip(names, matrix[k], strict=True)), F.lit(0).cast("long"))
+        return frame.select(*others, *[rounded(k, total(k)).alias(x) for k, x in enumerate(names)])
+    rows = F.expr(f"array({', '.join(f'array({", ".join(f"{int(w)}L" for w in row)})' for row in matrix)})")
+    product = lambda row: F.aggregate(F.zip_with("__values", row, lambda v, w: v * w), F.lit(0).cast("long"), lambda s, x: s + x)
+    sums = frame.select(*others, F.array(*[F.col(x) for x in names]).alias("__values")).select(*others, F.transform(rows, product).alias("__sums"))
+    return sums.select(*others, *[rounded(k, F.element_at("__sums", k + 1)).alias(x) for k, x in enumerate(names)])
 
 
 def flipped(names: Sequence[str]) -> list[Column]:

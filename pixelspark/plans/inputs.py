@@ -11,6 +11,8 @@ from ..session import dealt
 WIDTH = 16
 #: Images of a task: half a million pixels, or three times as many samples.
 IMAGES = 2048
+#: Vectors of a task, where large blocks are transformed.
+VECTORS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +96,10 @@ def blocks(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
     """All blocks of ``size`` values of a vector times 128, rounded half away from zero: vec_id, block, v ARRAY<INT>; zeros
     fill the last one up."""
     value = lambda e: F.when(e >= 0, F.floor(e.cast("double") * 128 + 0.5)).otherwise(F.ceil(e.cast("double") * 128 - 0.5)).cast("int")
-    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", F.transform("embedding", value).alias("e"))
+    vectors = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0)
+    if size >= 32:  # much work a block
+        vectors = dealt(vectors.select("vec_id", "embedding"), "vec_id", VECTORS)
+    rows = vectors.select("vec_id", F.transform("embedding", value).alias("e"))
     each = rows.select("vec_id", "e", F.explode(F.sequence(F.lit(0), div(F.size("e") - 1, size).cast("int"))).alias("block"))
     cut = F.slice("e", F.col("block") * size + 1, F.lit(size))
     return each.select("vec_id", "block", F.concat(cut, F.array_repeat(F.lit(0), F.lit(size) - F.size(cut))).alias("v"))
