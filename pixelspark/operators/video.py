@@ -162,12 +162,10 @@ def linear_preview(samples: DataFrame, width: int, planes: int, black: int, whit
 
 
 def downscale_rows(samples: DataFrame, width: int, target: int) -> DataFrame:
-    """Rows narrowed to ``target`` samples by box means: (img, y, x, v). A sample belongs to one box or more, so it is
-    joined to the few boxes that begin or end inside it by arithmetic, not by a range join."""
-    x = F.col("p") % width
-    first = div(x * target, width)
-    boxes = F.filter(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: first + k), lambda b: (b >= 0) & (b < target) & (div(b * width, target) <= x) & (x < F.least(div((b + 1) * width, target), F.lit(width))))
-    parts = samples.select("img", div(F.col("p"), width).alias("y"), F.explode(boxes).alias("x"), "v")
+    """Rows narrowed to ``target`` samples by box means: (img, y, x, v). Box b holds the samples from floor(b width /
+    target) to before floor((b + 1) width / target), so each sample is in one box: the last that begins at or before it."""
+    box = div((F.col("p") % width + 1) * target - 1, width)
+    parts = samples.select("img", div(F.col("p"), width).alias("y"), box.alias("x"), "v")
     return parts.groupBy("img", "y", "x").agg(div(F.sum("v"), F.count("*")).cast("int").alias("v"))
 
 
