@@ -189,9 +189,8 @@ SELECT k, level, greatest(least(CASE WHEN level < 0 THEN -((-level * d) & 167772
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of each identity plane by row, and of red after the way back."""
     there = t.identity_planes(i.pixels(spark, sf_dir))
-    own = there.groupBy("img", "y").agg(*[F.sum(F.col(f"{x}_plane") * (F.col("x") + 1)).alias(x + "_sum") for x in "yuv"])
-    back = t.identity_pixels(there).groupBy("img", "y").agg(F.sum("r").alias("red"))
-    return own.join(back, ["img", "y"])
+    both = t.identity_pixels(there.withColumns({f"{x}_sum": F.col(f"{x}_plane") * (F.col("x") + 1) for x in "yuv"}))
+    return both.groupBy("img", "y").agg(*[F.sum(f"{x}_sum").alias(f"{x}_sum") for x in "yuv"], F.sum("r").alias("red"))
 
 
 QUERIES["identity_planes"] = planes, f"WITH {i.PIXELS} SELECT img, y, CAST(sum(g * (x + 1)) AS BIGINT) AS y_sum, CAST(sum(b * (x + 1)) AS BIGINT) AS u_sum, CAST(sum(r * (x + 1)) AS BIGINT) AS v_sum, CAST(sum(r) AS BIGINT) AS red FROM px GROUP BY img, y"
