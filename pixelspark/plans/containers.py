@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import integer as n
 from ..operators import coders, codecs, lossless
-from ..session import spread
+from ..operators.batches import Once
+from ..session import dealt, spread
 from ..sources import dng, isobmff, png, riff, tiff
 from ..sources import images as files
 from . import inputs as i
@@ -19,9 +20,14 @@ from . import inputs as i
 QUERIES: dict = {}
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Images of a task that runs serial codecs.
+IMAGES = 4096
+
+
+def images(spark: SparkSession, sf_dir: str, alike: bool = False) -> DataFrame:
     """One row an image: img, raw (768 bytes of interleaved RGB) and bits (a 16 x 16 bilevel image, 32 bytes). Built
-    from each part by array functions; only the parts' numbers are dealt out."""
+    from each part by array functions; only the parts' numbers are dealt out. ``alike``: for long work on each image,
+    the images themselves are dealt out too, by content, so that what is done once a content is done in one task."""
     u = lambda p: p % 16 + F.col("img")
     v = lambda p: (p.cast("long") - p % 16) / 16 + F.col("p_size")
 
@@ -34,7 +40,12 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.unhex(F.array_join(F.transform(places, lambda p: F.concat(*[two(x) for x in channels(p)])), ""))
     flags = F.array_join(F.transform(places, lambda p: F.when(channels(p)[0] >= 128, "1").otherwise("0")), "")
     bits = F.unhex(F.concat(*[F.lpad(F.conv(F.substring(flags, 32 * k + 1, 32), 2, 16), 8, "0") for k in range(8)]))
-    return spread(i.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), "p_size"), "img").select("img", raw.alias("raw"), bits.alias("bits"))
+    parts = i.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), "p_size")
+    if not alike:
+        return spread(parts, "img").select("img", raw.alias("raw"), bits.alias("bits"))
+    each = dealt(parts, None, IMAGES)
+    n = max(4 * spark.sparkContext.defaultParallelism, each.rdd.getNumPartitions())
+    return each.select("img", raw.alias("raw"), bits.alias("bits")).repartition(n, "raw")
 
 
 _MD5 = "md5(unhex(string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY p)))"
@@ -44,7 +55,7 @@ _IMAGES = i.PIXELS + f""", rw AS (SELECT img, {_MD5} AS raw FROM px GROUP BY img
 
 
 def byte_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = images(spark, sf_dir)
+    px = images(spark, sf_dir, alike=True)
     raw, bits = F.col("raw"), F.col("bits")
     back = {
         "packbits": codecs.codec("packbits", codecs.codec("packbits", raw), 768, decode=True),
@@ -64,8 +75,9 @@ def _mapped(work: Callable[[bytes], bytes], data: Column) -> Column:
 
     @F.pandas_udf("binary")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Once(lambda raw: work(bytes(raw)))
         for part in parts:
-            yield part.map(lambda raw: work(bytes(raw)))
+            yield part.map(known)
 
     return run(data)
 
@@ -79,7 +91,7 @@ def _argb(raw: bytes) -> np.ndarray:
 
 
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = images(spark, sf_dir)
+    px = images(spark, sf_dir, alike=True)
     raw = F.col("raw")
     back = {
         "png": lambda x: png.decode(png.encode(_rgb(x), "rgb"))[0].tobytes(),
@@ -161,16 +173,11 @@ SELECT k, string_agg(printf('%02X', CAST((v >> (7 * j) & 127) + CASE WHEN j < n
 
 def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TIFF files to each format and back to RGB: sniffed format, sides and the pixels' MD5."""
-    source = images(spark, sf_dir).select(F.col("img").cast("string").alias("path"), _mapped(lambda raw: tiff.write_pages([_rgb(raw)], compression="packbits"), F.col("raw")).alias("content"))
-    rows = files.decode_files(source, channels=3, mode="failfast")
-    out = None
-    for form in ("webp", "tiff", "png"):
-        there = files.encode_images(rows, form)
-        back = files.decode_files(there, channels=3, mode="failfast").withColumnRenamed("path", "p2")
-        own = there.select("path", files.sniff(F.col("content")).alias("format")).join(back, F.col("path") == F.col("p2"))
-        own = own.select(F.col("path").cast("long").alias("img"), "format", "width", "height", "model", F.md5("data").alias("pixels"))
-        out = own if out is None else out.unionAll(own)
-    return out
+    source = images(spark, sf_dir, alike=True).select(F.col("img").cast("string").alias("path"), _mapped(lambda raw: tiff.write_pages([_rgb(raw)], compression="packbits"), F.col("raw")).alias("content"))
+    there = files.encode_images(files.decode_files(source, channels=3, mode="failfast"), ("webp", "tiff", "png"))
+    sniffed = there.select("path", "content", files.sniff(F.col("content")).alias("format"))
+    back = files.decode_files(sniffed, channels=3, mode="failfast", keep=["format"])
+    return back.select(F.col("path").cast("long").alias("img"), "format", "width", "height", "model", F.md5("data").alias("pixels"))
 
 
 QUERIES["convert_images"] = conversions, f"WITH {_IMAGES} SELECT img, format, 16 AS width, 16 AS height, 'rgb' AS model, raw AS pixels FROM rw, (SELECT unnest(['webp', 'tiff', 'png']) AS format)"
@@ -183,7 +190,7 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = np.frombuffer(raw, np.uint8).reshape(16, 48).astype(np.int64) * 16
         return dng.write(dng.Raw(x[:, :, None], 12, model="unit"), compression=("none", "deflate", "ljpeg")[raw[0] % 3], big_endian=raw[1] % 2 == 1)
 
-    source = images(spark, sf_dir).select(F.col("img").cast("string").alias("path"), _mapped(write, F.col("raw")).alias("content"))
+    source = images(spark, sf_dir, alike=True).select(F.col("img").cast("string").alias("path"), _mapped(write, F.col("raw")).alias("content"))
     found = dng.read_raws(source, mode="failfast")
     return found.select(F.col("path").cast("long").alias("img"), "width", "rows", "bits", "white", "model", F.md5("samples").alias("samples"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lossless
+from ..operators.batches import Once, batched
 from . import dng, png, tiff
 
 #: An image row: samples are interleaved, row-major.
@@ -66,69 +67,58 @@ def register_encoder(name: str, encode: Callable[[np.ndarray], bytes]) -> None:
 
 
 _MODELS = {1: "gray", 2: "gray_alpha", 3: "rgb", 4: "rgba"}
-#: Bytes of pixels or files that a record batch gathers.
-BATCH_BYTES = 8 << 20
 
 
-def _batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], heavy: int) -> Iterator[pa.RecordBatch]:
-    """Record batches of about ``BATCH_BYTES`` in the column ``heavy``, one row at least."""
-    held, size = [], 0
+def decode_files(files: DataFrame, *, channels: int | None = 3, mode: str = "permissive", keep: Sequence[str] = ()) -> DataFrame:
+    """``files`` (path, content) to image rows with path and error, and the columns ``keep`` as they are; ``channels`` 3
+    or 4 presents them as RGB or RGBA, None keeps what the file has. A file that can't be decoded gives its error, or
+    fails the job with ``failfast``."""
 
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*held, strict=True), types, strict=True)], names)
-
-    for row in rows:
-        held.append(row)
-        size += len(row[heavy] or b"")
-        if size >= BATCH_BYTES or len(held) >= 4096:
-            yield batch()
-            held, size = [], 0
-    if held:
-        yield batch()
-
-
-def decode_files(files: DataFrame, *, channels: int | None = 3, mode: str = "permissive") -> DataFrame:
-    """``files`` (path, content) to image rows with path and error; ``channels`` 3 or 4 presents them as RGB or RGBA,
-    None keeps what the file has. A file that can't be decoded gives its error, or fails the job with ``failfast``."""
-
-    def decoded(path: str, raw: bytes | None) -> tuple:
+    def decoded(raw: bytes | None) -> tuple:
         try:
             x = decode(raw or b"")
             x = present(x, channels) if channels else x
-            return path, x.shape[1], x.shape[0], _MODELS.get(x.shape[2], "other"), x.shape[2], 8 * x.dtype.itemsize, x.tobytes(), None
+            return x.shape[1], x.shape[0], _MODELS.get(x.shape[2], "other"), x.shape[2], 8 * x.dtype.itemsize, x.tobytes(), None
         except Exception as e:  # damaged files fail in as many ways as there are bytes
             if mode == "failfast":
                 raise
-            return path, *[None] * 6, f"{type(e).__name__}: {e}"
+            return *[None] * 6, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
         names = ["path", "width", "height", "model", "channels", "bits", "data", "error"]
-        rows = (decoded(path.as_py(), raw.as_py()) for batch in batches for path, raw in zip(batch.column(0), batch.column(1), strict=True))
-        yield from _batched(rows, names, types, 6)
+        known = Once(decoded)
+        for batch in batches:
+            kept = batch.schema.names[2:]
+            rows = ((path.as_py(), *known(raw.as_py()), *(x.as_py() for x in more)) for path, raw, *more in zip(*batch.columns, strict=True))
+            yield from batched(rows, [*names, *kept], [*types, *batch.schema.types[2:]], 6)
 
-    return files.select("path", "content").mapInArrow(run, f"path string, {IMAGE}, error string")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema) if keep else ""
+    return files.select("path", "content", *keep).mapInArrow(run, f"path string, {IMAGE}, error string{more}")
 
 
-def encode_images(images: DataFrame, form: str) -> DataFrame:
-    """Image rows (with path) to files: (path, format, content, raw, error), one a row. ``raw`` is the bytes of the
-    pixels. What has no pixels, as it couldn't be decoded, or more than eight bits a sample has no content but an
+def encode_images(images: DataFrame, form: str | Sequence[str]) -> DataFrame:
+    """Image rows (with path) to files: (path, format, content, raw, error), one a row and format. ``raw`` is the bytes of
+    the pixels. What has no pixels, as it couldn't be decoded, or more than eight bits a sample has no content but an
     error."""
-    if form not in ENCODERS:
+    forms = [form] if isinstance(form, str) else list(form)
+    if not set(forms) <= set(ENCODERS):
         raise ValueError(f"supported formats are {', '.join(sorted(ENCODERS))}")
-    work = ENCODERS[form]
+    works = {x: ENCODERS[x] for x in forms}
 
-    def encoded(path: str, width: int, height: int, channels: int, bits: int, data: bytes | None, error: str | None) -> tuple:
+    def encoded(form: str, width: int, height: int, channels: int, bits: int, data: bytes | None, error: str | None) -> tuple:
         if data is None or bits != 8:
-            return path, form, None, None, error or ("no pixels" if data is None else f"{bits} bits a sample have no encoder")
+            return form, None, None, error or ("no pixels" if data is None else f"{bits} bits a sample have no encoder")
         try:
-            return path, form, work(np.frombuffer(data, np.uint8).reshape(height, width, channels)), len(data), None
+            return form, works[form](np.frombuffer(data, np.uint8).reshape(height, width, channels)), len(data), None
         except (KeyError, ValueError) as e:
-            return path, form, None, len(data), f"{type(e).__name__}: {e}"
+            return form, None, len(data), f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (encoded(*(x.as_py() for x in row)) for batch in batches for row in zip(*batch.columns, strict=True))
-        yield from _batched(rows, ["path", "format", "content", "raw", "error"], [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()], 2)
+        known = Once(encoded)
+        each = (tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns, strict=True))
+        rows = ((path, *known(form, *rest)) for path, *rest in each for form in forms)
+        yield from batched(rows, ["path", "format", "content", "raw", "error"], [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()], 2)
 
     error = F.col("error") if "error" in images.columns else F.lit(None).cast("string").alias("error")
     return images.select("path", "width", "height", "channels", "bits", "data", error).mapInArrow(run, "path string, format string, content binary, raw long, error string")

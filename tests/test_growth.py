@@ -66,3 +66,33 @@ def test_code_of_the_largest_forward_transform_is_small(spark):
     found = registry.queries()["forward_dct_64"](spark, SF)
     code = found._jdf.queryExecution().debug().codegenToSeq()
     assert max(len(code.apply(k)._2()) for k in range(code.length())) < 200_000
+
+
+def test_alike_inputs_are_worked_once_within_bounds():
+    from pixelspark.operators.batches import Once
+
+    calls = []
+    once = Once(lambda raw, k: calls.append(raw) or raw * k, most=2000)
+    assert [once(x, 2) for x in (b"a", b"b", b"a", b"b")] == [b"aa", b"bb", b"aa", b"bb"] and calls == [b"a", b"b"]
+    for k in range(300):
+        assert once(bytes([k % 256]) * 40, 3) == bytes([k % 256]) * 120
+        assert once.size <= 2000 and len(once.known) <= 7
+    assert once(b"x" * 5000, 1) == b"x" * 5000 and (b"x" * 5000, 1) not in once.known
+
+
+def test_a_converted_path_that_occurs_twice_gives_two_rows(spark):
+    import numpy as np
+
+    from pixelspark.sources import images, tiff
+
+    raws = [tiff.write_pages([np.full((2, 3, 3), k, np.uint8)]) for k in (1, 2)]
+    source = spark.createDataFrame([("x", r) for r in raws], "path string, content binary")
+    there = images.encode_images(images.decode_files(source), ("png", "tiff"))
+    back = images.decode_files(there, keep=["format"])
+    assert sorted((r.format, bytes(r.data)[0], r.width) for r in back.collect()) == [("png", 1, 3), ("png", 2, 3), ("tiff", 1, 3), ("tiff", 2, 3)]
+
+
+def test_images_are_decoded_and_encoded_in_one_pass(spark):
+    text = plan(registry.queries()["convert_images"](spark, SF))
+    assert text.count("Scan parquet") == 1 and text.count("MapInArrow") == 3 and "Join" not in text
+    assert "hashpartitioning(raw" in plan(registry.queries()["image_files"](spark, SF))
