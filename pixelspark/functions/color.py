@@ -1,13 +1,15 @@
 """Colour science as Column expressions: transfer curves, OKLab, space mapping, matrices and YCbCr.
 
-A colour is three Columns. Everything here stays inside whole-stage codegen; the
-sixteen bisection steps of ``soft_clamp`` are a chain of projections for the same reason.
+A colour is three Columns. Everything here stays inside whole-stage codegen, but for the
+sixteen bisection steps of ``soft_clamp``, which are an Arrow function.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,23 +102,39 @@ def in_space(rgb: Sequence[Column]) -> Column:
     return rgb[0].between(0.0, 1.0) & rgb[1].between(0.0, 1.0) & rgb[2].between(0.0, 1.0)
 
 
+def _clamped(blend: float) -> Callable[[pd.Series, pd.Series, pd.Series], pd.DataFrame]:
+    def run(l: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        lab = [x.to_numpy(np.float64, copy=True, na_value=np.nan) for x in (l, a, b)]
+
+        def inside(x: Sequence[np.ndarray]) -> np.ndarray:
+            rgb = apply3(M1_INV_SRGB, [c * c * c for c in apply3(M2_INV, x)])
+            return np.logical_and.reduce([(c >= 0.0) & (c <= 1.0) for c in rgb])
+
+        with np.errstate(all="ignore"):
+            out = np.flatnonzero(~inside(lab))
+            l, a, b = (x[out] for x in lab)
+            at = lambda t: (l + (0.5 - l) * blend * t, a * (1.0 - t), b * (1.0 - t))
+            lo, hi = np.zeros(len(out)), np.ones(len(out))
+            for _ in range(CLAMP_STEPS):
+                mid = (lo + hi) / 2.0
+                ok = inside(at(mid))
+                lo, hi = np.where(ok, lo, mid), np.where(ok, mid, hi)
+            for x, y in zip(lab, at(hi), strict=True):
+                x[out] = y
+        return pd.DataFrame(dict(zip("lab", lab, strict=True)))
+
+    return run
+
+
 def soft_clamp(df: DataFrame, lab: Sequence[str], blend: float, out: Sequence[str] = ("l", "a", "b")) -> DataFrame:
     """``df`` with columns ``out``: the OKLab colour of columns ``lab`` itself if sRGB holds it, else what sixteen
-    bisection steps toward grey give. Each step is a projection of its own, so expressions stay small and compiled."""
-    l, a, b = (F.col(x) for x in lab)
-
-    def at(t: Column) -> Vector:
-        return l + (F.lit(0.5) - l) * blend * t, a * (F.lit(1.0) - t), b * (F.lit(1.0) - t)
-
-    df = df.withColumns({"__inside": in_space(oklab_to_linear_srgb([l, a, b])), "__lo": F.lit(0.0), "__hi": F.lit(1.0)})
-    for _ in range(CLAMP_STEPS):
-        df = df.withColumn("__mid", (F.col("__lo") + F.col("__hi")) / 2.0)
-        # A column of its own, with a reference that optimisers don't fold into the next step's.
-        df = df.withColumn("__ok", in_space(oklab_to_linear_srgb(at(F.col("__mid")))))
-        df = df.withColumns({"__lo": F.when(F.col("__ok"), F.col("__lo")).otherwise(F.col("__mid")), "__hi": F.when(F.col("__ok"), F.col("__mid")).otherwise(F.col("__hi"))})
-    kept = [F.when(F.col("__inside"), F.col(x)).otherwise(y) for x, y in zip(lab, at(F.col("__hi")), strict=True)]
-    names = dict(zip(out, kept, strict=True))
-    return df.withColumns(names).drop("__inside", "__lo", "__hi", "__mid", "__ok")
+    bisection steps toward grey give. The steps are an Arrow function, over the colours outside alone: as Columns they
+    are one method, too large for the JVM to compile to machine code. A null stays null."""
+    clamp = F.pandas_udf(_clamped(blend), "l double, a double, b double")
+    found = df.withColumn("__clamped", clamp(*[F.col(x) for x in lab]))
+    # pandas gives NaN back as null.
+    kept = {o: F.when(F.col(x).isNotNull(), F.coalesce(F.col("__clamped")[k], F.lit(float("nan")))) for o, x, k in zip(out, lab, "lab", strict=True)}
+    return found.withColumns(kept).drop("__clamped")
 
 
 # 3 x 3 algebra on the driver: matrices are literals of a plan.

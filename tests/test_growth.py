@@ -96,3 +96,28 @@ def test_images_are_decoded_and_encoded_in_one_pass(spark):
     text = plan(registry.queries()["convert_images"](spark, SF))
     assert text.count("Scan parquet") == 1 and text.count("MapInArrow") == 3 and "Join" not in text
     assert "hashpartitioning(raw" in plan(registry.queries()["image_files"](spark, SF))
+
+
+def test_clamping_of_nulls_and_edges(spark):
+    from pixelspark.functions import color as c
+
+    rows = [(1, 0.5, 0.0, 0.0), (2, 0.9, 0.4, 0.1), (3, None, None, None), (4, float("nan"), 0.0, 0.0), (5, 0.6, 0.1, -0.3)]
+    df = spark.createDataFrame(rows, "k int, l double, a double, b double")
+    found = {r.k: (r.ol, r.oa, r.ob) for r in c.soft_clamp(df, ("l", "a", "b"), 0.5, out=("ol", "oa", "ob")).collect()}
+    assert found[1] == (0.5, 0.0, 0.0) and found[3] == (None, None, None) and found[4][0] != found[4][0]
+
+    def inside(lab):
+        lms = [sum(m * x for m, x in zip(row, lab)) ** 3 for row in c.M2_INV]
+        return all(-1e-3 <= sum(m * x for m, x in zip(row, lms)) <= 1 + 1e-3 for row in c.M1_INV_SRGB)
+
+    for k, l, a, b in (rows[1], rows[4]):
+        ol, oa, ob = found[k]
+        assert not inside((l, a, b)) and inside(found[k])
+        t = 1 - oa / a
+        assert 0 < t <= 1 and abs(ol - (l + (0.5 - l) * 0.5 * t)) < 1e-12 and abs(ob - b * (1 - t)) < 1e-12
+
+
+def test_compiled_methods_of_the_clamp_are_small(spark):
+    """The JVM doesn't compile methods of more than 8,000 bytes to machine code."""
+    code = registry.queries()["color_space_clamp"](spark, SF)._jdf.queryExecution().debug().codegenToSeq()
+    assert max(code.apply(k)._3().maxMethodCodeSize() for k in range(code.length())) < 8000
