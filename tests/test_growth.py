@@ -63,7 +63,12 @@ def test_boxes_of_any_two_widths(spark):
 
 def test_code_of_the_largest_forward_transform_is_small(spark):
     """Written out, its 4096 products took the compiler more than 2 GB."""
-    found = registry.queries()["forward_dct_64"](spark, SF)
+    from pyspark.sql import functions as F
+
+    from pixelspark.functions import transforms as t
+
+    names = [f"v{k:02d}" for k in range(64)]
+    found = t.forward_columns(spark.range(3).select(*[(F.col("id") + k).alias(x) for k, x in enumerate(names)]), names, "dct", 6)
     code = found._jdf.queryExecution().debug().codegenToSeq()
     assert max(len(code.apply(k)._2()) for k in range(code.length())) < 200_000
 
